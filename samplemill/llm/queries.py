@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, packing
+from . import decontamination, language_id, line_dedup, near_dedup, packing
 from .common import read_table
 
 
@@ -22,10 +23,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = language_id.learn_dictionaries(language_id.training_rows(docs))
+    held_out = F.coalesce(language_id.remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return language_id.identify_languages(docs.select("doc_id", "text"), learned).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op7_language_id": op7_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
