@@ -1,11 +1,39 @@
-"""The corpus pipeline: each stage's result is written as Parquet and read again by the next."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing.
+
+Each stage's result is written as Parquet and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from samplemill.llm import decontamination, language_id, line_dedup, near_dedup, packing
+from samplemill.llm.common import DOCUMENT_COLUMNS, read_table, written
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told clearly; lang becomes the one predicted."""
+    learned = language_id.learn_dictionaries(language_id.training_rows(docs))
+    found = language_id.identify_languages(docs.select(*DOCUMENT_COLUMNS), learned)
+    return found.filter(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*DOCUMENT_COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated runs; what had nothing else goes."""
+    clean = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS))
+    left = clean.filter((F.col("removed_lines") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.drop_near_duplicates(docs.select(*DOCUMENT_COLUMNS))
+
 
-from samplemill.llm import packing
-from samplemill.llm.common import read_table, written
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.drop_contaminated(docs.select(*DOCUMENT_COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +41,19 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("decontamination", benchmark_stage),
     ("packing", pack_stage),
 ]
 
-#: SQL can't express byte-pair encoding; tests hold run() against a brute-force version.
+#: SQL can't express compression, MinHash or byte-pair encoding; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
