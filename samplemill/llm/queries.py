@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, near_dedup, packing
+from . import decontamination, language_id, line_dedup, near_dedup, packing, token_files
 from .common import read_table
 
 
@@ -23,6 +23,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(read_table(spark, sf_dir, "documents"))
+    return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learned = language_id.learn_dictionaries(language_id.training_rows(docs))
@@ -38,6 +43,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
     "op10_decontamination": op10_decontamination,
 }
