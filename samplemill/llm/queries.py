@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, near_dedup, packing, token_files
+from . import decontamination, language_id, line_dedup, near_dedup, ngram_lm, packing, token_files
 from .common import read_table
 
 
@@ -35,6 +35,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs.select("doc_id", "text"), learned).select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(language_id.remainder(F.col("doc_id"), 10) == 0, F.lit(False))
+    model = ngram_lm.train(docs.filter(~held_out))
+    return ngram_lm.score_documents(docs, model).withColumn("held_out", held_out)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +52,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
 
