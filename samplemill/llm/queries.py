@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, near_dedup, ngram_lm, packing, token_files
+from . import decontamination, language_id, line_dedup, media, near_dedup, ngram_lm, packing, token_files, warc
 from .common import read_table
 
 
@@ -28,6 +28,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = media.store_texts(read_table(spark, sf_dir, "documents"))
+    return media.load_media(spark, folder).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learned = language_id.learn_dictionaries(language_id.training_rows(docs))
@@ -35,6 +49,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs.select("doc_id", "text"), learned).select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.build_responses(read_table(spark, sf_dir, "pages"))
+    return warc.build_derivatives(responses).withColumnRenamed("source_id", "page_id").drop("record")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(language_id.remainder(F.col("doc_id"), 10) == 0, F.lit(False))
@@ -51,7 +70,9 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op5_token_files": op5_token_files,
+    "op6_media_columns": op6_media_columns,
     "op7_language_id": op7_language_id,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
