@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, media, near_dedup, ngram_lm, packing, token_files, warc
+from . import chat, decontamination, language_id, line_dedup, media, near_dedup, ngram_lm, packing, token_files, warc
 from .common import read_table
 
 
@@ -23,6 +23,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = chat.raw_transcripts(read_table(spark, sf_dir, "conversations"))
+    learned = chat.learn_turns(raw.filter(F.coalesce(language_id.remainder(F.col("transcript"), 4) != 2, F.lit(False))))
+    recovered = chat.recover_roles(raw, learned)
+    return chat.render_turns(recovered).withColumnRenamed("transcript", "conv_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(read_table(spark, sf_dir, "documents"))
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -69,6 +76,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_token_files": op5_token_files,
     "op6_media_columns": op6_media_columns,
     "op7_language_id": op7_language_id,
