@@ -1,10 +1,12 @@
-"""Whole texts to token ids with the tokenizers library, with a memo of white-space chunks.
+"""Whole texts to token ids with the tokenizers library, with a memo of words.
 
 A public tokenizer file splits a text into pieces by a pattern and encodes each piece alone.
 No piece of the byte-level pattern reaches over a single blank between two characters that are
-not white space (the blank opens the next piece), and none of the word-level pattern holds white
-space at all. A text cut there gives the same ids as the whole text, so each distinct chunk is
-encoded once and kept in a memo. Texts in which special tokens may stand go to the library whole.
+not white space (the blank opens the next piece), a single line feed between two such is a piece of
+its own, and no piece of the word-level pattern holds white space at all. In both a run of letters
+and the punctuation behind it are different pieces. A text cut there gives the same ids as the whole
+text, so each distinct part is encoded once and kept in a memo. Texts in which special tokens may
+stand, or white space beside white space, are cut with more care or go to the library whole.
 """
 
 from __future__ import annotations
@@ -17,19 +19,21 @@ from functools import cache
 import numpy as np
 
 #: Chunks that one worker keeps; a full memo is emptied, which costs time but changes no id.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 1_200_000
 #: Longer chunks are encoded each time.
 MEMO_CHARS = 48
 
-#: Missing chunks that are encoded in one call, joined as the text they could have stood in.
-JOINED_CHUNKS = 512
+#: Missing parts that are encoded in one call, joined as a text they could have stood in.
+JOINED_PARTS = 512
 
-#: White space beside a blank, or at an end: a plain split would cut at the wrong places.
-_RAGGED = re.compile(r" \s|\s |\A\s|\s\Z")
-_JOINS = re.compile(r" \S(?:.*\S)?", re.DOTALL)
+#: White space beside white space, or at an end: a plain split would cut at the wrong places.
+_RAGGED = re.compile(r"\s\s|\A\s|\s\Z")
 _BYTE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters that lower-casing and composition leave single letters.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Characters that Python takes for white space and Unicode's property White_Space doesn't hold.
 _NOT_WHITE_SPACE = re.compile("[\x1c-\x1f]")
+_MARKS = frozenset(".,;:!?")
 
 
 class ChunkEncoder:
@@ -43,42 +47,72 @@ class ChunkEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a byte-level tokenizer without normalizer keeps blanks as part of the next piece
         self.keeps_blanks = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
+        if self.keeps_blanks:
+            (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        else:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: ids of a word, with the blank before it (if blanks are kept) unless it starts with a line feed
         self.memo: dict[str, bytes] = {}
+        #: ids of the words that open a text
+        self.first: dict[str, bytes] = {}
+        self.marks = dict(zip(sorted(_MARKS), self._whole(sorted(_MARKS)), strict=True))
         self.memo_chunks = memo_chunks
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def chunks(self, text: str) -> list[str]:
-        """Chunks whose ids, joined, are those of the text."""
-        if not self.keeps_blanks:
-            return [text] if _NOT_WHITE_SPACE.search(text) else text.split()
-        first, *rest = _BYTE_CUT.split(text) if _RAGGED.search(text) else text.split(" ")
-        return [first, *[f" {p}" for p in rest]]
+    def _cut(self, some: list[str], ids: np.ndarray, begins: np.ndarray, skip: list[int]) -> dict[str, bytes]:
+        if len(begins) != len(some):  # never seen; the library decides alone then
+            return dict(zip(some, self._whole([f" {p}" if self.keeps_blanks and p[0] != "\n" else p for p in some]), strict=True))
+        data, at = ids.tobytes(), (4 * begins).tolist() + [4 * len(ids)]
+        return {p: data[at[k] + skip[k] : at[k + 1]] for k, p in enumerate(some)}
+
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts; those of a kept blank before them are among these."""
+        out = {}
+        for at in range(0, len(parts), JOINED_PARTS):
+            some = parts[at : at + JOINED_PARTS]
+            if self.keeps_blanks:  # each part follows a line feed, which is a piece of its own
+                text = "".join([p if p[0] == "\n" else f"\n {p}" for p in some])
+                ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                out |= self._cut(some, ids, np.flatnonzero(ids == self.feed), [0 if p[0] == "\n" else 4 for p in some])
+            else:  # parts of letters alone, each a piece that ends with a token marked so
+                ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                out |= self._cut(some, ids, np.concatenate([[0], ends[:-1]]), [0] * len(some))
+        return out
 
-    def _joins(self, chunk: str) -> bool:
-        """Whether the chunk keeps its ids after any other such chunk."""
-        if not self.keeps_blanks:
-            return not _RAGGED.search(chunk) and not _NOT_WHITE_SPACE.search(chunk)
-        return _JOINS.fullmatch(chunk) is not None
-
-    def _encode_missing(self, missing: list[str]) -> dict[str, bytes]:
-        out, joined, alone = {}, [], []
-        for c in missing:
-            (joined if self._joins(c) else alone).append(c)
-        out.update(zip(alone, self._whole(alone), strict=True))
-        glue = "" if self.keeps_blanks else " "
-        for at in range(0, len(joined), JOINED_CHUNKS):
-            some = joined[at : at + JOINED_CHUNKS]
-            found = self.tokenizer.encode(glue.join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *[len(c) + len(glue) for c in some[:-1]]])
-            owner = np.searchsorted(starts, np.array([o[0] for o in found.offsets], np.int64), "right") - 1
-            ends = np.searchsorted(owner, np.arange(len(some)), "right") * 4
-            ids, began = np.asarray(found.ids, "<u4").tobytes(), 0
-            for c, end in zip(some, ends.tolist(), strict=True):
-                out[c] = ids[began:end]
-                began = end
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of words that the memo doesn't have."""
+        memo, known, parts, other, composed = self.memo, {}, set(), [], []
+        for word in missing:
+            core = word[:-1]
+            if word[-1] in _MARKS and _LETTERS.fullmatch(core):
+                composed.append(word)
+                if core not in memo:
+                    parts.add(core)
+            elif self.keeps_blanks or _LETTERS.fullmatch(word):
+                parts.add(word)
+            else:
+                other.append(word)
+        known |= self._encode_parts(list(parts))
+        known |= zip(other, self._whole(other), strict=True)
+        for word in composed:
+            core = word[:-1]
+            known[word] = (memo[core] if core in memo else known[core]) + self.marks[word[-1]]
+        return known
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out = list(map(self.memo.get, words))
+        if None in out:
+            if len(self.memo) > self.memo_chunks:
+                self.memo.clear()
+            known = self._learn({w for w, ids in zip(words, out, strict=True) if ids is None})
+            out = [known[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
+            self.memo.update((w, ids) for w, ids in known.items() if len(w) <= MEMO_CHARS)
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -86,17 +120,26 @@ class ChunkEncoder:
             return b""
         if any(s in text for s in self.specials):
             return self._whole([text])[0]
-        chunks, memo = self.chunks(text), self.memo
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(memo) > self.memo_chunks:
-            memo.clear()
-        found = self._encode_missing(list({c for c in chunks if c not in memo}))
-        out = b"".join([memo[c] if c in memo else found[c] for c in chunks])
-        memo.update((c, ids) for c, ids in found.items() if len(c) <= MEMO_CHARS)
-        return out
+        if not self.keeps_blanks:
+            if _NOT_WHITE_SPACE.search(text):
+                return self._whole([text])[0]
+            return b"".join(self._words(text.split()))
+        if _RAGGED.search(text):
+            first, *rest = _BYTE_CUT.split(text)
+            if rest and _RAGGED.search(rest[-1]):
+                last = [f" {rest.pop()}"]
+                ends = self._whole(last)
+            else:
+                ends = []
+            if any("\n" in w for w in rest):
+                return b"".join(self._whole([first, *[f" {w}" for w in rest]]) + ends)
+            return b"".join([*self._whole([first]), *self._words(rest), *ends])
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if first not in self.first:
+            if len(self.first) > self.memo_chunks:
+                self.first.clear()
+            self.first[first] = self._whole([first])[0]
+        return self.first[first] + b"".join(self._words(rest))
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         return [self.encode(t) for t in texts]
