@@ -6,10 +6,13 @@ candidates, and the samples are folded into an odd sketch: a bitmap in which eac
 bit, so that the population count of the XOR of two sketches estimates how many samples differ.
 Candidates whose sketches lie too far apart are dropped, all others are confirmed on full sets.
 
-Buckets are never expanded into all pairs. A first round holds each member of a bucket against the
-bucket's smallest member. Buckets whose members are then in one component are done; for the others a
-second round compares members of different components only, and sketches are compared inside the
-join. Links between members of one component can't change it, so none that matters is lost.
+Buckets are never expanded into all pairs. Each member is held against one pivot of its bucket, the
+member that shares most buckets. Jaccard distance is a metric: if a member has at least CORE_PERCENT in
+common with the pivot, whatever links with it has enough in common with the pivot to pass the sketches
+too. So such members leave the bucket, the others meet a second pivot, and only those that two pivots
+left over are compared by their sketches in a join. All pairs that passed the sketches make clusters.
+Where links don't already join a whole cluster, blocks of its members are compared on full sets inside
+tasks, components against other components, and only links come out: none between different texts is lost.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,11 @@ SHINGLE_WORDS = 5
 #: Link where 100 * intersection >= LINK_PERCENT * union.
 LINK_PERCENT = 85
 BANDS, BAND_ROWS = 26, 5
+#: With d the distance of linked documents, 2 * d + this similarity's distance must pass the sketches.
+CORE_PERCENT = 70
+PIVOT_ROUNDS = 2
+#: Members of a cluster that a task compares with as many others, and shingles it counts in one step.
+BLOCK_MEMBERS, STEP_SHINGLES = 1024, 4096
 SKETCH_WORDS = 8
 #: Words whose hash a worker keeps.
 MEMO_WORDS = 1_000_000
@@ -168,13 +177,75 @@ def _apart(a: str, b: str, words: int) -> Column:
     return total
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+def _similar(pairs: DataFrame, sets: DataFrame, percents: dict[str, int]) -> DataFrame:
+    """The pairs (u, v) with, for each name, whether their full sets are so similar."""
     left = sets.select(F.col("set_key").alias("u"), F.col("shingles").alias("u_set"))
     right = sets.select(F.col("set_key").alias("v"), F.col("shingles").alias("v_set"))
-    shared = F.size(F.array_intersect("u_set", "v_set")).cast("long")
-    both = pairs.join(left, "u").join(right, "v").withColumn("shared", shared)
-    return both.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.size("u_set") + F.size("v_set") - F.col("shared"))).select("u", "v")
+    both = pairs.join(left, "u").join(right, "v").withColumn("shared", F.size(F.array_intersect("u_set", "v_set")).cast("long"))
+    union = F.size("u_set") + F.size("v_set") - F.col("shared")
+    return both.select("u", "v", *[(100 * F.col("shared") >= percent * union).alias(name) for name, percent in percents.items()])
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, over steps of common shingles."""
+    flat = np.concatenate([*left, *right])
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1
+    common = n[column] > 1
+    rows, column = rows[common], number[column[common]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, STEP_SHINGLES):
+        a, b = np.searchsorted(column, [first, first + STEP_SHINGLES])
+        held = np.zeros((len(left) + len(right), STEP_SHINGLES), np.float32)
+        held[rows[a:b], column[a:b] - first] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out.astype(np.int64)
+
+
+def block_links(left: dict, right: dict, same: bool, near: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of linked pairs between members of different components; dicts of component, sketch, sets."""
+    a, b = np.stack(left["sketch"]).view(np.uint64), np.stack(right["sketch"]).view(np.uint64)
+    apart = np.zeros((len(a), len(b)), np.int16)
+    for k in range(a.shape[1]):
+        apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    wanted = (apart <= near) & (np.asarray(left["component"])[:, None] != np.asarray(right["component"])[None])
+    if same:
+        wanted = np.triu(wanted, 1)
+    i, j = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if not len(i):
+        return i, j
+    some_left, some_right = [left["sets"][k] for k in i], [right["sets"][k] for k in j]
+    shared = shared_counts(some_left, some_right)
+    sizes = np.array([len(x) for x in some_left])[:, None] + np.array([len(x) for x in some_right])[None]
+    found = np.nonzero(wanted[np.ix_(i, j)] & (100 * shared >= percent * (sizes - shared)))
+    return i[found[0]], j[found[1]]
+
+
+def _within_clusters(clusters: DataFrame, components: DataFrame, classes: DataFrame, sets: DataFrame, near: int, percent: int) -> DataFrame:
+    """Links (u, v) between members of a cluster whose components differ."""
+    own = clusters.select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
+    placed = own.join(components.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    mixed = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    blocks = mixed.select("cluster", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    dealt = placed.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(classes.select("set_key", "sketch"), "set_key").join(sets.select("set_key", "shingles"), "set_key")
+    met = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    pairs = met.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "component", "sketch", "shingles")
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        sides = [frame[frame["own"] == k] for k in (first, second)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pd.DataFrame({"u": [], "v": []})
+        keys = [[bytes(k) for k in side["set_key"]] for side in sides]
+        held = [{"component": np.array([bytes(c).hex() for c in side["component"]]), "sketch": side["sketch"].tolist(), "sets": side["shingles"].tolist()} for side in sides]
+        i, j = block_links(*held, first == second, near, percent)
+        return pd.DataFrame({"u": [keys[0][k] for k in i], "v": [keys[1][k] for k in j]})
+
+    return pairs.groupBy("cluster", "i", "j").applyInPandas(links, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS) -> DataFrame:
@@ -194,8 +265,10 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "near-classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), "set_key", "least_id")
-    shared = buckets.groupBy("bucket").agg(F.min("set_key").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "pivot")
-    members = written(buckets.join(shared, "bucket"), "near-members")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = buckets.join(shared, "bucket")
+    reach = members.groupBy("set_key").agg(F.sum("n").alias("reach"))
+    members = written(members.join(reach, "set_key").select("bucket", "set_key", "least_id", "reach"), "near-members")
     near = odd_limit(bands * band_rows, 64 * sketch_words, percent)
     sketch = lambda name: classes.select(F.col("set_key").alias(name), F.col("sketch").alias(f"{name}_sketch"))
 
@@ -204,22 +277,26 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     sets = written(full_sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi").filter("text is not null")), "near-sets")
     sets = sets.join(members.select("set_key").distinct(), "set_key", "left_semi")
 
-    # first round: each member of a bucket against the bucket's smallest
-    stars = members.filter("set_key != pivot").select(F.col("pivot").alias("u"), F.col("set_key").alias("v")).distinct()
-    stars = written(stars.join(sketch("u"), "u").join(sketch("v"), "v").filter(_apart("u_sketch", "v_sketch", sketch_words) <= near).select("u", "v"), "near-stars")
-    links = written(_confirmed(stars, sets, percent), "near-links")
+    left, candidates, links = members.select("bucket", "set_key", "reach"), None, None
+    for _ in range(PIVOT_ROUNDS):
+        pivots = left.groupBy("bucket").agg(F.max(F.struct("reach", "set_key"))["set_key"].alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u")
+        placed = left.join(pivots, "bucket").filter("set_key != u").withColumnRenamed("set_key", "v")
+        stars = placed.select("u", "v").distinct().join(sketch("u"), "u").join(sketch("v"), "v").filter(_apart("u_sketch", "v_sketch", sketch_words) <= near)
+        stars = written(_similar(stars.select("u", "v"), sets, {"linked": percent, "core": CORE_PERCENT}), "near-stars")
+        candidates = stars.select("u", "v") if candidates is None else candidates.union(stars.select("u", "v"))
+        found = stars.filter("linked").select("u", "v")
+        links = found if links is None else links.union(found)
+        left = placed.join(stars.filter("core").select("u", "v"), ["u", "v"], "left_anti").select("bucket", F.col("v").alias("set_key"), "reach")
+        left = written(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket", "left_semi"), "near-left")
+
+    # what two pivots left over in a bucket: sketches compared inside the join
+    rest = left.join(classes.select("set_key", "sketch"), "set_key")
+    a = rest.select("bucket", F.col("set_key").alias("u"), F.col("sketch").alias("u_sketch"))
+    b = rest.select("bucket", F.col("set_key").alias("v"), F.col("sketch").alias("v_sketch"))
+    across = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("u") < F.col("v")) & (_apart("u_sketch", "v_sketch", sketch_words) <= near)).select("u", "v").distinct()
+    clusters = connected_components(candidates.union(across))
     components = connected_components(links)
-
-    # second round: what is left apart in a bucket, sketches compared inside the join
-    placed = members.select("bucket", "set_key").join(components.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-    left = placed.join(mixed, "bucket").join(classes.select("set_key", "sketch"), "set_key")
-    left = written(left, "near-left")
-    a = left.select("bucket", F.col("set_key").alias("u"), F.col("component").alias("u_component"), F.col("sketch").alias("u_sketch"))
-    b = left.select("bucket", F.col("set_key").alias("v"), F.col("component").alias("v_component"), F.col("sketch").alias("v_sketch"))
-    apart = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("u") < F.col("v")) & (F.col("u_component") != F.col("v_component")) & (_apart("u_sketch", "v_sketch", sketch_words) <= near))
-    across = apart.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    more = written(_confirmed(across, sets, percent), "near-links")
+    more = written(_within_clusters(clusters, components, classes, sets, near, percent), "near-links")
     if not more.isEmpty():
         links = links.union(more)
         components = connected_components(links)
