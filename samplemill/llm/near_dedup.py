@@ -40,7 +40,7 @@ PIVOT_ROUNDS = 2
 BLOCK_MEMBERS, STEP_SHINGLES = 1024, 4096
 SKETCH_WORDS = 8
 #: Words whose hash a worker keeps.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 #: Characters of text that are hashed in one step.
 STEP_CHARS = 4_000_000
 
