@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,21 @@ def write_atomically(path: str, parts) -> int:
     return size
 
 
+#: In a worker: the operator whose memo is in use, and what empties it.
+_memo_in_use: dict[str, Callable[[], None]] = {}
+
+
+def use_memo(owner: str, empty: Callable[[], None]) -> None:
+    """Say in a worker that owner's memo is in use from now on; another operator's is emptied.
+
+    Spark uses workers again, so that the memos of all operators of a session would add up.
+    empty is a function of a module: a nested one would be shipped with a copy of the memo.
+    """
+    for other in [o for o in _memo_in_use if o != owner]:
+        _memo_in_use.pop(other)()
+    _memo_in_use[owner] = empty
+
+
 def row_hash(*columns: str):
     """64-bit hash of the columns; nulls count as a value of their own."""
     return F.xxhash64(*columns)

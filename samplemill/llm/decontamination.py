@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import use_memo, written
 from .near_dedup import mix
 
 WINDOW_TOKENS = 8
@@ -87,6 +87,12 @@ class Vocabulary:
 
 
 _vocabulary = Vocabulary()
+
+
+def forget_words() -> None:
+    _vocabulary.__init__()
+
+
 _NAME = _U(_code("<name>"))
 
 
@@ -136,6 +142,7 @@ def _window_rows(rows: DataFrame, sizes: list[int], min_literals: int, keep: np.
     given = rows.sparkSession.sparkContext.broadcast(keep)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_memo("decontamination", forget_words)
         bits = given.value
         for batch in batches:
             out = []

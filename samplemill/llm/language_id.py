@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import use_memo
+
 #: Bounds of what a language learns from: documents, and bytes of their lines.
 SAMPLE_DOCUMENTS = 400
 DICTIONARY_BYTES = 112 * 1024
@@ -73,6 +75,10 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> lis
     return out
 
 
+def forget_compressors() -> None:
+    _compressors.cache_clear()
+
+
 def letters(text: str) -> str:
     """The text's letters and marks, lower-cased, with one blank for all that stands between."""
     return _BETWEEN.sub(" ", text.lower()).strip()
@@ -111,6 +117,7 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin_b
 
     @F.pandas_udf("struct<lang_pred:string, score:double, rejected:boolean>")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        use_memo("language_id", forget_compressors)
         for some in texts:
             yield pd.DataFrame([classify(t, learned.value, margin_bytes, margin_share) for t in some], columns=["lang_pred", "score", "rejected"])
 

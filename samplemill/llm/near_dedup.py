@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .common import written
+from .common import use_memo, written
 
 SHINGLE_WORDS = 5
 #: Link where 100 * intersection >= LINK_PERCENT * union.
@@ -61,6 +61,10 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def forget_words() -> None:
+    _word_hashes.clear()
+
+
 def shingle_set(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     """The distinct shingles' 64-bit hashes in order; fewer words than size are one shingle."""
     import xxhash
@@ -121,6 +125,7 @@ def document_sets(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        use_memo("near_dedup", forget_words)
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1), 0
             while at < batch.num_rows:
@@ -156,6 +161,7 @@ def full_sets(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        use_memo("near_dedup", forget_words)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)

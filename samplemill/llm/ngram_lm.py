@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_uri, file_system, new_folder, write_atomically, written
+from .common import as_uri, file_system, new_folder, use_memo, write_atomically, written
 
 #: Tokens that a shard counts, as expected, and that a task sums up before it hands them on.
 SHARD_TOKENS = 8_000_000
@@ -46,6 +46,10 @@ def hashed(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
+def forget_hashes() -> None:
+    _hashes.clear()
+
+
 def token_hashes(text: str | None) -> np.ndarray:
     """Hashes of A-Z lower-cased words [^\\x20\\x09-\\x0D]+ and of the end."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -230,6 +234,7 @@ def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, folder: str | None
     bounds, documents = shard_bounds(shards), int(size[1])
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_memo("ngram_lm", forget_hashes)
         held, n = [], 0
         for batch in batches:
             for text in batch["text"]:
@@ -260,6 +265,7 @@ def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, folder: str | None
     start_id = model.words
 
     def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_memo("ngram_lm", forget_hashes)
         def run(held: list) -> pd.DataFrame:
             ids = model.ids(np.concatenate(held)).astype(np.uint64)
             context = np.concatenate([[_U(start_id)], ids[:-1]])
@@ -332,6 +338,7 @@ def score_documents(docs: DataFrame, model: BigramModel) -> DataFrame:
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use_memo("ngram_lm", forget_hashes)
         def step(ids: list, held: list) -> pd.DataFrame:
             word = model.ids(np.concatenate(held))
             begins = np.cumsum([0, *map(len, held[:-1])])

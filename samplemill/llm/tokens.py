@@ -18,6 +18,8 @@ from functools import cache
 
 import numpy as np
 
+from .common import use_memo
+
 #: Chunks that one worker keeps; a full memo is emptied, which costs time but changes no id.
 MEMO_CHUNKS = 1_200_000
 #: Longer chunks are encoded each time.
@@ -141,16 +143,26 @@ class ChunkEncoder:
             self.first[first] = self._whole([first])[0]
         return self.first[first] + b"".join(self._words(rest))
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.first.clear()
+
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         return [self.encode(t) for t in texts]
 
 
 @cache
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker process, kept over its tasks."""
+def _kept_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder a worker process, kept over its tasks; another operator's use empties its memo."""
+    found = _kept_encoder(path)
+    use_memo(path, found.forget)
+    return found
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from samplemill.llm import chat, decontamination, language_id, line_dedup, media, near_dedup, ngram_lm, packing, token_files, tokens, warc
+from samplemill.llm import chat, common, decontamination, language_id, line_dedup, media, near_dedup, ngram_lm, packing, token_files, tokens, warc
 
 SCHEMA = "doc_id long, text string, source string, n_lines long, _gone long"
 LONG = " ".join(f"word{k}" for k in range(30_000))
@@ -44,6 +44,20 @@ def test_memo_gives_the_librarys_ids(name):
     assert e.encode_all(texts) == want
 
 
+def test_a_worker_keeps_one_memo():
+    enc = tokens.encoder(tokens.public_path("byte_bpe_50k.json"))
+    ids = enc.encode("one two three")
+    assert enc.memo and tokens.encoder(tokens.public_path("byte_bpe_50k.json")).memo
+    common.use_memo("near_dedup", near_dedup.forget_words)
+    near_dedup.shingle_set("one two three four five six")
+    assert not enc.memo and near_dedup._word_hashes
+    common.use_memo("decontamination", decontamination.forget_words)
+    decontamination.template("one two three")
+    assert not near_dedup._word_hashes and decontamination._vocabulary.rows
+    enc = tokens.encoder(tokens.public_path("byte_bpe_50k.json"))
+    assert not decontamination._vocabulary.rows and enc.encode("one two three") == ids
+
+
 def test_packing(edges, empty):
     t = library("byte_bpe_50k.json")
     got = packing.pack_documents(edges, group_pieces=4).toPandas()
