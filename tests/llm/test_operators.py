@@ -320,3 +320,20 @@ def test_queries_and_pipeline(spark):
     assert set(got["doc_id"]) == set(texts)
     for d, own in got.groupby("doc_id"):
         assert own["length"].sum() == len(t.encode(texts[d] or "", add_special_tokens=False).ids) + 1
+
+
+def test_near_stage_against_all_pairs_at_80(spark):
+    import corpus_pipeline
+
+    texts = {}
+    for d in range(12):  # pairs of 96 shingles: an edit in the middle costs five of them
+        words = [f"t{d}w{k}" for k in range(100)]
+        texts[2 * d] = " ".join(words)
+        for e in range(d % 4):
+            words[20 + 20 * e] = f"edit{e}"
+        texts[2 * d + 1] = " ".join(words)
+    want = {p: {d for d, (_, c) in components(texts, p).items() if d == c} for p in (80, 85)}
+    assert len(want[80]) < len(want[85]) < len(texts)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_stage(spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == want[80]
