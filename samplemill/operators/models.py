@@ -7,6 +7,7 @@ HashPort stands for a model in tests: its output depends on nothing but its inpu
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -183,14 +184,18 @@ def own_range(t: Column) -> Column:
 
 # ---- text encoders: layers array<array<array<float>>> (layer, token, dimension)
 
+#: Texts whose states are Python lists at once; a whole Arrow batch of them would not fit a worker.
+STEP_TEXTS = 256
 STATES = "struct<layers:array<array<array<float>>>,pooler_output:array<float>,text_embeds:array<float>>"
 
 
 def text_port(port: TextPort, tokens: Column, mask: Column) -> Column:
     @F.pandas_udf(STATES)
-    def run(ids: pd.Series, masks: pd.Series) -> pd.DataFrame:
-        found = with_retries(port.run, list(ids), list(masks))
-        return pd.DataFrame([{"layers": [[list(map(float, t)) for t in layer] for layer in layers], **{k: pooled.get(k) for k in ("pooler_output", "text_embeds")}} for layers, pooled in found], columns=["layers", "pooler_output", "text_embeds"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ids, masks in batches:
+            for at in range(0, max(len(ids), 1), STEP_TEXTS):
+                found = with_retries(port.run, list(ids[at : at + STEP_TEXTS]), list(masks[at : at + STEP_TEXTS]))
+                yield pd.DataFrame([{"layers": [np.asarray(x, np.float64).tolist() for x in layers], **{k: pooled.get(k) for k in ("pooler_output", "text_embeds")}} for layers, pooled in found], columns=["layers", "pooler_output", "text_embeds"])
 
     return run.asNondeterministic()(tokens, mask)
 

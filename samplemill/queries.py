@@ -717,9 +717,7 @@ def crop_start_mask(spark, sf_dir):
 
 def _encoder_query(kind, **parameters):
     def encode(spark, sf_dir):
-        rows = tokenized(spark, sf_dir)
-        short = rows.withColumns({"tokens": F.slice("tokens", 1, 8), "tokens_mask": F.slice("tokens_mask", 1, 8)})
-        out = run(short, kind("tokens", "tokens_mask", "state", models.HashPort(), **parameters))
+        out = run(tokenized(spark, sf_dir), kind("tokens", "tokens_mask", "state", models.HashPort(), **parameters))
         return out.select("doc_id", F.size("state").cast("long").alias("n"), F.round(F.aggregate(F.flatten("state") if kind is not models.EncodeLlamaText else F.flatten(F.flatten("state")), F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
     return encode
@@ -737,8 +735,7 @@ query("encode_ideogram_text")(_encoder_query(models.EncodeIdeogramText, hidden_s
 @query("encode_anima_text")
 def encode_anima_text(spark, sf_dir):
     stage = models.EncodeAnimaText("tokens", "tokens_mask", "tokens", "tokens_mask", "state", models.HashPort())
-    rows = tokenized(spark, sf_dir).withColumns({"tokens": F.slice("tokens", 1, 8), "tokens_mask": F.slice("tokens_mask", 1, 8)})
-    return run(rows, stage).select("doc_id", F.size("state").cast("long").alias("n"))
+    return run(tokenized(spark, sf_dir), stage).select("doc_id", F.size("state").cast("long").alias("n"))
 
 
 # ---- a whole epoch

@@ -149,3 +149,32 @@ def test_stream_batches(spark, tmp_path):
     run.stop()
     rows = spark.sql("select * from batches").collect()
     assert len(rows) == 48 and {r["pos"] for r in rows} == {0, 1, 2, 3}
+
+
+def test_encoder_queries_take_all_tokens(spark, tmp_path):
+    from samplemill import queries
+
+    rows = [(1, " ".join(f"word{k}" for k in range(100))), (2, " ".join(f"other{k}" for k in range(30))), (3, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    given = {r["doc_id"]: (np.array(r["tokens"]), np.array(r["tokens_mask"])) for r in queries.tokenized(spark, str(tmp_path)).collect()}
+    assert {d: (len(ids), mask.sum()) for d, (ids, mask) in given.items()} == {1: (77, 77), 2: (77, 30), 3: (77, 1)}
+
+    def norm(x):
+        return (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5)
+
+    want = {
+        "clip": lambda x, m: (77, norm(x[-2])),
+        "t5": lambda x, m: (77, norm(x[-2])),
+        "gemma": lambda x, m: (77, x[-1]),
+        "llama": lambda x, m: (3, x[1:4, 1:]),
+        "mistral": lambda x, m: (77, x[[1, 3]]),
+        "qwen": lambda x, m: (75, (x[[1, 3]] * m[None, :, None])[:, 2:]),
+        "ideogram": lambda x, m: (77, x[[1, 3]]),
+        "anima": lambda x, m: (77, None),
+    }
+    for name, states in want.items():
+        for r in queries.QUERIES[f"encode_{name}_text"](spark, str(tmp_path)).collect():
+            ids, mask = given[r["doc_id"]]
+            x = np.sin(np.outer(ids.astype(float) + 1, np.arange(1, 17))).astype(np.float32).reshape(77, 4, 4).transpose(1, 0, 2).astype(float)
+            n, kept = states(x, mask)
+            assert r["n"] == n and (kept is None or r["total"] == pytest.approx(kept.sum(), abs=2e-3)), name
