@@ -5,6 +5,9 @@ placeholders, all other words their lower-cased form without punctuation around.
 tokens are hashed and joined; the placeholders' values of windows that agree are then held against
 each other. A copy whose values were exchanged consistently (one new value for each old one) is the
 same question with other parameters; values that contradict each other are a coincidence.
+
+Names are told by their capitals, which a copy in other case has lost. So each text has a second, plain
+template, in which names are words like others; its windows meet only those of plain templates.
 """
 
 from __future__ import annotations
@@ -62,7 +65,7 @@ class Vocabulary:
 
     def add(self, word: str) -> None:
         core = _EDGES.sub("", word)
-        low = core.lower()
+        low = core.casefold()
         flags = _ENDS * (word.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}) | _UPPER * core[:1].isupper() | _EMPTY * (not core)
         if _NUMBER.search(low):
             low, flags = _NUMBER.sub("<number>", low), flags | _SLOT
@@ -96,11 +99,12 @@ def forget_words() -> None:
 _NAME = _U(_code("<name>"))
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(codes, whether a slot, the word each stands at, words) of a text.
+def templates(text: str | None) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], list[str]]:
+    """The template of a text and its plain one, each (codes, whether a slot, the word each stands at); and the words.
 
     A capitalised word that opens no sentence is a name; names that follow one another are one name.
-    Words of punctuation alone are left out.
+    Words of punctuation alone are left out. In the plain template names are words; without names both
+    are the same object.
     """
     words = text.split() if text else []
     codes, flags = _vocabulary.of(words)
@@ -109,11 +113,19 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     opens[1:] = flags[:-1] & _ENDS != 0
     slot = flags & _SLOT != 0
     name = (flags & _UPPER != 0) & ~opens & ~slot
-    codes = np.where(name, _NAME, codes)[at]
-    slot, name = (slot | name)[at], name[at]
-    follows = np.zeros(len(at), bool)
-    follows[1:] = name[1:] & name[:-1]
-    return codes[~follows], slot[~follows], at[~follows], words
+    codes, slot, name = codes[at], slot[at], name[at]
+    plain = codes, slot, at
+    if not name.any():
+        return [plain, plain], words
+    stays = np.ones(len(at), bool)
+    stays[1:] = ~(name[1:] & name[:-1])
+    return [(np.where(name, _NAME, codes)[stays], (slot | name)[stays], at[stays]), plain], words
+
+
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(codes, whether a slot, the word each stands at, words) of a text's template."""
+    found, words = templates(text)
+    return *found[0], words
 
 
 def window_hashes(codes: np.ndarray, slot: np.ndarray, size: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +137,7 @@ def window_hashes(codes: np.ndarray, slot: np.ndarray, size: int, min_literals:
     for j in range(size):
         total = mix(total + codes[j : j + n] * _PLACES[j])
     literals = np.cumsum(np.concatenate([[0], ~slot]))
-    good = np.flatnonzero(literals[size:] - literals[:-size] >= min(min_literals, size))
+    good = np.flatnonzero(literals[size:] - literals[:-size] >= min_literals)
     return good, total[good]
 
 
@@ -133,7 +145,9 @@ def _slot_values(slot: np.ndarray, at: np.ndarray, words: list[str], pos: int, s
     return [_EDGES.sub("", words[k]) for k in at[pos : pos + size][slot[pos : pos + size]]]
 
 
-_WINDOW_SCHEMA = "row_id long, window_hash long, pos long, size int, n_windows long, slots array<string>"
+_WINDOW_SCHEMA = "row_id long, plain boolean, window_hash long, pos long, size int, n_windows long, slots array<string>"
+#: Keeps the hashes of plain windows apart from the others.
+_PLAIN = _U(_code("<plain>"))
 
 
 def _window_rows(rows: DataFrame, sizes: list[int], min_literals: int, keep: np.ndarray | None) -> DataFrame:
@@ -147,16 +161,28 @@ def _window_rows(rows: DataFrame, sizes: list[int], min_literals: int, keep: np.
         for batch in batches:
             out = []
             for row_id, text in zip(batch["row_id"], batch["text"], strict=True):
-                codes, slot, at, words = template(text)
-                for size in sizes if bits is not None else [min(max(sizes), len(codes))] * (len(codes) > 0):
-                    pos, hashes = window_hashes(codes, slot, size, min_literals)
-                    n = len(pos)
-                    if bits is not None:
-                        where = (hashes & _U(FILTER_BITS - 1)).astype(np.int64)
-                        hit = np.flatnonzero(bits[where >> 3] >> (where & 7) & 1)
-                        pos, hashes = pos[hit], hashes[hit]
-                    out += [(row_id, h, p, size, n, _slot_values(slot, at, words, p, size)) for p, h in zip(pos.tolist(), hashes.view(np.int64).tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=["row_id", "window_hash", "pos", "size", "n_windows", "slots"])
+                found, words = templates(text)
+                longest = max(len(codes) for codes, _, _ in found)
+                for size in sizes if bits is not None else [max(sizes)]:
+                    if bits is not None and size > longest:
+                        continue
+                    last = None
+                    for plain, (codes, slot, at) in enumerate(found):
+                        own = size if bits is not None else min(size, len(codes))
+                        if not plain or found[1] is not found[0]:
+                            last = window_hashes(codes, slot, own, min_literals)
+                        pos, hashes = last
+                        n = len(pos)
+                        if plain:
+                            hashes = hashes ^ _PLAIN
+                        if bits is not None:
+                            where = (hashes & _U(FILTER_BITS - 1)).astype(np.int64)
+                            hit = np.flatnonzero(bits[where >> 3] >> (where & 7) & 1)
+                            pos, hashes = pos[hit], hashes[hit]
+                        for p, h in zip(pos.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                            values = _slot_values(slot, at, words, p, own)
+                            out.append((row_id, bool(plain), h, p, own, n, [v.casefold() for v in values] if plain else values))
+            yield pd.DataFrame(out, columns=["row_id", "plain", "window_hash", "pos", "size", "n_windows", "slots"])
 
     return rows.mapInPandas(find, _WINDOW_SCHEMA)
 
@@ -174,7 +200,11 @@ def find_contamination(
 
     Returns a row for each document and item: doc_id, item_id, matched_windows (different windows of
     the item that agree), item_windows, share, first_token and last_token (template positions in the
-    document), and reparameterised (whether a slot has another value).
+    document; in the plain template if only that finds the item), and reparameterised (whether a slot
+    has another value).
+
+    Case doesn't matter for copies word by word, nor for numbers and units. A copy in other case whose names
+    were exchanged as well loses each window that holds one.
 
     Items shorter than a window are one window; items without min_literals literals (or without
     words) are never found. Null or empty texts hold nothing. A null doc_id or item_id stays null.
@@ -192,19 +222,23 @@ def find_contamination(
     for r in marked.collect():  # at most FILTER_BITS / 8 rows
         keep[r["byte"]] = r["bits"]
     rows = docs.select(F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
-    near = _window_rows(rows, sizes, min_literals, keep).drop("n_windows", "size").withColumnRenamed("row_id", "doc_id")
+    near = _window_rows(rows, sizes, min_literals, keep).drop("n_windows", "size", "plain").withColumnRenamed("row_id", "doc_id")
     joined = near.join(wanted, "window_hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
     # each alignment of the two for itself, then the consistent ones together
     values = F.arrays_zip("item_slots", "slots")
-    aligned = joined.groupBy("doc_id", "item_id", "shift", "item_windows").agg(F.array_distinct(F.flatten(F.collect_set(values))).alias("values"), F.collect_set("item_pos").alias("places"), F.min("pos").alias("first_token"), F.max("pos").alias("last_token"))
+    aligned = joined.groupBy("doc_id", "item_id", "plain", "shift", "item_windows").agg(F.array_distinct(F.flatten(F.collect_set(values))).alias("values"), F.collect_set("item_pos").alias("places"), F.min("pos").alias("first_token"), F.max("pos").alias("last_token"))
     old = F.array_distinct(F.transform("values", lambda v: v["item_slots"]))
     clear = F.filter(old, lambda o: F.size(F.filter("values", lambda v: v["item_slots"] == o)) == 1)
     consistent = aligned.filter((F.size(old) == 0) | (F.size(clear) >= F.lit(min_agreement) * F.size(old)))
     changed = F.exists("values", lambda v: v["item_slots"] != v["slots"])
-    places = consistent.select("doc_id", "item_id", "item_windows", "first_token", "last_token", changed.alias("changed"), F.explode("places").alias("place"))
-    found = places.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"), F.min("changed").alias("reparameterised"))
+    places = consistent.select("doc_id", "item_id", "plain", "item_windows", "first_token", "last_token", changed.alias("changed"), F.explode("places").alias("place"))
+    found = places.groupBy("doc_id", "item_id", "plain").agg(F.countDistinct("place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"), F.min("changed").alias("reparameterised"))
     found = found.withColumn("share", F.col("matched_windows") / F.col("item_windows"))
-    return found.filter((F.col("share") >= min_share) | (F.col("matched_windows") >= min_windows)).select("doc_id", "item_id", "matched_windows", "item_windows", "share", "first_token", "last_token", "reparameterised")
+    held = found.filter((F.col("share") >= min_share) | (F.col("matched_windows") >= min_windows))
+    columns = ["matched_windows", "item_windows", "share", "first_token", "last_token", "reparameterised"]
+    # what both templates find is told by the one with names
+    once = held.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(*columns), "plain").alias("found"))
+    return once.select("doc_id", "item_id", *[F.col("found")[c].alias(c) for c in columns])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

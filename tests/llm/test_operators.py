@@ -337,3 +337,13 @@ def test_near_stage_against_all_pairs_at_80(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_stage(spark, docs, "")
     assert {r["doc_id"] for r in got.collect()} == want[80]
+
+
+def test_decontamination_of_other_case_and_short_items(spark):
+    question = "Every spring Maria Lopez takes 12 wooden boats from Lake Como to Uncle Henry and Aunt Rosa, who paint Maria's boats blue near Bern in 3 days."
+    short = ["Yes.", "Maria Lopez", "So it is 7.", "One plain question in six words"]
+    bench = spark.createDataFrame([(1, question), *enumerate(short, 2)], "item_id long, text string")
+    copies = [question, question.upper(), question.lower(), question.title(), question.upper().replace("12", "45")]
+    docs = [*enumerate(f"Some words before. {c} And after." for c in copies), (10, "Yes. Maria Lopez said so. So it is 7. Good."), (11, "ONE PLAIN QUESTION IN SIX WORDS")]
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1): False, (1, 1): False, (2, 1): False, (3, 1): False, (4, 1): True, (11, 5): False}
