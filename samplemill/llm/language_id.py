@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import use_memo
+from .common import use_memo, written
 
 #: Bounds of what a language learns from: documents, and bytes of their lines.
 SAMPLE_DOCUMENTS = 400
 DICTIONARY_BYTES = 112 * 1024
-#: More languages than this aren't learned (the most frequent are).
-MAX_LANGUAGES = 200
+#: Bytes of all dictionaries: with more languages than fit, each has a smaller one.
+TOTAL_BYTES = 200 * DICTIONARY_BYTES
+#: Longer lines are learned in pieces of so many characters.
+LINE_CHARS = 1000
 BLOCK_BYTES = 4096
 #: Level of the first look, and of the second where the next language is within SECOND_LOOK of the best.
 LEVEL, BEST_LEVEL = 3, 19
@@ -46,18 +48,24 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def learn_dictionaries(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, the most frequent first, from labelled (text, lang); rows with null or empty text or lang are left out.
 
-    The sample is drawn by a hash of the text: at most sample_documents of a language, and of their
-    distinct lines at most dictionary_bytes. That bounds what reaches the driver.
+    The sample is drawn by a hash of the text: at most sample_documents distinct texts of a language, and
+    of the distinct pieces of their lines at most dictionary_bytes (one piece at least). Every language is
+    learned; where their dictionaries would exceed TOTAL_BYTES, each has an equal share of these.
     """
     rows = labelled.filter("lang is not null and text is not null and text != ''").select("lang", "text")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
+    counts = written(counts, "language-counts")
+    dictionary_bytes = min(dictionary_bytes, TOTAL_BYTES // max(counts.count(), 1))
     # twice as many as wanted by a threshold on the hash, then the first of these by rank
     drawn = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)).alias("draw")
-    near = rows.join(F.broadcast(counts), "lang").select("lang", "text", "n", drawn).filter(F.col("draw") * F.col("n") < F.lit(2 * sample_documents << 30))
+    near = rows.join(F.broadcast(counts), "lang").select("lang", "text", "texts", drawn).filter(F.col("draw") * F.col("texts") < F.lit(2 * sample_documents << 30))
+    near = near.select("lang", "text", "draw").distinct()
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("rank") <= sample_documents)
-    lines = ranked.select("lang", F.explode(F.split("text", "\n")).alias("line")).filter("line != ''").distinct()
+    pieces = F.regexp_extract_all("line", F.lit(f"(?s).{{1,{LINE_CHARS}}}"), F.lit(0))
+    lines = ranked.select("lang", F.explode(F.split("text", "\n")).alias("line")).select("lang", F.explode(pieces).alias("line")).distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("line"), "line")
-    taken = lines.withColumn("upto", F.sum(F.octet_length("line") + 1).over(order)).filter(F.col("upto") <= dictionary_bytes)
+    upto = lines.withColumn("upto", F.sum(F.octet_length("line") + 1).over(order)).withColumn("place", F.row_number().over(order))
+    taken = upto.filter((F.col("upto") <= dictionary_bytes) | (F.col("place") == 1))
     whole = taken.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("upto", "line"))), lambda x: x["line"]), "\n").alias("content"))
     found = whole.join(F.broadcast(counts), "lang").orderBy(F.desc("n"), "lang").collect()
     return {r["lang"]: letters(r["content"]).encode() for r in found}
@@ -98,19 +106,21 @@ def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], marg
     text = letters(text)
     sizes = compressed_sizes(text, dictionaries)
     least = min(sizes)
-    if sorted(sizes)[1:2] <= [least * (1 + SECOND_LOOK) + MARGIN_BYTES]:
+    if len(sizes) > 1 and sorted(sizes)[1] <= least * (1 + SECOND_LOOK) + MARGIN_BYTES:
         sizes = compressed_sizes(text, dictionaries, BEST_LEVEL)
         least = min(sizes)
-    margin = min([s for k, s in enumerate(sizes) if k != sizes.index(least)], default=least + 64) - least
     score = 1 / sum(2.0 ** -min(s - least, 64) for s in sizes)
-    return dictionaries[sizes.index(least)][0], score, margin < margin_bytes or margin < margin_share * least
+    margins = [s - least for k, s in enumerate(sizes) if k != sizes.index(least)]
+    close = bool(margins) and (min(margins) < margin_bytes or min(margins) < margin_share * least)
+    return dictionaries[sizes.index(least)][0], score, close
 
 
 def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin_bytes: int = MARGIN_BYTES, margin_share: float = MARGIN_SHARE) -> DataFrame:
     """docs (text, ...) with lang_pred (a learned language, or und), score (0 to 1) and rejected.
 
     und, score 0 and rejected: a text that is null or has no letter, or no language was learned.
-    Equal sizes go to the language that was learned from most documents and are rejected. Very long texts are compressed
+    Equal sizes go to the language that was learned from most documents and are rejected; where only one
+    was learned, nothing comes close to it. Very long texts are compressed
     whole, block by block. Columns of docs named like those added are replaced; all others stay.
     """
     learned = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))

@@ -347,3 +347,26 @@ def test_decontamination_of_other_case_and_short_items(spark):
     docs = [*enumerate(f"Some words before. {c} And after." for c in copies), (10, "Yes. Maria Lopez said so. So it is 7. Good."), (11, "ONE PLAIN QUESTION IN SIX WORDS")]
     got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(0, 1): False, (1, 1): False, (2, 1): False, (3, 1): False, (4, 1): True, (11, 5): False}
+
+
+def test_language_samples_are_whole(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    rows = [("long", " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(40_000)))]  # one line that exceeds a dictionary
+    rows += [("copies", "the same text")] * 3000 + [("copies", f"own text {k}") for k in range(300)]
+    rows += [(f"rare{k}", f"rare {k}") for k in range(250)]
+    learned = language_id.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string"), sample_documents=50)
+    assert set(learned) == {lang for lang, _ in rows} and next(iter(learned)) == "copies"
+    assert 40_000 < len(learned["long"]) <= language_id.DICTIONARY_BYTES
+    # digits count as blanks
+    assert learned["copies"].count(b"own text") >= 49
+    monkeypatch.setattr(language_id, "TOTAL_BYTES", 252 * 5000)
+    small = language_id.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string"), sample_documents=50)
+    assert set(small) == set(learned) and len(small["long"]) <= 5000
+
+
+def test_one_language_rejects_no_text(spark):
+    text = "".join(chr(97 + int(k)) for k in np.random.default_rng(6).integers(0, 26, 60_000))
+    assert language_id.classify(text, (("en", b"some words"),)) == ("en", 1.0, False)
+    assert language_id.classify("12", (("en", b"some words"),))[2]
