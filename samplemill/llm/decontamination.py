@@ -242,6 +242,11 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """docs without those that hold a benchmark item; all columns stay."""
-    held = find_contamination(docs, benchmark, **parameters).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["_held"]), "left_anti")
+    """docs without those that hold a benchmark item; all columns stay.
+
+    Each row is judged by its own text: rows are told apart by a hash of doc_id and text.
+    """
+    key = F.xxhash64("doc_id", F.col("text").cast("string"))
+    held = find_contamination(docs.select(key.alias("doc_id"), "text"), benchmark, **parameters).select(F.col("doc_id").alias("_held")).distinct()
+    own = docs.withColumn("_key", key)
+    return own.join(held, own["_key"] == held["_held"], "left_anti").drop("_key")

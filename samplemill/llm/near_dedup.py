@@ -119,8 +119,12 @@ def odd_limit(samples: int, bits: int, percent: int) -> int:
     return math.ceil(mean + 3 * math.sqrt(mean * (1 - mean / bits)))
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def document_sets(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS) -> DataFrame:
-    """A row a document: doc_id, n_shingles, set_key (128-bit; null for empty sets), bands, sketch."""
+    """A row a document: doc_id, text_hash, n_shingles, set_key (128-bit; null for empty sets), bands, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -143,16 +147,17 @@ def document_sets(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(began, at - began),
+                        batch.column(2).slice(began, at - began),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(rows * bands, pa.array(keys.ravel())),
                         pa.ListArray.from_arrays(rows * sketch_words, pa.array(sketches.ravel())),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                    ["doc_id", "text_hash", "n_shingles", "set_key", "bands", "sketch"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash"))
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -258,8 +263,9 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     """Groups of near-duplicates among docs (doc_id, text).
 
     Returns doc_id, n_shingles (size of the document's set), component_id (smallest doc_id that
-    links reach, itself included), kept (doc_id = component_id), set_key (its class of equal sets)
-    and class_links (links of that class to other classes that were confirmed).
+    links reach, itself included), kept (doc_id = component_id), set_key (its class of equal sets),
+    class_links (links of that class to other classes that were confirmed), text_hash (64-bit hash of
+    the text) and group (the same for all rows of a group; null for empty sets).
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. A null
     doc_id stays null; its document links others and is kept only if none in its group has an id
@@ -310,13 +316,29 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     ends = links.select(F.explode(F.array("u", "v")).alias("set_key")).groupBy("set_key").agg(F.count(F.lit(1)).alias("class_links"))
     found = classes.select("set_key", "least_id").join(components.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = found.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_class = found.join(smallest, "component").select("set_key", "component_id").join(ends, "set_key", "left")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
+    by_class = found.join(smallest, "component").select("set_key", "component_id", F.col("component").alias("group")).join(ends, "set_key", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_key", F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_key", F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"), "text_hash", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without the near-duplicates of a document with a smaller doc_id; all columns stay."""
-    gone = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each group of near-duplicates, and all rows without words; all columns stay.
+
+    The row with the smallest doc_id stays (a null one only if none in its group has an id), then the one
+    with the smallest hash of its text; of rows that repeat both, any one. Rows are told apart by doc_id
+    and text, so rows with a null or repeated doc_id go or stay each for itself.
+    """
+    found = near_duplicates(docs, **parameters).filter("group is not null").select("group", "doc_id", "text_hash")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    keys = found.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = keys.groupBy("group").agg(F.min(order).alias("first"), F.sum("n").alias("rows")).filter("rows > 1").select("group", "first")
+    placed = keys.join(first, "group").withColumn("stays", order == F.col("first")).filter("not stays or n > 1")
+    decided = written(placed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "near-decided")
+    own = docs.withColumn("_text_hash", _text_hash())
+    same = own["doc_id"].eqNullSafe(decided["_id"]) & (own["_text_hash"] == decided["_hash"])
+    out = own.join(decided, same, "left_anti")
+    again = decided.filter("stays")
+    if not again.isEmpty():  # rows that repeat a whole key
+        out = out.unionByName(own.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]))
+    return out.drop("_text_hash")

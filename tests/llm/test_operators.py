@@ -370,3 +370,18 @@ def test_one_language_rejects_no_text(spark):
     text = "".join(chr(97 + int(k)) for k in np.random.default_rng(6).integers(0, 26, 60_000))
     assert language_id.classify(text, (("en", b"some words"),)) == ("en", 1.0, False)
     assert language_id.classify("12", (("en", b"some words"),))[2]
+
+
+def test_drops_judge_each_row(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, text("a")), (None, text("a") + " end"), (None, text("b")), (3, text("a")), (3, text("c")), (4, text("d")), (4, text("d")), (4, text("d") + " end"), (None, text("e")), (None, text("e")), (None, text("e") + " end"), (5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, _gone long")
+    out = near_dedup.drop_near_duplicates(docs)
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in out.collect()]
+    assert out.columns == docs.columns
+    assert sorted(got, key=str) == sorted([(1, "a"), (None, "b"), (3, "c"), (4, "d"), (None, "e"), (5, ""), (5, ""), (None, "")], key=str)
+    bench = spark.createDataFrame([(1, "one question that someone asks about boats on the lake today")], "item_id long, text string")
+    held = bench.first()["text"]
+    rows = [(None, held), (None, "clean"), (7, held), (7, "clean"), (8, None), (None, None)]
+    out = decontamination.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, "clean"), (7, "clean"), (8, None), (None, None)], key=str)
