@@ -25,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs; what had nothing else goes."""
     clean = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS))
-    left = clean.filter((F.col("removed_lines") == 0) | (F.trim("text") != ""))
+    left = clean.filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)
 
 

@@ -385,3 +385,11 @@ def test_drops_judge_each_row(spark):
     rows = [(None, held), (None, "clean"), (7, held), (7, "clean"), (8, None), (None, None)]
     out = decontamination.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, "clean"), (7, "clean"), (8, None), (None, None)], key=str)
+
+
+def test_a_rest_of_white_space_is_no_document(spark):
+    import corpus_pipeline
+
+    text = "\n\n" + "\n".join(" ".join(f"w{k}{j}" for j in range(18)) for k in range(4)) + "\n\n"
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in [(1, text), (2, text), (3, text + "more"), (4, "\n\n")]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()) == [1, 3, 4]
