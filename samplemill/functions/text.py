@@ -52,3 +52,9 @@ def capwords(x: Column) -> Column:
 
 def capitalize(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.length(x))))
+
+
+def bound(x: Column, fn) -> Column:
+    """fn(x) with x computed once: as an expression it would be computed wherever fn names it, in a
+    lambda even once for each element."""
+    return F.element_at(F.transform(F.array(x), fn), 1)

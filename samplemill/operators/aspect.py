@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.rng import choice
 from ..plans.stage import ColumnStage, Context, resolve
 from .tags import flag
@@ -29,6 +30,15 @@ def buckets(target: int, quantization: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def nearest_bucket(target: Column, aspect: Column, quantization: int) -> Column:
+    """struct(d, h, w) of the bucket of a square target whose height to width is nearest; null without one."""
+    sides = [(a / (a * b) ** 0.5, b / (a * b) ** 0.5) for a, b in ASPECTS]
+    ratios = F.array(*[F.struct(F.lit(x).alias("h"), F.lit(y).alias("w")) for a, b in sides for x, y in ((a, b), (b, a))])
+    side = lambda x: (F.rint(x * target / quantization) * quantization).cast("int")
+    found = F.transform(F.transform(ratios, lambda r: F.struct(side(r["h"]).alias("h"), side(r["w"]).alias("w"))), lambda r: F.struct(F.abs(r["h"] / r["w"] - aspect).alias("d"), r["h"].alias("h"), r["w"].alias("w")))
+    return F.when(target.isNotNull() & aspect.isNotNull(), F.array_min(found))
+
+
 def parse_targets(text: str) -> tuple[list[int], list[tuple[int, int]]]:
     """(square targets, fixed resolutions) of "512, 768" or "WxH"."""
     if "x" in text and "," not in text:
@@ -47,8 +57,9 @@ def scale_to(h: Column, w: Column, th: Column, tw: Column) -> tuple[Column, Colu
 class AspectBucketing(ColumnStage):
     """The bucket whose aspect is nearest, of a target drawn from the row's list; or a fixed resolution.
 
-    Ties go to the smaller (height, width). Leading dimensions (frames) stay. possible_resolutions says
-    which resolutions can come out.
+    Ties go to the smaller (height, width). Leading dimensions (frames) stay. Buckets are computed in
+    the row's own expressions. possible_resolutions, and the context's function of that name, say which
+    resolutions can come out: they read the different targets in a job of their own, when they are asked.
     """
 
     quantization: int
@@ -80,19 +91,12 @@ class AspectBucketing(ColumnStage):
         return sorted(found)
 
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
-        texts = self._targets(df)
-        ctx.meta["possible_resolutions"] = self.possible_resolutions(df)
+        ctx.meta["possible_resolutions"] = lambda: self.possible_resolutions(df)
         size = resolve(df, self.resolution_in)
         h, w = F.element_at(size, -2), F.element_at(size, -1)
         wanted = self._wanted(df).cast("string")
         squares = F.transform(F.split(wanted, ","), lambda t: F.trim(t).cast("int"))
-        drawn = choice(self.random(ctx), squares)
-        tables = {t: buckets(t, self.quantization) for x in texts for t in parse_targets(x)[0]}
-        nearest = F.lit(None).cast("struct<d:double,h:int,w:int>")
-        for t, found in tables.items():
-            literal = F.array(*[F.struct(F.lit(a).alias("h"), F.lit(b).alias("w")) for a, b in found])
-            best = F.array_min(F.transform(literal, lambda b: F.struct(F.abs(b["h"] / b["w"] - h / w).alias("d"), b["h"].alias("h"), b["w"].alias("w"))))
-            nearest = F.when(drawn == t, best).otherwise(nearest)
+        nearest = tx.bound(F.struct(choice(self.random(ctx), squares).alias("t"), (h / w).alias("a")), lambda b: nearest_bucket(b["t"], b["a"], self.quantization))
         fixed = wanted.contains("x") & ~wanted.contains(",")
         part = lambda k: (F.rint(F.element_at(F.split(wanted, "x"), k).cast("double") / self.quantization) * self.quantization).cast("int")
         th, tw = F.when(fixed, part(2)).otherwise(nearest["h"]), F.when(fixed, part(1)).otherwise(nearest["w"])

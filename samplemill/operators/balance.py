@@ -1,7 +1,8 @@
 """Grouping and balancing: each group gives n * balancing rows (REPEATS) or a number of rows (SAMPLES).
 
 Rows of a group are taken in turn, and go on in the next epoch where this one stopped. A group's first
-row says how it is balanced. The groups' sizes are a small table; rows meet it in one equi-join.
+row says how it is balanced. The groups' sizes are a small table; rows meet it in one equi-join, and are
+numbered in blocks, so that a group with most of the rows still spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.index import dense_index, number_block
 from ..plans.stage import Context, Stage, carried, resolve
 from .tags import flag
 
 REPEATS, SAMPLES = "REPEATS", "SAMPLES"
+#: Repeats of a row that are made from one array.
+TURNS = 1 << 16
+#: Rows of a cached group that one task writes.
+CACHED_ROWS = 1 << 20
 
 
 def groups(df: DataFrame, by: list[str], balancing_in: str, strategy_in: str) -> DataFrame:
@@ -31,21 +37,27 @@ def groups(df: DataFrame, by: list[str], balancing_in: str, strategy_in: str) ->
 
 
 def expand(df: DataFrame, variation: int, by: list[str], balancing_in: str, strategy_in: str, enabled_in: str | None) -> DataFrame:
-    """The balanced rows: the columns of df with a new dense idx, variation, and in_variation."""
+    """The balanced rows: the columns of df with a new dense idx, variation, and in_variation.
+
+    A group gives its rows in turn: the j-th of this epoch is the row at (j + variation * n_out) mod n. So
+    each row knows from its place which j it stands for, and emits those itself.
+    """
     kept = df.filter(flag(df, enabled_in))
     table = groups(kept, by, balancing_in, strategy_in)
-    keys = [f"g{k}" for k in range(len(by))]
+    keys = [f"_g{k}" for k in range(len(by))]
     keyed = kept.select("*", *[resolve(kept, b).alias(k) for k, b in zip(keys, by, strict=True)])
-    placed = keyed.withColumn("at", (F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1).cast("long"))
-    turn = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)).alias("j"))
-    turn = turn.withColumn("local", F.col("j") + F.lit(variation) * F.col("n_out"))
-    wanted = turn.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("before") + F.col("j")).alias("_idx"), F.expr("local div n").cast("int").alias("in_variation"), (F.col("local") % F.col("n")).alias("_at"))
-    match = F.col("at") == F.col("_at")
+    placed = dense_index(keyed, [F.col("idx")], "_place", tuple(keys), number_block(F.col("idx")))
+    match = F.lit(True)
     for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        match = match & F.col(k).eqNullSafe(F.col(k.removeprefix("_")))
+    sized = placed.join(table, match).withColumn("_j", F.expr(f"pmod(_place - {variation} * n_out, n)")).filter("_j < n_out")
+    # every n-th j from the first on: in two steps, so that no row builds a long array
+    sized = sized.withColumn("_turn", F.explode(F.expr(f"sequence(0, (n_out - 1 - _j) div n div {TURNS})")))
+    last = F.expr(f"least((n_out - 1 - _j) div n, (_turn + 1) * {TURNS} - 1)")
+    each = sized.withColumn("_again", F.explode(F.sequence(F.col("_turn") * TURNS, last))).withColumn("_j", F.col("_j") + F.col("_again") * F.col("n"))
     rest = [c for c in df.columns if c not in ("idx", "variation", "in_variation")]
-    joined = wanted.join(placed, match)
-    return joined.select(F.lit(variation).alias("variation"), F.col("_idx").alias("idx"), "in_variation", *rest)
+    in_variation = F.expr(f"(_j + {variation} * n_out) div n").cast("int").alias("in_variation")
+    return each.select(F.lit(variation).alias("variation"), (F.col("before") + F.col("_j")).cast("long").alias("idx"), in_variation, *rest)
 
 
 @dataclass
@@ -130,10 +142,11 @@ class DiskCache(Stage):
             made = made.withColumn("_group", F.sha2(F.to_json(F.struct(*[k.alias(f"g{i}") for i, k in enumerate(keys)])), 256))
             for stage in self.make:
                 made = stage.apply(made, ctx)
-            made.select("_source", "_group", *carried(made, names)).write.mode("overwrite").partitionBy("_group").parquet(self._folder(v))
+            rows_of = made.select("_source", "_group", *carried(made, names)).repartition("_group", F.expr(f"_source div {CACHED_ROWS}"))
+            rows_of.write.mode("overwrite").partitionBy("_group").parquet(self._folder(v))
         cached = ctx.spark.read.option("basePath", self.cache_dir).parquet(*[self._folder(v) for v in sorted(needed)])
         cached = cached.withColumnRenamed("variation", "_variation").drop("_group")
         have = set(carried(cached, names))
         kept = [c for c in wanted.columns if c not in have]
-        out = wanted.select(*kept).join(cached, ["_source"]).filter(F.col("in_variation") == F.col("_variation"))
+        out = wanted.select(*kept).join(cached.withColumnRenamed("_variation", "in_variation"), ["_source", "in_variation"])
         return out.select("variation", "idx", "in_variation", *carried(cached, names))

@@ -1,7 +1,7 @@
 """Order of an epoch: batches of one resolution, and shards for consumers.
 
-Rows are numbered inside their bucket. Only the batches, a row for each, are put in one order; a batch's
-rows follow from its number, so no task sorts all rows.
+Rows are numbered inside their bucket, in blocks, so that no task sorts a whole bucket. Only the
+batches, a row for each, are put in one order; a batch's rows follow from its number.
 """
 
 from __future__ import annotations
@@ -10,15 +10,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.index import dense_index
+from ..functions.index import dense_index, number_block, uniform_block
 from ..plans.stage import Context, Stage, carried, resolve
 
 
-def _numbered_batches(batches: DataFrame, order: list[Column], batch_size: int) -> DataFrame:
+def _numbered_batches(batches: DataFrame, order: list[Column], block: Column, batch_size: int) -> DataFrame:
     """batches (bucket, batch, ...) with `first`, the idx of a batch's first row."""
-    return dense_index(batches, order, "number").withColumn("first", F.col("number") * batch_size)
+    return dense_index(batches, order, "number", block=block).withColumn("first", F.col("number") * batch_size)
 
 
 def _placed(rows: DataFrame, numbered: DataFrame, batch_size: int, names: list[str]) -> DataFrame:
@@ -41,12 +40,12 @@ class AspectBatchSorting(Stage):
         size = self.batch_size
         rows = df.select("variation", "idx", *carried(df, self.names), resolve(df, self.resolution_in).alias("_bucket"))
         rows = rows.withColumn("_key", self.random(ctx, "row"))
-        bucket = Window.partitionBy("variation", "_bucket")
-        placed = rows.withColumn("_pos", F.row_number().over(bucket.orderBy("_key", "idx")) - 1).withColumn("_n", F.count(F.lit(1)).over(bucket))
+        placed = dense_index(rows, [F.col("_key"), F.col("idx")], "_pos", ("variation", "_bucket"), uniform_block(df, F.col("_key")), "_n")
         whole = placed.filter(F.col("_pos") < F.expr(f"(_n div {size}) * {size}")).withColumn("_batch", F.expr(f"_pos div {size}"))
-        batches = whole.groupBy("variation", "_bucket", "_batch").agg(F.first("_n").alias("_any")).drop("_any")
+        batches = whole.select("variation", "_bucket", "_batch").distinct()
         text = F.concat_ws("|", F.lit("batch"), F.col("_bucket").cast("string"), F.col("_batch").cast("string"))
-        numbered = _numbered_batches(batches, [self.random(ctx, text, idx=F.lit(-1)), F.col("_bucket"), F.col("_batch")], size)
+        drawn = self.random(ctx, text, idx=F.lit(-1))
+        numbered = _numbered_batches(batches, [drawn, F.col("_bucket"), F.col("_batch")], uniform_block(df, drawn), size)
         return _placed(whole, numbered, size, carried(df, self.names))
 
 
@@ -65,11 +64,12 @@ class InlineAspectBatchSorting(Stage):
     def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
         size, names = self.batch_size, carried(df, self.names)
         rows = df.select("variation", "idx", *names, resolve(df, self.resolution_in).alias("_bucket"))
-        rows = rows.withColumn("_seq", F.col("idx")) if self.in_order else dense_index(rows, [self.random(ctx, "row"), F.col("idx")], "_seq")
+        drawn = self.random(ctx, "row")
+        rows = rows.withColumn("_seq", F.col("idx")) if self.in_order else dense_index(rows, [drawn, F.col("idx")], "_seq", block=uniform_block(df, drawn))
         rows = rows.filter(F.col("_seq") >= self.start_index)
-        placed = rows.withColumn("_pos", F.row_number().over(Window.partitionBy("variation", "_bucket").orderBy("_seq")) - 1).withColumn("_batch", F.expr(f"_pos div {size}"))
+        placed = dense_index(rows, [F.col("_seq")], "_pos", ("variation", "_bucket"), number_block(F.col("_seq"))).withColumn("_batch", F.expr(f"_pos div {size}"))
         batches = placed.groupBy("variation", "_bucket", "_batch").agg(F.max("_seq").alias("done"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == size).drop("n")
-        numbered = _numbered_batches(batches, [F.col("done")], size)
+        numbered = _numbered_batches(batches, [F.col("done")], number_block(F.col("done")), size)
         return _placed(placed, numbered, size, names)
 
 

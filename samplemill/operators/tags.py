@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import csv
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +51,13 @@ class ShuffleTags(ColumnStage):
 
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
         text, delimiter = resolve(df, self.text_in), resolve(df, self.delimiter_in)
-        head, rest = tx.head_and_rest(tx.stripped_tags(text, delimiter), resolve(df, self.keep_tags_count_in))
-        keyed = F.array_sort(F.transform(rest, lambda t, i: F.struct(self.random(ctx, i).alias("u"), i.alias("i"), t.alias("t"))))
-        mixed = tx.join_with(F.concat(head, F.transform(keyed, lambda x: x["t"])), F.concat(delimiter, F.lit(" ")))
+
+        def shuffled(tags: Column) -> Column:
+            head, rest = tx.head_and_rest(tags, resolve(df, self.keep_tags_count_in))
+            keyed = F.array_sort(F.transform(rest, lambda t, i: F.struct(self.random(ctx, i).alias("u"), i.alias("i"), t.alias("t"))))
+            return F.concat(head, F.transform(keyed, lambda x: x["t"]))
+
+        mixed = tx.join_with(tx.bound(tx.stripped_tags(text, delimiter), shuffled), F.concat(delimiter, F.lit(" ")))
         return {self.text_out: F.when(flag(df, self.enabled_in), mixed).otherwise(text)}
 
 
@@ -83,7 +87,9 @@ def tag_patterns(tags: list[str]) -> tuple[list[str], list[str]]:
 class DropTags(ColumnStage):
     """Drop tags after the first keep_tags_count, all at once or each by a draw of its own.
 
-    special_tags: a list, a text (file name or delimited), or a column's name given as special_tags_in.
+    special_tags: a list, or a text: the name of a .txt or .csv file, or tags with the delimiter between
+    (special_delimiter). special_tags_in: a column with such a text in each row; the few files that its
+    values may name are given as special_files, which are read while the plan is built.
     WHITELIST tags always stay; with BLACKLIST all others do. RANDOM WEIGHTED drops later tags more.
     """
 
@@ -95,18 +101,27 @@ class DropTags(ColumnStage):
     delimiter_in: str
     keep_tags_count_in: str
     text_out: str
-    special_tags: list[str] | None = None
+    special_tags: list[str] | str | None = None
     special_tags_in: str | None = None
     regex_enabled: bool = False
+    special_delimiter: str = ","
+    special_files: list[str] = field(default_factory=list)
 
     def _listed(self, df: DataFrame, delimiter: Column):
         if self.special_tags_in is not None:
-            given = F.coalesce(F.transform(tx.split_plain(resolve(df, self.special_tags_in), delimiter), tx.strip), F.array().cast("array<string>"))
+            named = resolve(df, self.special_tags_in)
+            given = F.coalesce(F.transform(tx.split_plain(named, delimiter), tx.strip), F.array().cast("array<string>"))
+            for name in self.special_files:
+                content = F.array(*[F.lit(t) for t in special_tags(name, self.special_delimiter)]).cast("array<string>")
+                given = F.when(named == name, content).otherwise(given)
+            unread = (named.endswith(".txt") | named.endswith(".csv")) & ~named.isin(self.special_files)
+            given = F.when(unread, F.raise_error(F.concat(F.lit("not among special_files: "), named)).cast("array<string>")).otherwise(given)
             if not self.regex_enabled:
                 return lambda t: F.array_contains(given, t)
             whole = lambda p: F.concat(F.lit("^(?:"), p, F.lit(")$"))
             return lambda t: F.array_contains(given, t) | F.exists(given, lambda p: F.rlike(t, whole(p)) | F.rlike(F.btrim(t, F.lit("()")), whole(p)))
-        plain, patterns = tag_patterns(self.special_tags or []) if self.regex_enabled else (self.special_tags or [], [])
+        tags = special_tags(self.special_tags, self.special_delimiter) if isinstance(self.special_tags, str) else self.special_tags or []
+        plain, patterns = tag_patterns(tags) if self.regex_enabled else (tags, [])
 
         def listed(t: Column) -> Column:
             out = t.isin(*plain) if plain else F.lit(False)
@@ -119,14 +134,21 @@ class DropTags(ColumnStage):
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
         text, delimiter = resolve(df, self.text_in), resolve(df, self.delimiter_in)
         p, mode, special = resolve(df, self.probability_in).cast("double"), resolve(df, self.dropout_mode_in), resolve(df, self.special_tag_mode_in)
-        head, rest = tx.head_and_rest(tx.stripped_tags(text, delimiter), resolve(df, self.keep_tags_count_in))
-        listed, n = self._listed(df, delimiter), F.size(rest)
+        listed = self._listed(df, delimiter)
         spared = lambda t: F.when(special == WHITELIST, listed(t)).when(special == BLACKLIST, ~listed(t)).otherwise(F.lit(False))
-        weight = lambda i: F.when(mode == RANDOM_WEIGHTED, p * (i + 1) / n).otherwise(p)
-        drawn = F.filter(rest, lambda t, i: (self.random(ctx, i) > weight(i)) | spared(t))
-        whole = F.when(self.random(ctx, 0) < p, F.filter(rest, spared)).otherwise(rest)
-        left = F.when(mode == FULL, whole).when(F.startswith(mode, F.lit(RANDOM)), drawn).otherwise(rest)
-        out = tx.join_with(F.concat(head, left), F.concat(delimiter, F.lit(" ")))
+
+        def left(rest: Column, n: Column) -> Column:
+            weight = lambda i: F.when(mode == RANDOM_WEIGHTED, p * (i + 1) / n).otherwise(p)
+            drawn = F.filter(rest, lambda t, i: (self.random(ctx, i) > weight(i)) | spared(t))
+            whole = F.when(self.random(ctx, 0) < p, F.filter(rest, spared)).otherwise(rest)
+            return F.when(mode == FULL, whole).when(F.startswith(mode, F.lit(RANDOM)), drawn).otherwise(rest)
+
+        def dropped(tags: Column) -> Column:
+            head, rest = tx.head_and_rest(tags, resolve(df, self.keep_tags_count_in))
+            some = tx.bound(F.struct(rest.alias("tags"), F.size(rest).alias("n")), lambda r: left(r["tags"], r["n"]))
+            return F.concat(head, some)
+
+        out = tx.join_with(tx.bound(tx.stripped_tags(text, delimiter), dropped), F.concat(delimiter, F.lit(" ")))
         return {self.text_out: F.when(flag(df, self.enabled_in) & (p > 0), out).otherwise(text)}
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..plans.stage import ColumnStage, Context, Stage, resolve
 
 
@@ -20,9 +21,11 @@ class HashVocabulary:
     size: int = 30_000
     pad_id: int = 0
 
-    def ids(self, text: Column) -> Column:
-        words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-        return F.transform(words, self.id_of)
+    def ids(self, text: Column, most: int = -1) -> Column:
+        """Ids of the words; only the first `most` are split off and hashed, if given."""
+        # one piece more for white space at the start, and one for what is left unsplit
+        words = F.filter(F.split(F.lower(text), r"\s+", most + 2 if most >= 0 else -1), lambda w: w != "")
+        return F.transform(F.slice(words, 1, most) if most >= 0 else words, self.id_of)
 
     def id_of(self, word: Column) -> Column:
         return (F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(self.size)) + 2).cast("int")
@@ -54,9 +57,9 @@ class Tokenize(ColumnStage):
     chat_template: Callable | None = None
     expand_mask: int = 0
 
-    def _ids(self, text: Column) -> Column:
+    def _ids(self, text: Column, most: int = -1) -> Column:
         if isinstance(self.tokenizer, HashVocabulary):
-            return self.tokenizer.ids(text)
+            return self.tokenizer.ids(text, most)
         tokenizer = self.tokenizer
 
         @F.pandas_udf("array<int>")
@@ -71,15 +74,17 @@ class Tokenize(ColumnStage):
             text, length = F.replace(F.lit(self.format_text), F.lit("{}"), text), length + self.additional_format_text_tokens
         if self.chat_template is not None:
             text = self.chat_template(text)
-        ids = self._ids(text)
-        tokens, mask = padded(ids, length, getattr(self.tokenizer, "pad_id", 0)), padded(F.transform(ids, lambda _: F.lit(1)), length)
+        ids = self._ids(text, length)
+        tokens = tx.bound(ids, lambda x: padded(x, length, getattr(self.tokenizer, "pad_id", 0)))
+        mask = tx.bound(ids, lambda x: padded(F.transform(x, lambda _: F.lit(1)), length))
         if self.suffix_text is not None:
             more = self._ids(F.lit(self.suffix_text))
             tokens, mask = F.concat(tokens, more), F.concat(mask, F.transform(more, lambda _: F.lit(1)))
         if self.expand_mask:
-            zeros_before = lambda i, m: F.aggregate(F.slice(m, F.lit(1), i), F.lit(0), lambda s, x: s + (1 - x))
-            given = mask
-            mask = F.transform(given, lambda m, i: F.when((m == 0) & (zeros_before(i, given) < self.expand_mask), F.lit(1)).otherwise(m))
+            zeros = lambda given: F.slice(F.filter(F.transform(given, lambda m, i: F.when(m == 0, i).otherwise(-1)), lambda i: i >= 0), 1, self.expand_mask)
+            end = lambda given: F.coalesce(F.array_max(zeros(given)), F.lit(-1))
+            widened = lambda b: F.transform(b["mask"], lambda m, i: F.when(i <= b["end"], F.lit(1)).otherwise(m))
+            mask = tx.bound(mask, lambda given: tx.bound(F.struct(given.alias("mask"), end(given).alias("end")), widened))
         return {self.tokens_out: tokens, self.mask_out: mask}
 
 

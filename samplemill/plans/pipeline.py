@@ -31,12 +31,13 @@ def from_index(df: DataFrame, initial_index: int, batch_size: int) -> DataFrame:
 
 
 def with_batches(df: DataFrame, batch_size: int, drop_last: bool = True) -> DataFrame:
-    """batch_id = idx div batch_size; an incomplete last batch of a variation goes."""
+    """batch_id = idx div batch_size; an incomplete last batch of a variation goes. idx ends dense."""
     out = df.withColumn("batch_id", F.expr(f"idx div {batch_size}"))
     if not drop_last:
         return out
-    whole = out.groupBy("variation", "batch_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == batch_size).select("variation", "batch_id")
-    return out.join(whole, ["variation", "batch_id"], "left_semi")
+    # a row for each variation
+    ends = df.groupBy("variation").agg(F.expr(f"(max(idx) + 1) div {batch_size}").alias("_whole"))
+    return out.join(F.broadcast(ends), "variation").filter(F.col("batch_id") < F.col("_whole")).drop("_whole")
 
 
 def _field(rows: str, name: str) -> Column:

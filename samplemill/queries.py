@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import tensor as tn
 from .functions.index import dense_index
 from .functions.rng import sql_uniform
+from .functions.shared import new_folder
 from .operators import aspect, balance, geometry, models, order, paths, pixels, tags, tokens
 from .plans.pipeline import collate, from_index, with_batches
 from .plans.stage import Context, Stage
@@ -280,10 +281,10 @@ def pad_tokens(spark, sf_dir):
 @query(
     "decode_tokens",
     rf"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')[1:77]) AS word,
-      unnest(range(1, least(77, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''))) + 1)) AS at FROM documents),
+      unnest(range(1, least(77, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''))) + 1)) AS place FROM documents),
     a AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS word FROM documents),
     v AS (SELECT {_ID.format(w="word")} AS id, min(word) AS word FROM a GROUP BY 1),
-    d AS (SELECT doc_id, string_agg(v.word, ' ' ORDER BY at) AS decoded FROM w JOIN v ON v.id = {_ID.format(w="w.word")} GROUP BY doc_id)
+    d AS (SELECT doc_id, string_agg(v.word, ' ' ORDER BY place) AS decoded FROM w JOIN v ON v.id = {_ID.format(w="w.word")} GROUP BY doc_id)
     SELECT doc_id, coalesce(decoded, '') AS decoded FROM documents LEFT JOIN d USING (doc_id)""",
 )
 def decode_tokens(spark, sf_dir):
@@ -407,11 +408,7 @@ def ram_cache_expand(spark, sf_dir):
 
 @query("disk_cache_variations", _balance_sql("floor(count(*) * 2.5::DOUBLE)::BIGINT", 1, extra=", (((j + k) // n) % 3)::INTEGER AS in_variation, (((j + k) // n) % 3) * 1000000 + i AS drawn"))
 def disk_cache_variations(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    stage = balance.DiskCache(f"{shared}/cache-{uuid.uuid4().hex}", ["drawn"], ["doc_id"], "variations", "balancing", "strategy", ["source"], make=[_CACHED])
+    stage = balance.DiskCache(new_folder(spark, "cache"), ["drawn"], ["doc_id"], "variations", "balancing", "strategy", ["source"], make=[_CACHED])
     return run(_cache_rows(spark, sf_dir), stage, variation=1).drop("variation")
 
 

@@ -113,7 +113,7 @@ class FetchDatasets(Stage):
 
             path = fetched.asNondeterministic()(resolve(df, self.path_in))
         field = self.path_in.split(".", 1)[1]
-        from ..functions.index import dense_index
+        from ..functions.index import dense_index, number_block
 
         renewed = kept.withColumn(self.concept_out, F.col(self.concept_in).withField(field, path))
-        return dense_index(renewed.withColumnRenamed("idx", "_was"), [F.col("_was")], by=("variation",)).drop("_was")
+        return dense_index(renewed.withColumnRenamed("idx", "_was"), [F.col("_was")], by=("variation",), block=number_block(F.col("_was"))).drop("_was")
