@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .tokens import encoder, public_path
 
 SEQUENCE_TOKENS = 2048
-#: Expected pieces of a group. Groups grow in number with the input, never in size.
+#: Pieces of a group, at most as expected. Groups grow in number with the input, never in size.
 GROUP_PIECES = 4096
 END_ID = 1
 #: Sequence ids of a group start at the group's number times this.
@@ -66,7 +66,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, sequence_tokens: int, end_id: int, keep_ids: bool) -> DataFrame:
-    """One row a piece: doc_id, row_key, start, length, ids_crc32, doc_tokens (and ids)."""
+    """One row a piece: doc_id, row_key (hash of the text), start, length, ids_crc32, doc_tokens (and ids)."""
     step = 4 * sequence_tokens
     schema = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if keep_ids else "")
 
@@ -82,8 +82,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, sequence_tokens: int, end_id:
             frame = pd.DataFrame(out, columns=["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 + keep_ids])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    # a number for each row tells repeated rows apart, so that even they spread over the groups
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("row_key"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
     return rows.mapInPandas(cut, schema)
 
 
@@ -100,21 +100,26 @@ def pack_documents(
     Returns a row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     sequence_tokens (ids in its sequence), padded_tokens (its length after padding: a power of two
     stays, all else is padded to the full length) and, with keep_ids, ids (little-endian unsigned
-    32-bit). Sequences are gapless from offset 0.
+    32-bit). Sequences are gapless from offset 0. Groups depend on the rows alone, so a task that runs
+    again deals its pieces alike.
 
     Nulls: a null or empty text is the end id alone; a null doc_id is kept. Rows that repeat are
-    documents of their own. Very long texts are cut into pieces that spread over the groups. An
-    empty table gives an empty result. Columns besides doc_id and text aren't read.
+    documents of their own: their pieces are counted before the shuffle and dealt in lots of
+    group_pieces. Very long texts are cut into pieces that spread over the groups. An empty table gives
+    an empty result. Columns besides doc_id and text aren't read.
     """
     pieces = cut_documents(docs, tokenizer or public_path("byte_bpe_50k.json"), sequence_tokens, end_id, keep_ids)
-    groups = max(1, -(-docs.count() // group_pieces))
+    # a token has one octet at least: so many pieces at most
+    size = docs.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1)).first()
+    groups = max(1, -(-(int(size[0]) + int(size[1] or 0) // sequence_tokens) // group_pieces))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     kinds = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "ids": "binary"}
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         group = int(frame["pack_group"].iloc[0])
-        frame = frame.sort_values(["doc_id", "row_key", "start"], ignore_index=True)
+        frame = frame.sort_values(["doc_id", "row_key", "start", "lot"], ignore_index=True)
+        frame = frame.loc[np.repeat(frame.index, frame["copies"])].reset_index(drop=True)
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), sequence_tokens)
         full = np.bincount(bins, weights=frame["length"]).astype(np.int64)[bins]
         return frame[names].assign(
@@ -125,12 +130,20 @@ def pack_documents(
             padded_tokens=np.where(full & (full - 1) == 0, full, sequence_tokens),
         )
 
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("row_key", "start"), F.lit(groups)))
+    counted = [F.count(F.lit(1)).alias("n")] + [F.first("ids").alias("ids")] * keep_ids
+    once = pieces.groupBy("doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens").agg(*counted)
+    lots = once.withColumn("lot", F.explode(F.expr(f"sequence(0, (n - 1) div {group_pieces})"))).withColumn("copies", F.expr(f"least({group_pieces}, n - lot * {group_pieces})"))
+    grouped = lots.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "row_key", "start", "lot"), F.lit(groups)))
     return grouped.groupBy("pack_group").applyInPandas(pack, schema)
 
 
 def sequences(pieces: DataFrame, pad_id: int = 0) -> DataFrame:
-    """Packed pieces with ids to a row a sequence: sequence_id, ids, segment lengths, doc_ids."""
+    """Pieces of pack_documents with ids to a row a sequence: sequence_id, ids (padded with pad_id to
+    padded_tokens), segment_lengths and doc_ids (in the order of the pieces).
+
+    A null doc_id stays null; repeated rows and pieces of long texts are segments of their own. No
+    pieces: no sequences. Other columns aren't read.
+    """
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("offset")
