@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import file_system, new_folder
+from .common import file_system, new_folder, write_atomically
 
 #: Bytes of a row of samples; payloads are padded to a multiple.
 ROW_SAMPLES = 576
@@ -35,6 +35,7 @@ RANGE_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 ATTEMPTS = 4
 _PNG = b"\x89PNG\r\n\x1a\n"
+_MARK = "_written-"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -94,32 +95,54 @@ class ByteRange(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    archives: list[tuple[str, str]]
+    archives: list[str]
 
 
-def read_member(path: str, archive, info: zipfile.ZipInfo, attempts: int = ATTEMPTS, wait_s: float = 0.2) -> tuple[bytes, object]:
-    """(a stored member's bytes, read by its offset; the file to go on with)."""
+#: What a read of a store fails with; the member's checksum tells the rest.
+_FAULTS = (OSError, EOFError, ValueError, struct.error, zipfile.BadZipFile)
+
+
+def tried(fn, attempts: int = ATTEMPTS, wait_s: float = 0.2):
+    """fn(attempt) again after a fault of the store."""
     for attempt in range(attempts):
         try:
-            archive.seek(info.header_offset)
-            head = archive.read(30)
-            if head[:4] != b"PK\x03\x04":
-                raise OSError(f"no member at {info.header_offset} of {path}")
-            names, extra = struct.unpack_from("<HH", head, 26)
-            archive.seek(info.header_offset + 30 + names + extra)
-            data = archive.read(info.file_size)
-            if zlib.crc32(data) != info.CRC:
-                raise OSError(f"member {info.filename} of {path} is damaged")
-            return data, archive
-        except OSError:
+            return fn(attempt)
+        except _FAULTS:
             if attempt == attempts - 1:
                 raise
             time.sleep(wait_s * 2**attempt)
-            system, at = file_system(path)
-            archive = system.open_input_file(at)
     raise AssertionError
 
 
+def read_member(path: str, archive, info: zipfile.ZipInfo, attempts: int = ATTEMPTS, wait_s: float = 0.2) -> tuple[bytes, object]:
+    """(a stored member's bytes, read by its offset; the file to go on with)."""
+
+    def once(attempt: int) -> tuple[bytes, object]:
+        if attempt:
+            system, at = file_system(path)
+        file = system.open_input_file(at) if attempt else archive
+        file.seek(info.header_offset)
+        head = file.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise OSError(f"no member at {info.header_offset} of {path}")
+        names, extra = struct.unpack_from("<HH", head, 26)
+        file.seek(info.header_offset + 30 + names + extra)
+        data = file.read(info.file_size)
+        if zlib.crc32(data) != info.CRC:
+            raise OSError(f"member {info.filename} of {path} is damaged")
+        return data, file
+
+    return tried(once, attempts, wait_s)
+
+
+def committed(names: list[str]) -> list[str]:
+    """Of the names of files in a folder, the archives to read: those of whole writes, and any that
+    this source didn't write."""
+    whole = {n.removeprefix(_MARK) for n in names if n.startswith(_MARK)}
+    own = lambda n: n.split("-")[1] if n.startswith("archive-") and n.count("-") == 4 else None
+    return [n for n in names if n.endswith(".zip") and (own(n) is None or own(n) in whole)]
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, range_bytes
@@ -129,16 +152,25 @@ class ArchiveReader(DataSourceReader):
 
         system, at = file_system(self.path)
         scheme = self.path.partition(":")[0] + "://" if "://" in self.path else ""
-        found = system.get_file_info(fs.FileSelector(at, recursive=True))
-        return [ByteRange(f.path if not scheme or scheme == "file://" else scheme + f.path, b, b + self.range_bytes) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".zip") for b in range(0, f.size, self.range_bytes)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        by_folder: dict[str, dict[str, int]] = {}
+        for f in system.get_file_info(fs.FileSelector(at, recursive=True)):
+            folder, _, name = f.path.rpartition("/")
+            by_folder.setdefault(folder, {})[name] = f.size
+        found = [(f"{folder}/{n}", sizes[n]) for folder, sizes in sorted(by_folder.items()) for n in sorted(committed(list(sizes)))]
+        return [ByteRange(p if not scheme or scheme == "file://" else scheme + p, b, b + self.range_bytes) for p, size in found for b in range(0, size, self.range_bytes)]
+
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there is no partition
+            return
         system, at = file_system(partition.path)
-        archive = system.open_input_file(at)
-        with zipfile.ZipFile(archive) as directory:
-            members = [m for m in directory.infolist() if partition.begin <= m.header_offset < partition.end]
+
+        def members(_: int) -> list[zipfile.ZipInfo]:
+            with zipfile.ZipFile(system.open_input_file(at)) as directory:
+                return [m for m in directory.infolist() if partition.begin <= m.header_offset < partition.end]
+
+        wanted = tried(members)
         archive, rows, size = system.open_input_file(at), [], 0
-        for m in sorted(members, key=lambda m: m.header_offset):
+        for m in sorted(wanted, key=lambda m: m.header_offset):
             media, archive = read_member(partition.path, archive, m)
             payload, n_bytes = decode_image(media)
             rows.append((partition.path, m.filename, m.header_offset, n_bytes, payload, media, feature_of(payload)))
@@ -156,21 +188,22 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Each task writes archives under temporary names; the commit on the driver renames them."""
+    """Each task writes archives under names of its own attempt; the commit on the driver writes one marker
+    that lists the archives of this write, and readers pass over archives of a write without marker."""
 
-    def __init__(self, path: str, archive_bytes: int):
-        self.path, self.archive_bytes = path.rstrip("/"), archive_bytes
+    def __init__(self, path: str, archive_bytes: int, overwrite: bool = False):
+        self.path, self.archive_bytes, self.overwrite = path.rstrip("/"), archive_bytes, overwrite
+        self.write_id = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        task, out, done = TaskContext.get().partitionId(), None, []
+        task, out, done = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}", None, []
         for batch in iterator:
             for name, media in zip(batch.column("name"), batch.column("media"), strict=True):
                 if out is None:
-                    final = f"{self.path}/archive-{task:06d}-{len(done):04d}.zip"
-                    done.append((f"{final}.{uuid.uuid4().hex}.tmp", final))
-                    system, at = file_system(done[-1][0])
+                    done.append(f"archive-{self.write_id}-{task}-{len(done):04d}.zip")
+                    system, at = file_system(f"{self.path}/{done[-1]}")
                     system.create_dir(str(PurePosixPath(at).parent), recursive=True)
                     out, size = zipfile.ZipFile(system.open_output_stream(at), "w", zipfile.ZIP_STORED), 0
                 data = media.as_py()
@@ -190,13 +223,22 @@ class ArchiveWriter(DataSourceArrowWriter):
         getattr(stream, "fp", stream).close()
 
     def commit(self, messages: list[Written | None]) -> None:
-        for temporary, final in (x for m in messages if m for x in m.archives):
-            system, at = file_system(temporary)
-            system.move(at, file_system(final)[1])
+        from pyarrow import fs
+
+        system, at = file_system(self.path)
+        system.create_dir(at, recursive=True)
+        kept = sorted(a for m in messages if m for a in m.archives)
+        write_atomically(f"{self.path}/{_MARK}{self.write_id}", ["\n".join(kept).encode()])
+        # tasks that ran twice have left archives that no marker lists; an overwrite takes all others along
+        for f in system.get_file_info(fs.FileSelector(at)):
+            name = f.path.rpartition("/")[2]
+            own = name.startswith(f"archive-{self.write_id}-") or name == f"{_MARK}{self.write_id}"
+            if (own and name.endswith(".zip") and name not in kept) or (self.overwrite and not own and (name.endswith(".zip") or name.startswith(_MARK))):
+                system.delete_file(f.path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for temporary, _ in (x for m in messages if m for x in m.archives):
-            system, at = file_system(temporary)
+        for name in (a for m in messages if m for a in m.archives):
+            system, at = file_system(f"{self.path}/{name}")
             system.delete_file(at)
 
 
@@ -214,14 +256,15 @@ class MediaArchives(DataSource):
         return ArchiveReader(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"], int(self.options.get("archivebytes", ARCHIVE_BYTES)))
+        return ArchiveWriter(self.options["path"], int(self.options.get("archivebytes", ARCHIVE_BYTES)), overwrite)
 
 
 def store_texts(docs: DataFrame, folder: str | None = None) -> str:
-    """Write the whole texts of docs (doc_id, text) as images to archives; returns their folder.
+    """Write the whole texts of docs (doc_id, text) as images to archives; returns their folder. A folder
+    that has archives keeps them and gains these.
 
     A null or empty text is one line of padding; a null doc_id is kept; rows that repeat are members of
-    their own; very long texts are one image. An empty table writes no archive. Columns besides doc_id
+    their own; very long texts are one image. An empty table adds no archive. Columns besides doc_id
     and text aren't read.
     """
     spark = docs.sparkSession
