@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -11,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_folder, shared_dir  # noqa: F401
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -18,25 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (a test on one machine), a temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="samplemill-"))
-        current = context.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """The address of a folder of its own (not yet made) below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before until df has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

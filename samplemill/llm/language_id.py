@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import use_memo, written
+from .common import unused, use_memo, written
 
 #: Bounds of what a language learns from: documents, and bytes of their lines.
 SAMPLE_DOCUMENTS = 400
@@ -58,7 +58,7 @@ def learn_dictionaries(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUM
     dictionary_bytes = min(dictionary_bytes, TOTAL_BYTES // max(counts.count(), 1))
     # twice as many as wanted by a threshold on the hash, then the first of these by rank
     drawn = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)).alias("draw")
-    near = rows.join(F.broadcast(counts), "lang").select("lang", "text", "texts", drawn).filter(F.col("draw") * F.col("texts") < F.lit(2 * sample_documents << 30))
+    near = rows.join(F.broadcast(counts), "lang").select("lang", "text", "texts", drawn).filter(F.col("draw") < F.lit(float(2 * sample_documents << 30)) / F.col("texts"))
     near = near.select("lang", "text", "draw").distinct()
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("rank") <= sample_documents)
     pieces = F.regexp_extract_all("line", F.lit(f"(?s).{{1,{LINE_CHARS}}}"), F.lit(0))
@@ -133,8 +133,9 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin_b
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     # a filter on the result must not run the compression twice
-    found = docs.select(*kept, predict.asNondeterministic()(F.col("text").cast("string")).alias("_found"))
-    return found.select(*kept, "_found.lang_pred", "_found.score", "_found.rejected")
+    (made,) = unused(docs, "_found")
+    found = docs.select(*kept, predict.asNondeterministic()(F.col("text").cast("string")).alias(made))
+    return found.select(*kept, *[F.col(made)[c].alias(c) for c in ("lang_pred", "score", "rejected")])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
