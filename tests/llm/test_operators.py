@@ -393,3 +393,75 @@ def test_a_rest_of_white_space_is_no_document(spark):
     text = "\n\n" + "\n".join(" ".join(f"w{k}{j}" for j in range(18)) for k in range(4)) + "\n\n"
     docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in [(1, text), (2, text), (3, text + "more"), (4, "\n\n")]], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()) == [1, 3, 4]
+
+
+def test_media_writes_add_up_and_replace(spark, edges, tmp_path):
+    folder = "file://" + str(tmp_path / "media")
+    one, two = edges.filter("doc_id = 4"), edges.filter("doc_id in (5, 7)")
+    media.store_texts(one, folder)
+    media.store_texts(two, folder)
+    assert sorted(r["doc_id"] for r in media.load_media(spark, folder).collect()) == [4, 5, 7]
+    # archives of a write that wasn't committed aren't read, nor does one attempt of a task stand in for another
+    (tmp_path / "media" / f"archive-{'0' * 32}-000000-{'1' * 8}-0000.zip").write_bytes(b"half")
+    assert media.load_media(spark, folder).count() == 3
+    rows = spark.createDataFrame([("x/9.png", media.encode_image(*media.payload_of("nine")))], "name string, media binary")
+    rows.write.format("media_archive").mode("overwrite").save(folder)
+    assert [r["doc_id"] for r in media.load_media(spark, folder).collect()] == [9]
+    assert media.load_media(spark, media.store_texts(edges.limit(0))).count() == 0
+
+
+def test_packing_repeats_and_keys(spark):
+    rows = [(1, "a b c")] * 700 + [(None, None)] * 500 + [(2, LONG)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, group_pieces=64, keep_ids=True)
+    assert got.filter("doc_id = 1").count() == 700 and got.filter("doc_id is null").count() == 500
+    again = packing.pack_documents(docs.repartition(7), group_pieces=64, keep_ids=True)
+    assert got.exceptAll(again).isEmpty() and again.exceptAll(got).isEmpty()
+    full = packing.sequences(got, pad_id=7).toPandas()
+    want = library("byte_bpe_50k.json").encode("a b c", add_special_tokens=False).ids + [1]
+    for s in full.itertuples():
+        ids, at = list(s.ids), 0
+        assert len(ids) in (2048, sum(s.segment_lengths)) and all(x == 7 for x in ids[sum(s.segment_lengths) :])
+        for n, d in zip(s.segment_lengths, s.doc_ids):
+            assert d != 1 or ids[at : at + n] == want
+            at += n
+    assert packing.sequences(got.limit(0)).count() == 0
+
+
+def _record(http: bytes, kind="response", length=None, extra=()):
+    return warc.record_bytes([("WARC-Type", kind), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://a/"), ("WARC-Date", warc.DATE), *extra], http)
+
+
+def test_warc_headers_codings_and_bad_records(spark, empty):
+    import gzip
+    import zlib as z
+
+    page = b"<html lang='de'><head><title>T &amp; U</title></head><body><p>one</p>two<!-- no --><script>x</script></body>"
+    chunked = b"5\r\n" + page[:5] + b"\r\n" + b"%x;x=1\r\n" % (len(page) - 5) + page[5:] + b"\r\n0\r\n\r\n"
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Type: text/html\r\n"
+    bodies = {b"": page, b"Content-Encoding: gzip\r\n": gzip.compress(page), b"Content-Encoding: deflate\r\n": z.compress(page), b"Transfer-Encoding: chunked\r\n": chunked, b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n": None, b"Content-Encoding: br\r\n": page, b"Content-Encoding: gzip \r\n": page}
+    zipped = gzip.compress(page)
+    bodies[b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n"] = b"%x\r\n" % len(zipped) + zipped + b"\r\n0\r\n\r\n"
+    good = [_record(head + k + b"\r\n" + b) for k, b in bodies.items()]
+    long = _record(head + b"\r\n" + b"<!--<script><a " * 50_000)
+    bad = [b"", b"junk", b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx", good[0][: len(good[0]) // 2], None]
+    others = [_record(b"GET / HTTP/1.1\r\n\r\n", "request"), _record(b"", "warcinfo")]
+    rows = [(k, r) for k, r in enumerate([*good, good[0], long, *bad, *others])]
+    responses = spark.createDataFrame(rows, "source_id long, record binary")
+    found = warc.build_derivatives(responses).toPandas()
+    assert set(found["source_id"]) == set(range(len(good) + 2)) and len(found) == 2 * (len(good) + 2)
+    texts = found[(found["warc_type"] == "conversion") & (found["source_id"] <= len(good))]
+    assert set(texts["block"]) == {"one\ntwo"}
+    meta = found[(found["warc_type"] == "metadata") & (found["source_id"] == 0)]["block"].iloc[0]
+    assert "http-set-cookie: a=1\r\nhttp-set-cookie: b=2\r\n" in meta and "title: T & U\r\nlanguage: de\r\n" in meta
+    reasons = {r["source_id"]: r["reason"] for r in warc.unreadable_records(responses).collect()}
+    assert set(reasons) == set(range(len(good) + 2, len(good) + 2 + len(bad)))
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.build_derivatives(warc.build_responses(none)).count() == 0 and warc.unreadable_records(responses.limit(0)).count() == 0
+    files = warc.write_warc(warc.build_derivatives(responses)).collect()
+    assert sum(r["n_records"] for r in files) == len(found)
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "the cat sat", "a", "b", "c", "d")], "doc_id long, text string, _found string, _text_hash string, _key string, _runs string")
+    assert language_id.identify_languages(docs, {"en": b"the cat sat on the mat"}).first()["_found"] == "a"
