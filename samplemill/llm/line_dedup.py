@@ -2,13 +2,16 @@
 
 Each line is hashed. Over every window of lines that just reaches `min_words` words, the smallest
 line hash is selected as a fingerprint: two documents that share a run of lines with that many words
-share a whole window, and so select the same fingerprint. Fingerprints that stand at two positions or
-more are joined back to the positions; around them the match is extended both ways, by the windows
-that start and those that end at each line, until whole windows agree. Windows that agree with an
-earlier one are merged to runs, and the lines of these later runs are deleted.
-
-Only hashes are shuffled for this. A window is matched against the first of its kind, never against
-each copy, so a line or passage in a third of all documents costs a row for each occurrence.
+share a whole window, and so select the same fingerprint. The selected positions are joined on their
+fingerprints; only positions whose fingerprint stands elsewhere too go on. From each of them the match is
+extended both ways: by the windows through it, those that start and those that end at each line around,
+which are held against the earliest window with the same lines. Windows that agree with an earlier one are
+merged to runs, and the lines of these later runs are deleted.
+
+Only hashes of 128 bits are shuffled for this. A window is matched against the first of its kind, never
+against each copy, so a line or passage in a third of all documents costs a row for each occurrence; and
+keys with so many rows are joined by broadcasting their few rows of the other side, so that the occurrences
+stay where they are.
 """
 
 from __future__ import annotations
@@ -17,7 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import unused, written
+
 MIN_WORDS = 50
+#: A key with more than this part of all rows is joined by broadcast: there are fewer such keys than this.
+HEAVY_PARTS = 1000
 _WORD = r"[^ \t-\r]+"
 _ROW = ["row_doc", "row_text"]
 
@@ -25,51 +32,88 @@ _ROW = ["row_doc", "row_text"]
 def _lines(docs: DataFrame) -> DataFrame:
     """A row a line with words: the row's key, pos, line_hash, and the words before and up to it."""
     line = F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    rows = docs.select(F.col("doc_id").alias("row_doc"), F.xxhash64("text").alias("row_text"), "text").select(*_ROW, line)
-    hashed = rows.select(*_ROW, "pos", F.xxhash64(F.btrim("line", F.lit(" \t\r"))).alias("line_hash"), F.regexp_count("line", F.lit(_WORD)).cast("long").alias("words")).filter("words > 0")
+    rows = docs.select(F.col("doc_id").alias("row_doc"), _text_key(), "text").select(*_ROW, line)
+    hashed = rows.select(*_ROW, "pos", F.unhex(F.md5(F.btrim("line", F.lit(" \t\r")))).alias("line_hash"), F.regexp_count("line", F.lit(_WORD)).cast("long").alias("words")).filter("words > 0")
     # rows that repeat one another are the same document
     once = hashed.groupBy(*_ROW, "pos").agg(F.first("line_hash").alias("line_hash"), F.first("words").alias("words"))
     upto = F.sum("words").over(Window.partitionBy(*_ROW).orderBy("pos"))
     return once.withColumn("word_end", upto).withColumn("word_start", F.col("word_end") - F.col("words"))
 
 
-def _windows(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(windows that start at a line, windows that end at a line), each of min_words words at least.
+def _text_key() -> Column:
+    return F.xxhash64("text").alias("row_text")
 
-    Columns: the row's key, first, last, content (hash of the lines), fingerprint, fingerprint_pos.
-    """
+
+def _frames(min_words: int):
+    """The frames of the windows that start at a line and of those that end at it."""
     own = Window.partitionBy(*_ROW)
-    ahead = own.orderBy("word_start").rangeBetween(0, min_words - 1)
-    behind = own.orderBy("word_end").rangeBetween(1 - min_words, 0)
+    return own.orderBy("word_start").rangeBetween(0, min_words - 1), own.orderBy("word_end").rangeBetween(1 - min_words, 0)
+
+
+def _selected(lines: DataFrame, min_words: int) -> DataFrame:
+    ahead, _ = _frames(min_words)
+    least = F.min(F.struct("line_hash", "pos")).over(ahead).alias("least")
+    enough = (F.max("word_end").over(ahead) - F.col("word_start") >= min_words).alias("enough")
+    return lines.select(*_ROW, least, enough).filter("enough").select(*_ROW, F.col("least.line_hash").alias("fingerprint"), F.col("least.pos").alias("fingerprint_pos")).distinct()
+
+
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The selected fingerprints: row_doc, row_text, fingerprint, fingerprint_pos."""
+    return _selected(_lines(docs), min_words)
+
+
+def _windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """Windows of min_words words at least that start or end at a line: the row's key, first, last, content
+    (hash of the lines), fingerprint_pos."""
+    ahead, behind = _frames(min_words)
     item = F.struct("line_hash", "pos", "word_start", "word_end")
     both = lines.select(*_ROW, "pos", "word_start", "word_end", F.collect_list(item).over(ahead).alias("after"), F.collect_list(item).over(behind).alias("before"))
-    both = both.withColumn("least", F.array_min(F.transform("after", lambda x: F.struct(x["line_hash"], x["pos"]))))
+    both = both.withColumn("least", F.array_min(F.transform("after", lambda x: F.struct(x["line_hash"], x["pos"])))["pos"])
     # a window that ends here is anchored by the fingerprint of the window that starts at its first line
     both = both.withColumn("anchor", F.first("least").over(behind))
-    content = lambda items: F.xxhash64(F.transform(items, lambda x: x["line_hash"]))
-    starting = both.filter(F.element_at("after", -1)["word_end"] - F.col("word_start") >= min_words).select(
-        *_ROW, F.col("pos").alias("first"), F.element_at("after", -1)["pos"].alias("last"), content("after").alias("content"), F.col("least.line_hash").alias("fingerprint"), F.col("least.pos").alias("fingerprint_pos")
-    )
-    ending = both.filter(F.col("word_end") - F.element_at("before", 1)["word_start"] >= min_words).select(
-        *_ROW, F.element_at("before", 1)["pos"].alias("first"), F.col("pos").alias("last"), content("before").alias("content"), F.col("anchor.line_hash").alias("fingerprint"), F.col("anchor.pos").alias("fingerprint_pos")
-    )
-    return starting, ending
 
+    def window(items: str, anchor: str) -> Column:
+        hashes, first, last = F.transform(items, lambda x: x["line_hash"]), F.element_at(items, 1), F.element_at(items, -1)
+        content = F.struct(F.xxhash64(hashes).alias("a"), F.xxhash64(F.lit(1), hashes).alias("b"))
+        return F.struct((last["word_end"] - first["word_start"]).alias("words"), first["pos"].alias("first"), last["pos"].alias("last"), content.alias("content"), F.col(anchor).alias("fingerprint_pos"))
 
-def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The selected fingerprints: row_doc, row_text, fingerprint, fingerprint_pos."""
-    return _windows(_lines(docs), min_words)[0].select(*_ROW, "fingerprint", "fingerprint_pos").distinct()
+    return both.select(*_ROW, F.inline(F.array(window("after", "least"), window("before", "anchor")))).filter(F.col("words") >= min_words).drop("words")
+
+
+def join_first(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with the value that table (key, value, n: how many rows there are of each key) has for their key;
+    rows without one are left out.
+
+    Keys with more than a part in HEAVY_PARTS of all rows of the table are fewer than HEAVY_PARTS: their rows
+    of table are broadcast, and their rows of `rows` go through the join of all other keys under a hash of
+    their own.
+    """
+    total = table.agg(F.sum("n").alias("t")).scalar()
+    heavy = F.broadcast(table.filter(F.col("n") * HEAVY_PARTS > total).limit(HEAVY_PARTS).select(F.col(key).alias("_heavy_key"), F.col(value).alias("_heavy")))
+    light = table.select(F.col(key).alias("_light_key"), F.col(value).alias("_light"))
+    kind = table.schema[key].dataType
+    spread = F.xxhash64(*rows.columns)
+    other = F.struct(spread.alias("a"), spread.alias("b")) if kind.typeName() == "struct" else spread.cast("string").cast("binary")
+    given = rows.join(heavy, F.col(key) == F.col("_heavy_key"), "left").withColumn("_join", F.when(F.col("_heavy_key").isNull(), F.col(key)).otherwise(other))
+    found = given.join(light, F.col("_join") == F.col("_light_key"), "left").withColumn(value, F.coalesce("_heavy", "_light"))
+    return found.filter(F.col(value).isNotNull()).select(*rows.columns, value)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The later copies of repeated runs of lines: row_doc, row_text, runs (sorted [first, last] structs)."""
-    starting, ending = _windows(_lines(docs), min_words)
-    selected = starting.select(*_ROW, "fingerprint", "fingerprint_pos").distinct()
-    repeated = selected.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint")
-    near = starting.unionByName(ending).join(repeated, "fingerprint")
+    lines = _lines(docs)
+    # tables of hashes: each is read several times below
+    selected = written(_selected(lines, min_words), "line-fingerprints")
+    repeated = selected.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("elsewhere")).filter("n > 1")
+    hits = written(join_first(selected, repeated, "fingerprint", "elsewhere").select(*_ROW, "fingerprint_pos"), "line-hits")
+    same_row = lambda a, b: a["row_doc"].eqNullSafe(b["row_doc"]) & (a["row_text"] == b["row_text"])
+    rows = hits.select(*_ROW).distinct()
+    windows = _windows(lines.join(rows, same_row(lines, rows), "left_semi"), min_words)
+    near = windows.join(hits, same_row(windows, hits) & (windows["fingerprint_pos"] == hits["fingerprint_pos"]), "left_semi").drop("fingerprint_pos")
+    near = written(near, "line-windows")
     place = F.struct("row_doc", "row_text", "first")
-    earliest = near.groupBy("content").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("content", "earliest")
-    later = near.join(earliest, "content").filter(place > F.col("earliest")).select(*_ROW, "first", "last").distinct()
+    earliest = near.groupBy("content").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = join_first(near, earliest, "content", "earliest").filter(place > F.col("earliest")).select(*_ROW, "first", "last").distinct()
     order = Window.partitionBy(*_ROW).orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = later.withColumn("new", (reach.isNull() | (F.col("first") > reach + 1)).cast("int"))
@@ -96,17 +140,18 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "removed_runs")]
-    runs = repeated_runs(docs.select("doc_id", "text"), min_words).select(F.col("row_doc").alias("_row_doc"), F.col("row_text").alias("_row_text"), F.col("runs").alias("_runs"))
-    keyed = docs.select(*kept).withColumn("_text_hash", F.xxhash64("text"))
-    joined = keyed.join(runs, (F.col("doc_id").eqNullSafe(F.col("_row_doc"))) & (F.col("_text_hash") == F.col("_row_text")), "left")
+    row_doc, row_text, found, text_key = unused(docs, "_row_doc", "_row_text", "_runs", "_text_key")
+    runs = repeated_runs(docs.select("doc_id", "text"), min_words).select(F.col("row_doc").alias(row_doc), F.col("row_text").alias(row_text), F.col("runs").alias(found))
+    keyed = docs.select(*kept).withColumn(text_key, F.xxhash64("text"))
+    joined = keyed.join(runs, (F.col("doc_id").eqNullSafe(F.col(row_doc))) & (F.col(text_key) == F.col(row_text)), "left")
     lines = F.split("text", "\n")
-    cleaned = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda line, i: ~_removed(F.col("_runs"), i)), "\n"))
-    total = F.aggregate("_runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
+    cleaned = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda line, i: ~_removed(F.col(found), i)), "\n"))
+    total = F.aggregate(found, F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
     return joined.select(
         *[cleaned.alias("text") if c == "text" else F.col(c) for c in kept],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(total, F.lit(0)).cast("long").alias("removed_lines"),
-        F.coalesce(F.array_join(F.transform("_runs", lambda r: F.concat_ws("-", r["first"], r["last"])), ","), F.lit("")).alias("removed_runs"),
+        F.coalesce(F.array_join(F.transform(found, lambda r: F.concat_ws("-", r["first"], r["last"])), ","), F.lit("")).alias("removed_runs"),
     )
 
 
