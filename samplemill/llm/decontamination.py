@@ -6,8 +6,11 @@ tokens are hashed and joined; the placeholders' values of windows that agree are
 each other. A copy whose values were exchanged consistently (one new value for each old one) is the
 same question with other parameters; values that contradict each other are a coincidence.
 
-Names are told by their capitals, which a copy in other case has lost. So each text has a second, plain
-template, in which names are words like others; its windows meet only those of plain templates.
+Names are told by their capitals, wherever they stand, so that an item and its copy behind other words
+agree; a few function words that open sentences are none. A copy in other case has lost its capitals: so
+each text has a second, plain template, in which names are words like others. An item that is too short or
+too full of numbers for either ("What is 12 + 7?") has a third one, plain but with signs as words, and is
+found as a whole. Windows meet only those of the same kind of template.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import use_memo, written
+from .common import unused, use_memo, written
 from .near_dedup import mix
 
 WINDOW_TOKENS = 8
 #: Words that aren't placeholders a window needs at least.
 MIN_LITERALS = 5
+#: Words, slots and signs that an item without a window needs to be looked for as a whole; of them literals.
+SHORT_TOKENS, SHORT_LITERALS = 5, 2
 #: A document holds an item if so large a share of the item's windows agree, or so many.
 MIN_SHARE = 0.5
 MIN_WINDOWS = 16
@@ -41,12 +46,23 @@ UNITS = {
     "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
     "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "degree", "degrees", "mph", "kmh", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "v", "kv",
 }
-NUMBER_WORDS = {"zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million"}
+NUMBER_WORDS = {
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen", "half",
+}
+# Words that open sentences with a capital and aren't names.
+OPENERS = {
+    "a", "an", "the", "this", "that", "these", "those", "i", "he", "she", "it", "we", "you", "they", "his", "her", "its", "our", "your", "their", "my", "who", "what", "which", "when", "where", "why", "how",
+    "if", "is", "are", "was", "were", "do", "does", "did", "has", "have", "had", "can", "could", "will", "would", "should", "in", "on", "at", "by", "for", "from", "of", "to", "with", "after", "before", "during",
+    "as", "and", "but", "or", "so", "then", "there", "here", "each", "every", "all", "some", "no", "not", "find", "let", "suppose", "given", "compute", "calculate", "simplify", "solve", "determine", "name",
+}
+# Signs that are words of a short item's template.
+SIGNS = {"+", "-", "−", "*", "/", "=", "<", ">", "%", "^", "×", "÷", "·", "±", "≤", "≥", "≠"}
 
 _U = np.uint64
 _EDGES = re.compile(r"^\W+|\W+$")
 _NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
-_UPPER, _ENDS, _SLOT, _EMPTY = 1, 2, 4, 8
+_UPPER, _ENDS, _SLOT, _EMPTY, _SIGN = 1, 2, 4, 8, 16
 _PLACES = np.random.default_rng(10).integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -66,7 +82,9 @@ class Vocabulary:
     def add(self, word: str) -> None:
         core = _EDGES.sub("", word)
         low = core.casefold()
-        flags = _ENDS * (word.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}) | _UPPER * core[:1].isupper() | _EMPTY * (not core)
+        flags = _ENDS * (word.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}) | _UPPER * (core[:1].isupper() and low not in OPENERS) | _EMPTY * (not core)
+        if word in SIGNS:
+            low, flags = word, flags | _SIGN
         if _NUMBER.search(low):
             low, flags = _NUMBER.sub("<number>", low), flags | _SLOT
         elif low in NUMBER_WORDS:
@@ -99,27 +117,29 @@ def forget_words() -> None:
 _NAME = _U(_code("<name>"))
 
 
-def templates(text: str | None) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], list[str]]:
-    """The template of a text and its plain one, each (codes, whether a slot, the word each stands at); and the words.
+def templates(text: str | None, short: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], list[str]]:
+    """The templates of a text, each (codes, whether a slot, the word each stands at), and its words: the one
+    with names, the plain one, and with short the plain one with signs.
 
-    A capitalised word that opens no sentence is a name; names that follow one another are one name.
-    Words of punctuation alone are left out. In the plain template names are words; without names both
-    are the same object.
+    A capitalised word is a name, unless it is one of OPENERS; names that follow one another in a sentence
+    are one name. Words of punctuation alone are left out. In the plain template names are words; where
+    it is the same as the first, both are the same object.
     """
     words = text.split() if text else []
     codes, flags = _vocabulary.of(words)
+    slot, name = flags & _SLOT != 0, flags & (_UPPER | _SLOT) == _UPPER
+
     at = np.flatnonzero(flags & _EMPTY == 0)
-    opens = np.ones(len(words), bool)
-    opens[1:] = flags[:-1] & _ENDS != 0
-    slot = flags & _SLOT != 0
-    name = (flags & _UPPER != 0) & ~opens & ~slot
-    codes, slot, name = codes[at], slot[at], name[at]
-    plain = codes, slot, at
-    if not name.any():
-        return [plain, plain], words
-    stays = np.ones(len(at), bool)
-    stays[1:] = ~(name[1:] & name[:-1])
-    return [(np.where(name, _NAME, codes)[stays], (slot | name)[stays], at[stays]), plain], words
+    plain = codes[at], slot[at], at
+    found = [plain, plain]
+    if name.any():
+        own, stays = name[at], np.ones(len(at), bool)
+        stays[1:] = ~(own[1:] & own[:-1] & (flags[at[:-1]] & _ENDS == 0))
+        found[0] = np.where(own, _NAME, codes[at])[stays], (slot[at] | own)[stays], at[stays]
+    if short:
+        at = np.flatnonzero(flags & (_EMPTY | _SIGN) != _EMPTY)
+        found.append((codes[at], slot[at], at))
+    return found, words
 
 
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -145,14 +165,46 @@ def _slot_values(slot: np.ndarray, at: np.ndarray, words: list[str], pos: int, s
     return [_EDGES.sub("", words[k]) for k in at[pos : pos + size][slot[pos : pos + size]]]
 
 
-_WINDOW_SCHEMA = "row_id long, plain boolean, window_hash long, pos long, size int, n_windows long, slots array<string>"
-#: Keeps the hashes of plain windows apart from the others.
-_PLAIN = _U(_code("<plain>"))
-
-
-def _window_rows(rows: DataFrame, sizes: list[int], min_literals: int, keep: np.ndarray | None) -> DataFrame:
-    """Windows of rows (row_id, text); keep: bitmap of the hashes to keep. Without it a row's own
-    length, if shorter than the largest size, is its window."""
+#: kind: 0 with names, 1 plain, 2 with signs.
+_WINDOW_SCHEMA = "row_id long, kind int, window_hash long, pos long, size int, n_windows long, slots array<string>"
+#: Keeps the hashes of the kinds apart.
+_KINDS = [_U(0), _U(_code("<plain>")), _U(_code("<short>"))]
+
+
+def _item_windows(text: str | None, size: int, min_literals: int) -> Iterator[tuple]:
+    """(kind, hashes, positions, size, template) of an item; shorter ones are one window, and one that has no
+    window otherwise is a window of the third kind."""
+    found, words = templates(text, short=True)
+    some = False
+    for kind, (codes, slot, at) in enumerate(found[:2]):
+        own = min(size, len(codes))
+        pos, hashes = window_hashes(codes, slot, own, min_literals)
+        some |= len(pos) > 0
+        yield kind, pos, hashes, own, slot, at, words
+    codes, slot, at = found[2]
+    if not some and len(codes) >= SHORT_TOKENS and slot.any():
+        yield 2, *window_hashes(codes, slot, len(codes), SHORT_LITERALS), len(codes), slot, at, words
+
+
+def _document_windows(text: str | None, sizes: list[tuple[int, int]], min_literals: int) -> Iterator[tuple]:
+    """The same for a document, with windows of each (kind, size)."""
+    found, words = templates(text, short=any(kind == 2 for kind, _ in sizes))
+    same: dict[int, tuple] = {}
+    for kind, size in sizes:
+        codes, slot, at = found[kind]
+        if size > len(codes):
+            continue
+        if kind == 1 and found[1] is found[0] and size in same:
+            pos, hashes = same[size]
+        else:
+            pos, hashes = window_hashes(codes, slot, size, SHORT_LITERALS if kind == 2 else min_literals)
+        if kind == 0:
+            same[size] = pos, hashes
+        yield kind, pos, hashes, size, slot, at, words
+
+
+def _window_rows(rows: DataFrame, windows, keep: np.ndarray | None) -> DataFrame:
+    """Windows of rows (row_id, text) by windows(text); keep: bitmap of the hashes to keep."""
     given = rows.sparkSession.sparkContext.broadcast(keep)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,28 +213,16 @@ def _window_rows(rows: DataFrame, sizes: list[int], min_literals: int, keep: np.
         for batch in batches:
             out = []
             for row_id, text in zip(batch["row_id"], batch["text"], strict=True):
-                found, words = templates(text)
-                longest = max(len(codes) for codes, _, _ in found)
-                for size in sizes if bits is not None else [max(sizes)]:
-                    if bits is not None and size > longest:
-                        continue
-                    last = None
-                    for plain, (codes, slot, at) in enumerate(found):
-                        own = size if bits is not None else min(size, len(codes))
-                        if not plain or found[1] is not found[0]:
-                            last = window_hashes(codes, slot, own, min_literals)
-                        pos, hashes = last
-                        n = len(pos)
-                        if plain:
-                            hashes = hashes ^ _PLAIN
-                        if bits is not None:
-                            where = (hashes & _U(FILTER_BITS - 1)).astype(np.int64)
-                            hit = np.flatnonzero(bits[where >> 3] >> (where & 7) & 1)
-                            pos, hashes = pos[hit], hashes[hit]
-                        for p, h in zip(pos.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                            values = _slot_values(slot, at, words, p, own)
-                            out.append((row_id, bool(plain), h, p, own, n, [v.casefold() for v in values] if plain else values))
-            yield pd.DataFrame(out, columns=["row_id", "plain", "window_hash", "pos", "size", "n_windows", "slots"])
+                for kind, pos, hashes, size, slot, at, words in windows(text):
+                    n, hashes = len(pos), hashes ^ _KINDS[kind]
+                    if bits is not None:
+                        where = (hashes & _U(FILTER_BITS - 1)).astype(np.int64)
+                        hit = np.flatnonzero(bits[where >> 3] >> (where & 7) & 1)
+                        pos, hashes = pos[hit], hashes[hit]
+                    for p, h in zip(pos.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                        values = _slot_values(slot, at, words, p, size)
+                        out.append((row_id, kind, h, p, size, n, [v.casefold() for v in values] if kind else values))
+            yield pd.DataFrame(out, columns=["row_id", "kind", "window_hash", "pos", "size", "n_windows", "slots"])
 
     return rows.mapInPandas(find, _WINDOW_SCHEMA)
 
@@ -200,44 +240,45 @@ def find_contamination(
 
     Returns a row for each document and item: doc_id, item_id, matched_windows (different windows of
     the item that agree), item_windows, share, first_token and last_token (template positions in the
-    document; in the plain template if only that finds the item), and reparameterised (whether a slot
+    document; in the plain template, or the one with signs, if only that finds the item), and reparameterised (whether a slot
     has another value).
 
     Case doesn't matter for copies word by word, nor for numbers and units. A copy in other case whose names
     were exchanged as well loses each window that holds one.
 
-    Items shorter than a window are one window; items without min_literals literals (or without
-    words) are never found. Null or empty texts hold nothing. A null doc_id or item_id stays null.
+    Items shorter than a window are one window. An item none of whose windows has min_literals literals is
+    one window with its signs, if it has SHORT_TOKENS words, slots and signs, a slot, and SHORT_LITERALS
+    that are none; items with less than that ("Yes.") say nothing and are never found. Null or empty texts hold nothing. A null doc_id or item_id stays null.
     Rows that repeat a doc_id or an item_id are taken together. Empty tables give an empty result.
     Other columns aren't read.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
-    wanted = _window_rows(items, [window_tokens], min_literals, None).withColumnsRenamed({"row_id": "item_id", "pos": "item_pos", "n_windows": "item_windows", "slots": "item_slots"})
+    wanted = _window_rows(items, lambda text: _item_windows(text, window_tokens, min_literals), None).withColumnsRenamed({"row_id": "item_id", "pos": "item_pos", "n_windows": "item_windows", "slots": "item_slots"})
     wanted = written(wanted, "benchmark-windows")
     # window lengths in use and a bitmap of fixed size: all that is sent to the tasks
-    sizes = sorted({window_tokens, *(r["size"] for r in wanted.select("size").distinct().collect())})
+    sizes = sorted({(0, window_tokens), (1, window_tokens), *((r["kind"], r["size"]) for r in wanted.select("kind", "size").distinct().collect())})
     place = F.col("window_hash").bitwiseAND(F.lit(FILTER_BITS - 1))
     marked = wanted.select(place.alias("place")).groupBy(F.expr("place div 8").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(place % 8 as int)))").alias("bits"))
     keep = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in marked.collect():  # at most FILTER_BITS / 8 rows
         keep[r["byte"]] = r["bits"]
     rows = docs.select(F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"))
-    near = _window_rows(rows, sizes, min_literals, keep).drop("n_windows", "size", "plain").withColumnRenamed("row_id", "doc_id")
+    near = _window_rows(rows, lambda text: _document_windows(text, sizes, min_literals), keep).drop("n_windows", "size", "kind").withColumnRenamed("row_id", "doc_id")
     joined = near.join(wanted, "window_hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
     # each alignment of the two for itself, then the consistent ones together
     values = F.arrays_zip("item_slots", "slots")
-    aligned = joined.groupBy("doc_id", "item_id", "plain", "shift", "item_windows").agg(F.array_distinct(F.flatten(F.collect_set(values))).alias("values"), F.collect_set("item_pos").alias("places"), F.min("pos").alias("first_token"), F.max("pos").alias("last_token"))
+    aligned = joined.groupBy("doc_id", "item_id", "kind", "shift", "item_windows").agg(F.array_distinct(F.flatten(F.collect_set(values))).alias("values"), F.collect_set("item_pos").alias("places"), F.min("pos").alias("first_token"), F.max("pos").alias("last_token"))
     old = F.array_distinct(F.transform("values", lambda v: v["item_slots"]))
     clear = F.filter(old, lambda o: F.size(F.filter("values", lambda v: v["item_slots"] == o)) == 1)
     consistent = aligned.filter((F.size(old) == 0) | (F.size(clear) >= F.lit(min_agreement) * F.size(old)))
     changed = F.exists("values", lambda v: v["item_slots"] != v["slots"])
-    places = consistent.select("doc_id", "item_id", "plain", "item_windows", "first_token", "last_token", changed.alias("changed"), F.explode("places").alias("place"))
-    found = places.groupBy("doc_id", "item_id", "plain").agg(F.countDistinct("place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"), F.min("changed").alias("reparameterised"))
+    places = consistent.select("doc_id", "item_id", "kind", "item_windows", "first_token", "last_token", changed.alias("changed"), F.explode("places").alias("place"))
+    found = places.groupBy("doc_id", "item_id", "kind").agg(F.countDistinct("place").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"), F.min("changed").alias("reparameterised"))
     found = found.withColumn("share", F.col("matched_windows") / F.col("item_windows"))
     held = found.filter((F.col("share") >= min_share) | (F.col("matched_windows") >= min_windows))
     columns = ["matched_windows", "item_windows", "share", "first_token", "last_token", "reparameterised"]
-    # what both templates find is told by the one with names
-    once = held.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(*columns), "plain").alias("found"))
+    # what several templates find is told by the one with names, if it is among them
+    once = held.groupBy("doc_id", "item_id").agg(F.min_by(F.struct(*columns), "kind").alias("found"))
     return once.select("doc_id", "item_id", *[F.col("found")[c].alias(c) for c in columns])
 
 
@@ -248,5 +289,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> Da
     """
     key = F.xxhash64("doc_id", F.col("text").cast("string"))
     held = find_contamination(docs.select(key.alias("doc_id"), "text"), benchmark, **parameters).select(F.col("doc_id").alias("_held")).distinct()
-    own = docs.withColumn("_key", key)
-    return own.join(held, own["_key"] == held["_held"], "left_anti").drop("_key")
+    name, other = unused(docs, "_key", "_held")
+    own, held = docs.withColumn(name, key), held.withColumnRenamed("_held", other)
+    return own.join(held, F.col(name) == F.col(other), "left_anti").drop(name)

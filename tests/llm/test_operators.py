@@ -523,3 +523,16 @@ def test_warc_headers_codings_and_bad_records(spark, empty):
 def test_clashing_names_stay(spark):
     docs = spark.createDataFrame([(1, "the cat sat", "a", "b", "c", "d")], "doc_id long, text string, _found string, _text_hash string, _key string, _runs string")
     assert language_id.identify_languages(docs, {"en": b"the cat sat on the mat"}).first()["_found"] == "a"
+
+
+def test_decontamination_of_sums_and_first_names(spark):
+    sums = ["What is 12 + 7?", "Simplify 3/4 + 5/6 - 1/2", "Compute 14 % of 250"]
+    story = "Janet sells 16 duck eggs at the farmers market daily for 2 dollars and bakes muffins with 4 of the rest."
+    bench = spark.createDataFrame([*enumerate([*sums, story, "Yes.", "12 + 7", "So it is 7."], 1)], "item_id long, text string")
+    docs = [
+        (1, "Homework. What is 12 + 7? Easy."), (2, "Now: what is 45 + 9 ?"), (3, "Simplify 1/4 + 5/7 - 1/9 please"), (4, "Compute 14 % of 250 now"), (5, "Then what is 12 - 7 ?"),
+        (6, f"Problem 3, {story}"), (7, story.replace("Janet", "Peter").replace("16", "20")), (8, f"Asked Bob. {story}"), (9, "Yes. So it is 7. 12 + 7 is a sum."), (10, "The farmers market sells eggs daily for 2 dollars."),
+        (7, story.replace("Janet", "Peter").replace("16", "20")), (12, LONG + " " + story + " " + LONG),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (3, 2): True, (4, 3): False, (6, 4): False, (7, 4): True, (8, 4): False, (12, 4): False}
