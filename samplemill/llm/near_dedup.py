@@ -6,13 +6,16 @@ candidates, and the samples are folded into an odd sketch: a bitmap in which eac
 bit, so that the population count of the XOR of two sketches estimates how many samples differ.
 Candidates whose sketches lie too far apart are dropped, all others are confirmed on full sets.
 
-Buckets are never expanded into all pairs. Each member is held against one pivot of its bucket, the
-member that shares most buckets. Jaccard distance is a metric: if a member has at least CORE_PERCENT in
-common with the pivot, whatever links with it has enough in common with the pivot to pass the sketches
-too. So such members leave the bucket, the others meet a second pivot, and only those that two pivots
-left over are compared by their sketches in a join. All pairs that passed the sketches make clusters.
-Where links don't already join a whole cluster, blocks of its members are compared on full sets inside
-tasks, components against other components, and only links come out: none between different texts is lost.
+Each member is held against one pivot of its bucket, the member that shares most buckets. Jaccard distance
+is a metric: if a member has at least CORE_PERCENT in common with the pivot, whatever links with it is no
+further from the pivot than both distances together, and the sketches of pivots and members are let
+through up to that distance (`star_limit`). So such members leave the bucket, the others meet a second
+pivot, and only those that two pivots left over are compared by their sketches in a join of the bucket.
+All pairs that passed the sketches make clusters. Where links don't already join a whole cluster, blocks
+of its members are compared on full sets inside tasks, components against other components, and only links
+come out. What can be lost is what the bands and the sketches lose by chance: a pair at the threshold
+shares no bucket with odds of 2 in 10 million, and its sketches lie too far apart with odds below a
+billionth.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .common import use_memo, written
+from .common import unused, use_memo, written
 
 SHINGLE_WORDS = 5
 #: Link where 100 * intersection >= LINK_PERCENT * union.
 LINK_PERCENT = 85
 BANDS, BAND_ROWS = 26, 5
-#: With d the distance of linked documents, 2 * d + this similarity's distance must pass the sketches.
+#: Members that have so much in common with a pivot leave its bucket.
 CORE_PERCENT = 70
+#: Members of one pivot that a task reads, and the part of all pairs beyond which a pivot is split so.
+PIVOT_MEMBERS, HEAVY_PARTS = 1024, 1000
 PIVOT_ROUNDS = 2
 #: Members of a cluster that a task compares with as many others, and shingles it counts in one step.
 BLOCK_MEMBERS, STEP_SHINGLES = 1024, 4096
@@ -119,6 +124,11 @@ def odd_limit(samples: int, bits: int, percent: int) -> int:
     return math.ceil(mean + 3 * math.sqrt(mean * (1 - mean / bits)))
 
 
+def star_limit(samples: int, bits: int, percent: int) -> int:
+    """Bits that the sketches of a pivot and of a document may differ in that links with a member near the pivot."""
+    return odd_limit(samples, bits, max(0, CORE_PERCENT + percent - 100))
+
+
 def _text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
@@ -190,9 +200,17 @@ def _apart(a: str, b: str, words: int) -> Column:
 
 def _similar(pairs: DataFrame, sets: DataFrame, percents: dict[str, int]) -> DataFrame:
     """The pairs (u, v) with, for each name, whether their full sets are so similar."""
-    left = sets.select(F.col("set_key").alias("u"), F.col("shingles").alias("u_set"))
+    counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("t")).scalar()
+    # pivots with a large part of all pairs, fewer than HEAVY_PARTS: members dealt by hash, the pivot's set to each share
+    heavy = counts.filter((F.col("n") > PIVOT_MEMBERS) & (F.col("n") * HEAVY_PARTS > total)).limit(HEAVY_PARTS)
+    heavy = F.broadcast(heavy.select(F.col("u").alias("heavy"), F.ceil(F.col("n") / PIVOT_MEMBERS).cast("int").alias("shares")))
+    shares = F.coalesce("shares", F.lit(1))
+    left = sets.select(F.col("set_key").alias("u"), F.col("shingles").alias("u_set")).join(heavy, F.col("u") == F.col("heavy"), "left")
+    left = left.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).select("u", "share", "u_set")
     right = sets.select(F.col("set_key").alias("v"), F.col("shingles").alias("v_set"))
-    both = pairs.join(left, "u").join(right, "v").withColumn("shared", F.size(F.array_intersect("u_set", "v_set")).cast("long"))
+    dealt = pairs.join(heavy, F.col("u") == F.col("heavy"), "left").withColumn("share", F.pmod(F.xxhash64("v"), shares).cast("int")).select("u", "v", "share")
+    both = dealt.join(right, "v").join(left, ["u", "share"]).withColumn("shared", F.size(F.array_intersect("u_set", "v_set")).cast("long"))
     union = F.size("u_set") + F.size("v_set") - F.col("shared")
     return both.select("u", "v", *[(100 * F.col("shared") >= percent * union).alias(name) for name, percent in percents.items()])
 
@@ -282,6 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     reach = members.groupBy("set_key").agg(F.sum("n").alias("reach"))
     members = written(members.join(reach, "set_key").select("bucket", "set_key", "least_id", "reach"), "near-members")
     near = odd_limit(bands * band_rows, 64 * sketch_words, percent)
+    far = star_limit(bands * band_rows, 64 * sketch_words, percent)
     sketch = lambda name: classes.select(F.col("set_key").alias(name), F.col("sketch").alias(f"{name}_sketch"))
 
     # the full sets of whatever shares a bucket, from one more pass over the texts
@@ -293,8 +312,9 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     for _ in range(PIVOT_ROUNDS):
         pivots = left.groupBy("bucket").agg(F.max(F.struct("reach", "set_key"))["set_key"].alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u")
         placed = left.join(pivots, "bucket").filter("set_key != u").withColumnRenamed("set_key", "v")
-        stars = placed.select("u", "v").distinct().join(sketch("u"), "u").join(sketch("v"), "v").filter(_apart("u_sketch", "v_sketch", sketch_words) <= near)
-        stars = written(_similar(stars.select("u", "v"), sets, {"linked": percent, "core": CORE_PERCENT}), "near-stars")
+        stars = placed.select("u", "v").distinct().join(sketch("u"), "u").join(sketch("v"), "v").filter(_apart("u_sketch", "v_sketch", sketch_words) <= far)
+        stars = written(stars.select("u", "v"), "near-pairs")
+        stars = written(_similar(stars, sets, {"linked": percent, "core": CORE_PERCENT}), "near-stars")
         candidates = stars.select("u", "v") if candidates is None else candidates.union(stars.select("u", "v"))
         found = stars.filter("linked").select("u", "v")
         links = found if links is None else links.union(found)
@@ -334,11 +354,12 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     keys = found.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     first = keys.groupBy("group").agg(F.min(order).alias("first"), F.sum("n").alias("rows")).filter("rows > 1").select("group", "first")
     placed = keys.join(first, "group").withColumn("stays", order == F.col("first")).filter("not stays or n > 1")
-    decided = written(placed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "near-decided")
-    own = docs.withColumn("_text_hash", _text_hash())
-    same = own["doc_id"].eqNullSafe(decided["_id"]) & (own["_text_hash"] == decided["_hash"])
+    text_hash, decided_id, decided_hash, stays = unused(docs, "_text_hash", "_id", "_hash", "_stays")
+    decided = written(placed.select(F.col("doc_id").alias(decided_id), F.col("text_hash").alias(decided_hash), F.col("stays").alias(stays)), "near-decided")
+    own = docs.withColumn(text_hash, _text_hash())
+    same = own["doc_id"].eqNullSafe(decided[decided_id]) & (own[text_hash] == decided[decided_hash])
     out = own.join(decided, same, "left_anti")
-    again = decided.filter("stays")
+    again = decided.filter(stays)
     if not again.isEmpty():  # rows that repeat a whole key
-        out = out.unionByName(own.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]))
-    return out.drop("_text_hash")
+        out = out.unionByName(own.join(again, same, "left_semi").dropDuplicates(["doc_id", text_hash]))
+    return out.drop(text_hash)
