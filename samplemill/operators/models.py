@@ -51,6 +51,18 @@ class HashPort:
         return out
 
 
+@dataclass(frozen=True)
+class HashConditioner:
+    """Half of the given states plus pseudo-random ones of the other tokens, where their mask isn't 0."""
+
+    def run(self, batch: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        out = []
+        for states, tokens, mask in batch:
+            own = np.sin(np.outer(np.asarray(tokens, np.float64) + 1, np.arange(1, states.shape[1] + 1))).astype(np.float32)
+            out.append((states.astype(np.float64) * 0.5 + own.astype(np.float64) * np.asarray(mask)[:, None]).astype(np.float32))
+        return out
+
+
 def with_retries(fn, *args, attempts: int = 3):
     """The call again on RuntimeError, three times at most."""
     for attempt in range(attempts):
@@ -374,15 +386,16 @@ class EncodeAnimaText(PortStage):
         return text_port(self.port, resolve(df, self.tokens), resolve(df, self.tokens_mask))
 
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
-        mask = resolve(df, self.tokens_mask)
-        states = masked(layer(F.col(PORT)["layers"], -1), mask)
+        states, mask = layer(F.col(PORT)["layers"], -1), resolve(df, self.tokens_mask)
         if self.conditioner is None:
-            return {self.hidden_state_out: states}
+            return {self.hidden_state_out: masked(states, mask)}
         conditioner = self.conditioner
 
+        # masked here: Spark doesn't call Python with a lambda's result
         @F.pandas_udf("array<array<float>>")
-        def condition(first: pd.Series, tokens: pd.Series, masks: pd.Series) -> pd.Series:
-            found = conditioner.run([(np.array([list(t) for t in s], np.float32), np.asarray(t), np.asarray(m)) for s, t, m in zip(first, tokens, masks, strict=True)])
-            return pd.Series([[list(map(float, v)) for v in x] for x in found])
+        def condition(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for first, own, tokens, masks in batches:
+                given = [(np.array([list(t) for t in s], np.float32) * np.asarray(o, np.float32)[:, None], np.asarray(t), np.asarray(m)) for s, o, t, m in zip(first, own, tokens, masks, strict=True)]
+                yield pd.Series([np.asarray(x, np.float64).tolist() for x in conditioner.run(given)])
 
-        return {self.hidden_state_out: condition.asNondeterministic()(states, resolve(df, self.t5_tokens), resolve(df, self.t5_tokens_mask))}
+        return {self.hidden_state_out: condition.asNondeterministic()(states, mask, resolve(df, self.t5_tokens), resolve(df, self.t5_tokens_mask))}

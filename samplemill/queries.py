@@ -605,23 +605,62 @@ def latent_mask_remove(spark, sf_dir):
     return values(run(images(spark, sf_dir), stage))
 
 
-@query("scale_image")
+def _weights_sql(name: str, n: int, m: int) -> str:
+    """A table (o, i, w) of the weights with which n samples make m."""
+    raw = f"greatest(0.0::DOUBLE, 1 - abs((i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {n / m!r}::DOUBLE) / {max(1.0, n / m)!r}::DOUBLE))"
+    return f"{name} AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, {raw} AS w FROM range(0, {m}) a(o), range(0, {n}) b(i)))"
+
+
+def _resized_sql(h: int, w: int, top: int = 0, left: int = 0, rows: int | None = None, columns: int | None = None) -> str:
+    """8 x 8 resized to h x w, then rows x columns from (top, left)."""
+    rows, columns = rows or h, columns or w
+    return f"""WITH {_weights_sql("wy", 8, h)}, {_weights_sql("wx", 8, w)},
+    e AS (SELECT vec_id, unnest(range(0, 64)) AS p, unnest(embedding[1:64])::DOUBLE AS v FROM embeddings),
+    s AS (SELECT vec_id, wy.o - {top} AS y, wx.o - {left} AS x, sum(wy.w * v * wx.w)::FLOAT::DOUBLE AS v FROM e JOIN wy ON wy.i = p // 8 JOIN wx ON wx.i = p % 8 GROUP BY ALL)
+    SELECT vec_id, (y * {columns} + x)::INTEGER AS pos, round(v, 4) + 0.0 AS value FROM s WHERE y BETWEEN 0 AND {rows - 1} AND x BETWEEN 0 AND {columns - 1}"""
+
+
+@query("scale_image", _resized_sql(4, 4))
 def scale_image(spark, sf_dir):
     return values(run(images(spark, sf_dir), geometry.ScaleImage("image", "out", 0.5)), "out")
 
 
-@query("scale_crop_image")
+@query("scale_crop_image", _resized_sql(12, 10, 2, 1, 8, 8))
 def scale_crop_image(spark, sf_dir):
     rows = images(spark, sf_dir).withColumns({"scale": F.array(F.lit(12), F.lit(10)), "size": F.array(F.lit(8), F.lit(8))})
     return values(run(rows, geometry.ScaleCropImage(["image"], "scale", "size")))
 
 
-@query("random_rotate")
+_TURN = f"radians({u('turn', '0', 'vec_id')} * 2 * 20.0::DOUBLE - 20.0::DOUBLE)"
+_TAP = "CASE WHEN y0 + {dy} BETWEEN 0 AND 7 AND x0 + {dx} BETWEEN 0 AND 7 THEN {wy} * {wx} * a[(y0 + {dy}) * 8 + x0 + {dx} + 1] ELSE 0 END"
+_TAPS = " + ".join(_TAP.format(dy=dy, dx=dx, wy=wy, wx=wx) for dy, wy in ((0, "(1 - (sy - y0))"), (1, "(sy - y0)")) for dx, wx in ((0, "(1 - (sx - x0))"), (1, "(sx - x0)")))
+
+
+@query(
+    "random_rotate",
+    f"""WITH r AS (SELECT vec_id, embedding[1:64]::DOUBLE[] AS a, {_TURN} AS t FROM embeddings),
+    g AS (SELECT vec_id, a, p, 3.5::DOUBLE + cos(t) * (p // 8 - 3.5::DOUBLE) + sin(t) * (p % 8 - 3.5::DOUBLE) AS sy, 3.5::DOUBLE - sin(t) * (p // 8 - 3.5::DOUBLE) + cos(t) * (p % 8 - 3.5::DOUBLE) AS sx FROM r, range(0, 64) q(p)),
+    f AS (SELECT *, floor(sy)::BIGINT AS y0, floor(sx)::BIGINT AS x0 FROM g)
+    SELECT vec_id, p::INTEGER AS pos, round(({_TAPS})::FLOAT::DOUBLE, 4) + 0.0 AS value FROM f""",
+)
 def random_rotate(spark, sf_dir):
     return values(run(images(spark, sf_dir, on=True, fixed=False, a=20.0), geometry.RandomRotate(["image"], "on", "fixed", "a", salt="turn")))
 
 
-@query("random_hue")
+_HUE = f"greatest(-0.5::DOUBLE, least(0.5::DOUBLE, ({u('hue', '0', 'vec_id')} - 0.5::DOUBLE) * 0.4::DOUBLE))"
+
+
+@query(
+    "random_hue",
+    f"""WITH e AS (SELECT vec_id, embedding[1:48]::DOUBLE[] AS x, {_HUE} AS shift FROM embeddings),
+    c AS (SELECT vec_id, shift, p, x[p + 1] AS r, x[p + 17] AS g, x[p + 33] AS b FROM e, range(0, 16) q(p)),
+    m AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM c),
+    s AS (SELECT *, CASE WHEN top > low THEN top - low ELSE 1 END AS span FROM m),
+    h AS (SELECT *, CASE WHEN top = low THEN 0 WHEN top = r THEN (g - b) / span / 6 WHEN top = g THEN (2 + (b - r) / span) / 6 ELSE (4 + (r - g) / span) / 6 END AS hue, CASE WHEN top > 0 THEN (top - low) / top ELSE 0 END AS sat FROM s),
+    k AS (SELECT *, (5 - 2 * n) + 6 * (hue - floor(hue) + shift) AS y FROM h, range(0, 3) t(n)),
+    w AS (SELECT *, y - 6 * floor(y / 6) AS z FROM k)
+    SELECT vec_id, (n * 16 + p)::INTEGER AS pos, round((top - top * sat * greatest(0.0::DOUBLE, least(1.0::DOUBLE, z, 4 - z)))::FLOAT::DOUBLE, 4) + 0.0 AS value FROM w""",
+)
 def random_hue(spark, sf_dir):
     return values(run(images(spark, sf_dir, (3, 4, 4), on=True, fixed=False, s=0.4), geometry.RandomHue(["image"], "on", "fixed", "s", salt="hue")))
 
@@ -712,33 +751,76 @@ def crop_start_mask(spark, sf_dir):
     return values(layered(spark, sf_dir).withColumn("image", _flat(states)))
 
 
+def _state_total(state: str):
+    return F.round(F.aggregate(state, F.lit(0.0), lambda t, x: t + x), 3).alias("total")
+
+
 def _encoder_query(kind, **parameters):
     def encode(spark, sf_dir):
         out = run(tokenized(spark, sf_dir), kind("tokens", "tokens_mask", "state", models.HashPort(), **parameters))
-        return out.select("doc_id", F.size("state").cast("long").alias("n"), F.round(F.aggregate(F.flatten("state") if kind is not models.EncodeLlamaText else F.flatten(F.flatten("state")), F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+        return out.select("doc_id", F.size("state").cast("long").alias("n"), _state_total(F.flatten("state") if kind is not models.EncodeLlamaText else F.flatten(F.flatten("state"))))
 
     return encode
 
 
-query("encode_clip_text")(_encoder_query(models.EncodeClipText, hidden_state_output_index=-2, add_layer_norm=True, pooled_out="pooled"))
-query("encode_t5_text")(_encoder_query(models.EncodeT5Text, hidden_state_output_index=-2, add_layer_norm=True))
-query("encode_gemma_text")(_encoder_query(models.EncodeGemmaText, hidden_state_output_index=-1))
-query("encode_llama_text")(_encoder_query(models.EncodeLlamaText, output_all_hidden_states=True, all_hidden_state_output_indices=[0, 2], crop_start=1, tokens_mask_out="tokens_mask"))
-query("encode_mistral_text")(_encoder_query(models.EncodeMistralText, hidden_state_output_index=[1, 3]))
-query("encode_qwen_text")(_encoder_query(models.EncodeQwenText, hidden_state_output_index=[1, 3], crop_start=2, cumsum_position_ids=True, position_ids_out="positions"))
-query("encode_ideogram_text")(_encoder_query(models.EncodeIdeogramText, hidden_state_output_index=[1, 3]))
+def _dimension(layer: int, d: int, token: str = "t") -> str:
+    """The port's state of a token: layer and dimension, as the single float it is."""
+    return f"sin(({token} + 1)::DOUBLE * {4 * layer + d + 1})::FLOAT::DOUBLE"
+
+
+def _encoder_sql(n: int, token: str, first: int = 1) -> str:
+    """n states; the sum of `token` (an expression of t, the id, and i, its place from 1) over the places from first on."""
+    return f"""WITH w AS (SELECT doc_id, {_IDS} AS ids FROM documents), t AS (SELECT doc_id, least(len(ids), 77) AS m, list_resize(ids, 77, 0) AS ids FROM w)
+    SELECT doc_id, {n}::BIGINT AS n, round(list_sum(list_transform(list_zip(ids[{first}:], range({first}, 78)), lambda z: {token.replace("<t>", "z[1]").replace("<i>", "z[2]")})), 3) + 0.0 AS total FROM t"""
+
+
+def _layers_sum(*layers: int) -> str:
+    return "(" + " + ".join(_dimension(a, d, "<t>") for a in layers for d in range(4)) + ")"
+
+
+def _normed(layer: int) -> str:
+    x = [_dimension(layer, d, "<t>") for d in range(4)]
+    mean = f"(({' + '.join(x)}) / 4)"
+    variance = f"(({' + '.join(f'({v} - {mean}) * ({v} - {mean})' for v in x)}) / 4)"
+    return "(" + " + ".join(f"(({v} - {mean}) / sqrt({variance} + 0.00001::DOUBLE))::FLOAT::DOUBLE" for v in x) + ")"
 
 
-@query("encode_anima_text")
+query("encode_clip_text", _encoder_sql(77, _normed(2)))(_encoder_query(models.EncodeClipText, hidden_state_output_index=-2, add_layer_norm=True, pooled_out="pooled"))
+query("encode_t5_text", _encoder_sql(77, _normed(2)))(_encoder_query(models.EncodeT5Text, hidden_state_output_index=-2, add_layer_norm=True))
+query("encode_gemma_text", _encoder_sql(77, _layers_sum(3)))(_encoder_query(models.EncodeGemmaText, hidden_state_output_index=-1))
+query("encode_llama_text", _encoder_sql(3, _layers_sum(1, 2, 3), 2))(_encoder_query(models.EncodeLlamaText, output_all_hidden_states=True, all_hidden_state_output_indices=[0, 2], crop_start=1, tokens_mask_out="tokens_mask"))
+query("encode_mistral_text", _encoder_sql(77, _layers_sum(1, 3)))(_encoder_query(models.EncodeMistralText, hidden_state_output_index=[1, 3]))
+query("encode_qwen_text", _encoder_sql(75, f"CASE WHEN <i> <= m THEN {_layers_sum(1, 3)} ELSE 0 END", 3))(_encoder_query(models.EncodeQwenText, hidden_state_output_index=[1, 3], crop_start=2, cumsum_position_ids=True, position_ids_out="positions"))
+query("encode_ideogram_text", _encoder_sql(77, _layers_sum(1, 3)))(_encoder_query(models.EncodeIdeogramText, hidden_state_output_index=[1, 3]))
+
+
+_CONDITIONED = " + ".join(f"((CASE WHEN <i> <= m THEN {_dimension(3, d, '<t>')} ELSE 0 END * 0.5::DOUBLE + CASE WHEN <i> <= m THEN {_dimension(0, d, '<t>')} ELSE 0 END)::FLOAT::DOUBLE)" for d in range(4))
+
+
+@query("encode_anima_text", _encoder_sql(77, f"({_CONDITIONED})"))
 def encode_anima_text(spark, sf_dir):
-    stage = models.EncodeAnimaText("tokens", "tokens_mask", "tokens", "tokens_mask", "state", models.HashPort())
-    return run(tokenized(spark, sf_dir), stage).select("doc_id", F.size("state").cast("long").alias("n"))
+    stage = models.EncodeAnimaText("tokens", "tokens_mask", "tokens", "tokens_mask", "state", models.HashPort(), models.HashConditioner())
+    return run(tokenized(spark, sf_dir), stage).select("doc_id", F.size("state").cast("long").alias("n"), _state_total(F.flatten("state")))
 
 
 # ---- a whole epoch
 
 
-@query("caption_epoch")
+_EPOCH = f"""WITH epoch AS (SELECT idx AS i, doc_id FROM ({_balance_sql('floor(count(*) * 1.5::DOUBLE)::BIGINT')})),
+    p AS (SELECT i, d.doc_id, {_SIZE}, coalesce({_STRIP.format(x=_LINES + '[1]')}, '') AS line FROM epoch JOIN documents d USING (doc_id)),
+    g AS (SELECT *, list_filter(list_transform(string_split(line, ','), lambda x: {_STRIP.format(x="x")}), lambda x: x <> '') AS tags FROM p),
+    f AS (SELECT *, array_to_string(list_concat(tags[1:1], list_transform(list_sort(list_transform(tags[2:], lambda x, k: {{'u': {u('2', 'k - 1', 'i')}, 'k': k, 't': x}})), lambda x: x.t)), ', ') AS mixed FROM g),
+    o AS (SELECT *, list_filter(list_transform(string_split(mixed, ','), lambda x: {_STRIP.format(x="x")}), lambda x: x <> '') AS left_tags FROM f),
+    n AS (SELECT *, array_to_string(list_concat(left_tags[1:1], list_filter(left_tags[2:], lambda x, k: {u('3', 'k - 1', 'i')} > 0.2::DOUBLE)), ', ') AS prompt, [512, 768][floor({u('4', '0', 'i')} * 2)::BIGINT + 1] AS t FROM o),
+    b(t, th, tw) AS (VALUES {_bucket_rows([512, 768])}),
+    c AS (SELECT n.*, th, tw, row_number() OVER (PARTITION BY i ORDER BY abs(th / tw - h / w), th, tw) AS rn FROM n JOIN b USING (t)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY th, tw ORDER BY {u('6', "'row'", 'i')}, i) - 1 AS pos, count(*) OVER (PARTITION BY th, tw) AS size FROM c WHERE rn = 1),
+    q AS (SELECT *, pos // 4 AS bt FROM k WHERE pos < (size // 4) * 4),
+    r AS (SELECT th, tw, bt, row_number() OVER (ORDER BY {u('6', "'batch|[' || th || ', ' || tw || ']|' || bt", '-1')}, th, tw, bt) - 1 AS number FROM (SELECT DISTINCT th, tw, bt FROM q))
+    SELECT number * 4 + pos % 4 AS idx, number AS batch_id, doc_id, prompt, th || 'x' || tw AS crop, 32::BIGINT AS n_tokens FROM q JOIN r USING (th, tw, bt)"""
+
+
+@query("caption_epoch", _EPOCH)
 def caption_epoch(spark, sf_dir):
     """Captions of labelled documents: first line, tags shuffled and dropped, bucketed, balanced by source,
     and put in whole batches of one resolution."""
