@@ -1,20 +1,26 @@
-"""Interpolated modified Kneser-Ney bigram model: counted over Spark's shuffle, stored as sorted arrays.
-
-Words are 64-bit hashes. Counting takes two shuffles of sorted, compressed runs, dealt by ranges:
-
-    words    -> shards of sorted word hashes with counts; a word's place in them is its id
-    bigrams  -> shards of sorted keys (context id, word id) with counts, and what each context needs:
-                its total and how many words followed it once, twice, three times or more
-    contexts -> for each word, how many different contexts it followed
-
-A task sums up its own run first, so a word pair in a third of all documents costs a row a task, and
-shards grow in number with the corpus. Each shard is files of plain sorted arrays in the shared folder,
-which workers map into memory: a score is a few binary searches and no worker holds the model.
+"""Interpolated modified Kneser-Ney n-gram model: counted over Spark's shuffle, stored as sorted hash arrays.
+
+Words are 64-bit hashes, and ids once all are known: a word's place in the sorted hashes. Counting goes
+from the words to the n-grams of the model's order, and from there down, an order a step:
+
+    words    -> shards of sorted word hashes with counts
+    n-grams  -> shards by a hash of the context: sorted hashes of n-grams with counts, sorted hashes of
+                contexts with what each needs: its total and how many words followed it once, twice, three
+                times or more; and each n-gram without its first word, for the next lower order, which
+                counts how many different words stood before it (or, at the start of a text, how often)
+    words    -> for each word, how many different words it followed
+
+A task sums up its own run first, so a word pair in a third of all documents costs a row a task. Runs meet
+in a tree: each step deals a run to FAN ranges at most and merges FAN runs of a range, until a range is one
+shard. So rows grow with the corpus and not with runs times shards, and shards grow in number only. Each
+shard is files of plain sorted arrays in the shared folder, which workers map into memory: a score is a
+few binary searches and no worker holds the model.
 """
 
 from __future__ import annotations
 
 import mmap
+import struct
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,10 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_uri, file_system, new_folder, use_memo, write_atomically, written
+from .near_dedup import mix
 
+#: Words of an n-gram.
+ORDER = 2
 #: Tokens that a shard counts, as expected, and that a task sums up before it hands them on.
 SHARD_TOKENS = 8_000_000
 RUN_TOKENS = 4_000_000
+#: Ranges that a run is dealt to in one step, and runs that a step merges.
+FAN = 64
 MEMO_WORDS = 1_000_000
 #: Tokens that are scored in one step.
 STEP_TOKENS = 500_000
@@ -50,13 +61,15 @@ def forget_hashes() -> None:
     _hashes.clear()
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """Hashes of A-Z lower-cased words [^\\x20\\x09-\\x0D]+ and of the end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def token_hashes(text: str | None, most: int = -1) -> np.ndarray:
+    """Hashes of A-Z lower-cased words [^\\x20\\x09-\\x0D]+ and of the end; of the first `most` of these only, if given."""
+    words = text.encode("utf-8", "surrogatepass").lower().split(None, most) if text else []
     memo = _hashes
     if len(memo) > MEMO_WORDS:
         memo.clear()
     words.append(END)
+    if most >= 0:
+        words = words[:most]
     try:
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     except KeyError:
@@ -93,28 +106,97 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+_PLACES = np.random.default_rng(9).integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def code(grams: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rows of ids."""
+    total = np.full(len(grams), grams.shape[1], np.uint64)
+    for j in range(grams.shape[1]):
+        total = mix(total + (grams[:, j] + _U(1)) * _PLACES[j])
+    return total
+
+
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order and the sums of their counts. Rows of one column may be any 64-bit numbers, else
+    they are ids below 2**32."""
+    if not len(grams):
+        return grams, counts
+    keys = _paired(grams)
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    changed = np.zeros(len(grams) - 1, bool)
+    for k in keys:
+        changed |= k[order[1:]] != k[order[:-1]]
+    first = np.flatnonzero(np.concatenate([[True], changed]))
+    return grams[order[first]], np.add.reduceat(counts[order], first)
+
+
+def _paired(grams: np.ndarray) -> list[np.ndarray]:
+    """The first two columns in one number, then each other column."""
+    if grams.shape[1] == 1:
+        return [grams[:, 0]]
+    return [grams[:, 0] << _U(32) | grams[:, 1], *(grams[:, j] for j in range(2, grams.shape[1]))]
+
+
+def pack_grams(grams: np.ndarray) -> bytes:
+    """Sorted distinct rows: the first two columns as differences, the others as they are."""
+    first, *others = _paired(grams)
+    parts = [pack_sorted(first), *map(pack_counts, others)]
+    return b"".join(struct.pack("<Q", len(p)) + p for p in parts)
+
 
+def unpack_grams(data: bytes, columns: int) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(data):
+        (n,) = struct.unpack_from("<Q", data, at)
+        parts.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    first = unpack_sorted(parts[0])
+    if columns == 1:
+        return first[:, None]
+    return np.stack([first >> _U(32), first & _U(2**32 - 1), *(unpack_counts(p).astype(np.uint64) for p in parts[1:])], axis=1)
 
-_RUN = "shard long, keys binary, counts binary"
 
+_RUN = "range long, keys binary, counts binary"
 
-def _runs(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
-    """A row for each shard that has keys; bounds: the first key of each shard after the first."""
-    cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-    rows = [(s, pack_sorted(keys[a:b]), pack_counts(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-    return pd.DataFrame(rows, columns=["shard", "keys", "counts"])
 
+def _run(grams: np.ndarray, counts: np.ndarray, shard: np.ndarray, step: int) -> pd.DataFrame:
+    """A row for each range of `step` shards that has some of the sorted rows."""
+    ranges = shard // step
+    order = np.argsort(ranges, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(ranges[order]) != 0])).tolist() if len(order) else []
+    some = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+    return pd.DataFrame([(int(ranges[k[0]]), pack_grams(grams[k]), pack_counts(counts[k])) for k in some], columns=["range", "keys", "counts"])
 
-def _merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return summed(np.concatenate([unpack_sorted(k) for k in frame["keys"]]), np.concatenate([unpack_counts(c) for c in frame["counts"]]))
+
+def _merged(frame: pd.DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    return summed(np.concatenate([unpack_grams(k, columns) for k in frame["keys"]]), np.concatenate([unpack_counts(c) for c in frame["counts"]]))
+
+
+def first_step(shards: int) -> int:
+    """Shards of a range that runs are dealt to first."""
+    step = 1
+    while step * FAN < shards:
+        step *= FAN
+    return step
+
+
+def merged_by_shard(runs: DataFrame, columns: int, shards: int, pieces: int, shard_of, store, schema: str) -> DataFrame:
+    """store(frame of one shard) over runs in ranges of first_step(shards), by way of finer and finer ranges.
+    pieces: about how many runs there are."""
+
+    def dealt_to(step: int):
+        def deal(frame: pd.DataFrame) -> pd.DataFrame:
+            grams, counts = _merged(frame, columns)
+            return _run(grams, counts, shard_of(grams), step)
+
+        return deal
+
+    step = first_step(shards)
+    while step > 1:
+        step, pieces = step // FAN, -(-pieces // FAN)
+        runs = runs.withColumn("lot", F.pmod(F.xxhash64("keys"), F.lit(pieces))).groupBy("range", "lot").applyInPandas(dealt_to(step), _RUN)
+    return runs.groupBy("range").applyInPandas(store, schema)
 
 
 @lru_cache(maxsize=4096)
@@ -132,77 +214,116 @@ def mapped(path: str, kind: str) -> np.ndarray:
         return np.frombuffer(mmap.mmap(local.fileno(), 0, access=mmap.ACCESS_READ), kind)
 
 
+def _found_at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each wanted key in sorted keys, whether it is there)."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 @dataclass(frozen=True)
-class BigramModel:
-    """Where the arrays lie and the model's few numbers. offsets: the first id of each shard."""
+class NgramModel:
+    """Where the arrays lie and the model's few numbers.
+
+    discounts: for counts of one, two, and three or more, of each order from 1 on. lower_classes: how many
+    words followed one, two, three or more words. types: pairs of words.
+    """
 
     folder: str
-    offsets: tuple[int, ...]
+    order: int
+    shards: int
+    words: int
     tokens: int
     documents: int
-    discounts: tuple[float, float, float]
-    lower_discounts: tuple[float, float, float]
-    lower_classes: tuple[int, int, int]
-    bigrams: int
-    context_shards: frozenset[int]
+    discounts: tuple[tuple[float, float, float], ...] = ()
+    lower_classes: tuple[int, int, int] = (0, 0, 0)
+    types: int = 0
+
+    @property
+    def start(self) -> int:
+        """The id that stands for the start of a text."""
+        return self.words
 
     @property
-    def words(self) -> int:
-        return self.offsets[-1]
+    def offsets(self) -> np.ndarray:
+        """The first id of each shard of words."""
+        return mapped(f"{self.folder}/offsets", "<i8")
 
-    def _by_shard(self, ids: np.ndarray) -> Iterator[tuple[int, slice]]:
-        cuts = np.searchsorted(ids, self.offsets[1:-1]) if len(self.offsets) > 2 else []
-        cuts = [0, *np.asarray(cuts).tolist(), len(ids)]
-        return ((s, slice(a, b)) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a)
+    def shard_of_words(self, hashes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(shard_bounds(self.shards), hashes, side="right")
+
+    def shard_of_ids(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets[1:-1], ids, side="right")
+
+    def shard_of_grams(self, grams: np.ndarray) -> np.ndarray:
+        """The shard of rows of ids: that of their first ones', the context's, hash."""
+        return self.shard_of_words(code(grams[:, :-1]))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words by hash; -1: unknown."""
         wanted, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(wanted), -1, np.int64)
-        cuts = [0, *np.searchsorted(wanted, shard_bounds(len(self.offsets) - 1)).tolist(), len(wanted)]
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b > a and self.offsets[s + 1] > self.offsets[s]:
-                known = mapped(f"{self.folder}/words-{s:06d}", "<u8")
-                at = np.minimum(np.searchsorted(known, wanted[a:b]), len(known) - 1)
-                out[a:b] = np.where(known[at] == wanted[a:b], at + self.offsets[s], -1)
+        out, offsets, shard = np.full(len(wanted), -1, np.int64), self.offsets, self.shard_of_words(wanted)
+        for s in np.unique(shard).tolist():
+            if offsets[s + 1] > offsets[s]:
+                own = np.flatnonzero(shard == s)
+                at, there = _found_at(mapped(f"{self.folder}/words-{s:06d}", "<u8"), wanted[own])
+                out[own] = np.where(there, at + offsets[s], -1)
         return out[back]
 
-    def per_word(self, name: str, kind: str, ids: np.ndarray, only: frozenset[int] | None = None) -> np.ndarray:
-        """Values of ids from the arrays called name; 0 for id -1 and for shards without the array."""
+    def per_word(self, name: str, kind: str, ids: np.ndarray) -> np.ndarray:
+        """Values of ids from the arrays called name; 0 for id -1."""
         wanted, back = np.unique(ids, return_inverse=True)
-        out = np.zeros(len(wanted), np.int64)
-        first = int(np.searchsorted(wanted, 0))
-        for s, some in self._by_shard(wanted[first:]):
-            if only is None or s in only:
-                at = slice(some.start + first, some.stop + first)
-                out[at] = mapped(f"{self.folder}/{name}-{s:06d}", kind)[wanted[at] - self.offsets[s]]
+        out, known, offsets = np.zeros(len(wanted), np.int64), np.flatnonzero(wanted >= 0), self.offsets
+        shard = self.shard_of_ids(wanted[known])
+        for s in np.unique(shard).tolist():
+            own = known[shard == s]
+            out[own] = mapped(f"{self.folder}/{name}-{s:06d}", kind)[wanted[own] - offsets[s]]
         return out[back]
 
-    def bigram_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(word), np.int64)
-        both = np.flatnonzero((context >= 0) & (word >= 0))
-        wanted, back = np.unique(context[both].astype(np.uint64) << _U(32) | word[both].astype(np.uint64), return_inverse=True)
-        found = np.zeros(len(wanted), np.int64)
-        for s, some in self._by_shard((wanted >> _U(32)).astype(np.int64)):
-            if s in self.context_shards:
-                keys = mapped(f"{self.folder}/bigrams-{s:06d}", "<u8")
-                at = np.minimum(np.searchsorted(keys, wanted[some]), len(keys) - 1)
-                found[some] = np.where(keys[at] == wanted[some], mapped(f"{self.folder}/bigram-counts-{s:06d}", "<u4")[at], 0)
-        out[both] = found[back]
-        return out
-
-    def log10_probabilities(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Of words after contexts, by id; -1: unknown. The id `words` is the start of a text."""
-        own = lambda c, d: np.array([0.0, *d])[np.minimum(c, 3)]
-        contexts = self.per_word("continuations", "<u4", word)
-        spared = np.dot(self.lower_discounts, self.lower_classes)
-        lower = (contexts - own(contexts, self.lower_discounts) + spared / (self.words + 1)) / max(1, self.bigrams)
-        if not self.bigrams:
-            lower = np.full(len(word), 1 / (self.words + 1))
-        total = self.per_word("totals", "<i8", context, self.context_shards)
-        left = sum(d * self.per_word(f"followed-{k}", "<u4", context, self.context_shards) for k, d in enumerate(self.discounts, 1))
-        count = self.bigram_counts(context, word)
-        return np.log10(np.where(total > 0, (count - own(count, self.discounts) + left * lower) / np.maximum(total, 1), lower))
+    def gram_values(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, total of the context, discount left for the lower order) of rows of ids; 0 for unseen ones."""
+        k, n = grams.shape[1], len(grams)
+        count, total, left = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        present = mapped(f"{self.folder}/present-{k}", "<u1")
+        contexts = code(grams[:, :-1])
+        shard = self.shard_of_words(contexts)
+        for s in np.unique(shard).tolist():
+            if not present[s]:
+                continue
+            own = np.flatnonzero(shard == s)
+            array = lambda name, kind: mapped(f"{self.folder}/{name}-{k}-{s:06d}", kind)  # noqa: B023, E731
+            wanted, back = np.unique(contexts[own], return_inverse=True)
+            at, there = _found_at(array("contexts", "<u8"), wanted)
+            total[own] = np.where(there, array("totals", "<i8")[at], 0)[back]
+            left[own] = np.where(there, sum(d * array(f"followed{j}", "<u4")[at] for j, d in enumerate(self.discounts[k - 1], 1)), 0)[back]
+            wanted, back = np.unique(code(grams[own]), return_inverse=True)
+            at, there = _found_at(array("grams", "<u8"), wanted)
+            count[own] = np.where(there, array("counts", "<u4")[at], 0)[back]
+        return count, total, left
+
+    def log10_probabilities(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Of each word after those before it in its text; ids of texts one after the other, -1: unknown."""
+        cut = lambda c, d: np.array([0.0, *d])[np.minimum(c, 3)]
+        if not self.types:
+            return np.full(len(ids), np.log10(1 / (self.words + 1)))
+        followed = self.per_word("continuations", "<u4", ids)
+        spared = np.dot(self.discounts[0], self.lower_classes)
+        p = (followed - cut(followed, self.discounts[0]) + spared / (self.words + 1)) / self.types
+        place = np.arange(len(ids)) - np.repeat(begins, np.diff(np.append(begins, len(ids))))
+        for k in range(2, self.order + 1):
+            at, grams, known = _grams_at(ids, place, k, self.start)
+            count, total, left = self.gram_values(grams[known].astype(np.uint64))
+            seen = total > 0
+            own = at[known][seen]
+            p[own] = (count[seen] - cut(count[seen], self.discounts[k - 1]) + left[seen] * p[own]) / total[seen]
+        return np.log10(p)
+
+
+def _grams_at(ids: np.ndarray, place: np.ndarray, k: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in ids with k - 1 words or the start before them, those k ids each, whether all but the last are known)."""
+    at = np.flatnonzero(place >= k - 2)
+    grams = np.stack([ids[np.maximum(at - j, 0)] for j in range(k - 1, -1, -1)], axis=1)
+    grams[place[at] == k - 2, 0] = start
+    return at, np.where(grams < 0, 2**32 - 1, grams), (grams[:, :-1] >= 0).all(axis=1)
 
 
 def shard_bounds(shards: int) -> np.ndarray:
@@ -220,114 +341,143 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(d if 0 < d < k else k / 2 for k, d in enumerate(found, 1))
 
 
-def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, folder: str | None = None) -> BigramModel:
+def _text_steps(batches: Iterator[pd.DataFrame], most: int = -1) -> Iterator[list[np.ndarray]]:
+    """Lists of the token hashes of texts, RUN_TOKENS or a little more each."""
+    held, n = [], 0
+    for batch in batches:
+        for text in batch["text"]:
+            held.append(token_hashes(text, most))
+            n += len(held[-1])
+            if n >= RUN_TOKENS:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, folder: str | None = None, order: int = ORDER) -> NgramModel:
     """Count the whole texts of texts (text; null: empty) and write the model's arrays to the shared folder.
 
-    Only a few numbers a shard reach the driver. No rows: a model that knows no word.
+    order: words of an n-gram, two or more. Only a few numbers a shard reach the driver. Repeated rows count
+    each. No rows: a model that knows no word. Other columns aren't read.
     """
+    if order < 2:
+        raise ValueError("order is below two")
     spark = texts.sparkSession
-    folder = folder or new_folder(spark, "bigrams")
+    folder = folder or new_folder(spark, "ngrams")
     rows = texts.select(F.col("text").cast("string").alias("text"))
     # as many shards as the words want that white space suggests
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 6), F.count(F.lit(1))).first()
-    shards = max(1, -(-int(size[0] or 0) // (6 * shard_tokens)))
-    bounds, documents = shard_bounds(shards), int(size[1])
+    tokens = int(size[0] or 0) // 6
+    shards, documents = max(1, -(-tokens // shard_tokens)), int(size[1])
+    step, pieces = first_step(shards), max(1, tokens // RUN_TOKENS)
+    one = lambda values: values[:, None]
+    model = NgramModel(folder, order, shards, 0, 0, documents)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use_memo("ngram_lm", forget_hashes)
-        held, n = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(token_hashes(text))
-                n += len(held[-1])
-                if n >= RUN_TOKENS:
-                    yield _runs(*np.unique(np.concatenate(held), return_counts=True), bounds)
-                    held, n = [], 0
-        if held:
-            yield _runs(*np.unique(np.concatenate(held), return_counts=True), bounds)
+        for held in _text_steps(batches):
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            yield _run(one(keys), counts, model.shard_of_words(keys), step)
 
     def store_words(frame: pd.DataFrame) -> pd.DataFrame:
-        s = int(frame["shard"].iloc[0])
-        keys, counts = _merged(frame)
+        s = int(frame["range"].iloc[0])
+        keys, counts = _merged(frame, 1)
         write_atomically(f"{folder}/words-{s:06d}", [keys.astype("<u8").tobytes()])
         write_atomically(f"{folder}/counts-{s:06d}", [counts.astype("<i8").tobytes()])
         return pd.DataFrame({"shard": [s], "n": [len(keys)], "tokens": [counts.sum()]})
 
-    found = rows.mapInPandas(words, _RUN).groupBy("shard").applyInPandas(store_words, "shard long, n long, tokens long").collect()
+    found = merged_by_shard(rows.mapInPandas(words, _RUN), 1, shards, pieces, lambda g: model.shard_of_words(g[:, 0]), store_words, "shard long, n long, tokens long").collect()
     sizes = np.zeros(shards, np.int64)
     for r in found:
         sizes[r["shard"]] = r["n"]
-    offsets = (0, *np.cumsum(sizes).tolist())
-    if offsets[-1] >= 1 << 32:
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    if offsets[-1] >= (1 << 32) - 1:
         raise ValueError("more than 2**32 different words")
-    model = BigramModel(folder, offsets, sum(r["tokens"] for r in found), documents, (0, 0, 0), (0, 0, 0), (0, 0, 0), 0, frozenset())
-    starts = np.array(offsets[1:-1], np.uint64) << _U(32)
-    start_id = model.words
+    write_atomically(f"{folder}/offsets", [offsets.astype("<i8").tobytes()])
+    model = NgramModel(folder, order, shards, int(offsets[-1]), sum(r["tokens"] for r in found), documents)
+    if not documents:
+        return model
 
-    def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        use_memo("ngram_lm", forget_hashes)
-        def run(held: list) -> pd.DataFrame:
-            ids = model.ids(np.concatenate(held)).astype(np.uint64)
-            context = np.concatenate([[_U(start_id)], ids[:-1]])
-            context[np.cumsum([0, *map(len, held[:-1])])] = start_id
-            return _runs(*np.unique(context << _U(32) | ids, return_counts=True), starts)
-
-        held, n = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(token_hashes(text))
-                n += len(held[-1])
-                if n >= RUN_TOKENS:
-                    yield run(held)
-                    held, n = [], 0
-        if held:
-            yield run(held)
-
-    def store_bigrams(frame: pd.DataFrame) -> pd.DataFrame:
-        s = int(frame["shard"].iloc[0])
-        keys, counts = _merged(frame)
-        write_atomically(f"{folder}/bigrams-{s:06d}", [keys.astype("<u8").tobytes()])
-        write_atomically(f"{folder}/bigram-counts-{s:06d}", [np.minimum(counts, 2**32 - 1).astype("<u4").tobytes()])
-        context = (keys >> _U(32)).astype(np.int64) - offsets[s]
-        n = offsets[s + 1] - offsets[s] + (s == shards - 1)
-        totals = np.zeros(n, np.int64)
-        np.add.at(totals, context, counts)
-        write_atomically(f"{folder}/totals-{s:06d}", [totals.astype("<i8").tobytes()])
-        for k in (1, 2, 3):
-            write_atomically(f"{folder}/followed-{k}-{s:06d}", [np.bincount(context[np.minimum(counts, 3) == k], minlength=n).astype("<u4").tobytes()])
-        out = _runs(*np.unique(keys & _U(2**32 - 1), return_counts=True), np.array(offsets[1:-1], np.uint64))
-        few = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        return out.assign(source=s, n=[len(keys)] + [0] * (len(out) - 1), few=[few] + [[0] * 4] * (len(out) - 1))
+    def grams_of(k: int, heads: bool):
+        def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The n-grams of k words; with heads only those at the start of a text."""
+            use_memo("ngram_lm", forget_hashes)
+            for held in _text_steps(batches, k - 1 if heads else -1):
+                ids, lengths = model.ids(np.concatenate(held)), [len(x) for x in held]
+                place = np.arange(len(ids)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
+                if heads:
+                    place = np.where(place == k - 2, place, -1)
+                _, found, _ = _grams_at(ids, place, k, model.start)
+                found, counts = summed(found.astype(np.uint64), np.ones(len(found), np.int64))
+                yield _run(found, counts, model.shard_of_grams(found), step)
+
+        return grams
+
+    def lower_shard(k: int, grams: np.ndarray) -> np.ndarray:
+        return model.shard_of_grams(grams) if k > 1 else model.shard_of_ids(grams[:, 0].astype(np.int64))
+
+    def storing(k: int):
+        def store_grams(frame: pd.DataFrame) -> pd.DataFrame:
+            s = int(frame["range"].iloc[0])
+            grams, counts = _merged(frame, k)
+            put = lambda name, values, kind: write_atomically(f"{folder}/{name}-{k}-{s:06d}", [values.astype(kind).tobytes()])
+            codes, contexts = code(grams), code(grams[:, :-1])
+            by_code = np.argsort(codes, kind="stable")
+            put("grams", codes[by_code], "<u8")
+            put("counts", np.minimum(counts[by_code], 2**32 - 1), "<u4")
+            keys, of = np.unique(contexts, return_inverse=True)
+            totals = np.zeros(len(keys), np.int64)
+            np.add.at(totals, of, counts)
+            put("contexts", keys, "<u8")
+            put("totals", totals, "<i8")
+            for j in (1, 2, 3):
+                put(f"followed{j}", np.bincount(of[np.minimum(counts, 3) == j], minlength=len(keys)), "<u4")
+            below, before = summed(np.ascontiguousarray(grams[:, 1:]), np.ones(len(grams), np.int64))
+            out = _run(below, before, lower_shard(k - 1, below), step)
+            few = [int((counts == j).sum()) for j in (1, 2, 3, 4)]
+            return out.assign(source=s, n=[len(grams)] + [0] * (len(out) - 1), few=[few] + [[0] * 4] * (len(out) - 1))
+
+        return store_grams
 
     def store_continuations(frame: pd.DataFrame) -> pd.DataFrame:
-        s = int(frame["shard"].iloc[0])
-        keys, counts = _merged(frame)
-        contexts = np.zeros(offsets[s + 1] - offsets[s], np.int64)
-        contexts[keys.astype(np.int64) - offsets[s]] = counts
-        write_atomically(f"{folder}/continuations-{s:06d}", [np.minimum(contexts, 2**32 - 1).astype("<u4").tobytes()])
-        few = [int((contexts == k).sum()) for k in (1, 2, 3, 4)]
-        return pd.DataFrame({"few": [few], "n": [int((contexts > 0).sum())]})
-
-    if not documents:
-        return model
-    followed = written(rows.mapInPandas(bigrams, _RUN).groupBy("shard").applyInPandas(store_bigrams, f"{_RUN}, source long, n long, few array<long>"), "bigram-runs")
-    heads = followed.groupBy("source").agg(F.sum("n").alias("n"), *[F.sum(F.col("few")[k]).alias(f"few_{k}") for k in range(4)]).collect()
-    lower = followed.select("shard", "keys", "counts").groupBy("shard").applyInPandas(store_continuations, "few array<long>, n long").collect()
-    classes = [sum(r["few"][k] for r in lower) for k in range(4)]
-    return BigramModel(
+        s, first = int(frame["range"].iloc[0]), model.offsets
+        ids, counts = _merged(frame, 1)
+        followed = np.zeros(first[s + 1] - first[s], np.int64)
+        followed[ids[:, 0].astype(np.int64) - first[s]] = counts
+        write_atomically(f"{folder}/continuations-{s:06d}", [np.minimum(followed, 2**32 - 1).astype("<u4").tobytes()])
+        few = [int((followed == j).sum()) for j in (1, 2, 3, 4)]
+        return pd.DataFrame({"few": [few], "n": [int((followed > 0).sum())]})
+
+    runs, discounts, types = rows.mapInPandas(grams_of(order, False), _RUN), [], 0
+    for k in range(order, 1, -1):
+        stored = merged_by_shard(runs, k, shards, pieces, model.shard_of_grams, storing(k), f"{_RUN}, source long, n long, few array<long>")
+        below = written(stored, f"grams-{k}")
+        heads = below.groupBy("source").agg(F.sum("n").alias("n"), *[F.sum(F.col("few")[j]).alias(f"few_{j}") for j in range(4)]).collect()
+        present = np.zeros(shards, np.uint8)
+        present[[r["source"] for r in heads]] = 1
+        write_atomically(f"{folder}/present-{k}", [present.tobytes()])
+        discounts.append(_discounts([sum(r[f"few_{j}"] for r in heads) for j in range(4)]))
+        types, pieces = sum(r["n"] for r in heads), max(pieces, shards)
+        runs = below.select("range", "keys", "counts")
+        if k > 2:
+            runs = runs.union(rows.mapInPandas(grams_of(k - 1, True), _RUN))
+    lower = merged_by_shard(runs, 1, shards, pieces, lambda g: lower_shard(1, g), store_continuations, "few array<long>, n long").collect()
+    classes = [sum(r["few"][j] for r in lower) for j in range(4)]
+    return NgramModel(
         folder,
-        offsets,
+        order,
+        shards,
+        model.words,
         model.tokens,
         documents,
-        _discounts([sum(r[f"few_{k}"] for r in heads) for k in range(4)]),
-        _discounts(classes),
+        (_discounts(classes), *reversed(discounts)),
         (classes[0], classes[1], sum(r["n"] for r in lower) - classes[0] - classes[1]),
-        sum(r["n"] for r in heads),
-        frozenset(r["source"] for r in heads),
+        types,
     )
 
 
-def score_documents(docs: DataFrame, model: BigramModel) -> DataFrame:
+def score_documents(docs: DataFrame, model: NgramModel) -> DataFrame:
     """Scores of docs (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score,
     perplexity (10 to the power of -score / n_tokens).
 
@@ -342,11 +492,9 @@ def score_documents(docs: DataFrame, model: BigramModel) -> DataFrame:
         def step(ids: list, held: list) -> pd.DataFrame:
             word = model.ids(np.concatenate(held))
             begins = np.cumsum([0, *map(len, held[:-1])])
-            context = np.concatenate([[0], word[:-1]])
-            context[begins] = model.words
             counts = model.per_word("counts", "<i8", word)
             base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.words + 1)))
-            own = model.log10_probabilities(context, word)
+            own = model.log10_probabilities(word, begins)
             n = np.array([len(x) for x in held])
             total = np.add.reduceat(own, begins)
             return pd.DataFrame({
