@@ -196,40 +196,52 @@ def test_language_id_edges(edges, empty):
     assert got[1]["lang_pred"] == got[3]["lang_pred"] == "und" and got[5]["lang_pred"] == "en" and got[1]["rejected"]
 
 
-def test_ngram_model_sums_to_one_and_matches_brute_force(spark, empty, edges):
+@pytest.mark.parametrize("order,shard_tokens,fan", [(2, 7, 64), (3, 7, 64), (4, 7, 2), (2, 5, 2), (3, 1000, 64)])
+def test_ngram_model_sums_to_one_and_matches_brute_force(spark, empty, edges, monkeypatch, order, shard_tokens, fan):
     import math
     from collections import Counter
 
-    texts = ["a b c a b", "a b d", "c a b", "A b c d e f", "d d d d d", "b a", "", None, "e f a", "g h", "g i", "a b c a b"] * 2
+    monkeypatch.setattr(ngram_lm, "FAN", fan)
+    monkeypatch.setattr(ngram_lm, "RUN_TOKENS", 12)
+    texts = ["a b c a b", "a b d", "c a b", "A b c d e f", "d d d d d", "b a", "", None, "e f a", "g h", "g i", "a b c a b", "x a b c a b d", "y a b c a b e"] * 2
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = ngram_lm.train(df, shard_tokens=7)
+    model = ngram_lm.train(df, shard_tokens=shard_tokens, order=order)
     seqs = [[*(t or "").lower().split(), None] for t in texts]
     c = Counter(w for s in seqs for w in s)
-    bigrams = Counter((h, w) for s in seqs for h, w in zip(["<s>", *s[:-1]], s, strict=True))
-    contexts = Counter(w for _, w in bigrams)
-    total = Counter()
-    for (h, _), n in bigrams.items():
-        total[h] += n
-    d, low = model.discounts, model.lower_discounts
-    spared = sum(low[min(n, 3) - 1] for n in contexts.values())
-
-    def p(h, w):
-        lower = (contexts[w] - (low[min(contexts[w], 3) - 1] if contexts[w] else 0) + spared / (len(c) + 1)) / len(bigrams)
-        if h not in total:
-            return lower
-        left = sum(d[min(n, 3) - 1] for (x, _), n in bigrams.items() if x == h)
-        n = bigrams[h, w]
-        return ((n - d[min(n, 3) - 1] if n else 0) + left * lower) / total[h]
-
-    assert sum(p("a", w) for w in c) + p("a", "unknown") == pytest.approx(1)
-    more = df.union(spark.createDataFrame([(99, "zz a yy b")], "doc_id long, text string"))
+    # counts of each order: raw for the highest and at the start of a text, else different words before
+    counts = {order: Counter(tuple(s[k : k + order]) for s in (["<s>", *x] for x in seqs) for k in range(len(s) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+        if k > 1:
+            counts[k] += Counter(tuple(["<s>", *s][:k]) for s in seqs if len(s) >= k - 1)
+    assert [len(d) for d in model.discounts] == [3] * order and model.types == len(counts[2])
+
+    def p(history, w):
+        out, d = 1 / (len(c) + 1), model.discounts[0]
+        total = sum(counts[1].values())
+        own = counts[1][w,]
+        out = (own - (d[min(own, 3) - 1] if own else 0) + sum(d[min(n, 3) - 1] for n in counts[1].values()) * out) / total
+        for k in range(2, order + 1):
+            if len(history) < k - 1:
+                break
+            h, d = tuple(history[-(k - 1) :]), model.discounts[k - 1]
+            after = {g[-1]: n for g, n in counts[k].items() if g[:-1] == h}
+            if after:
+                own = after.get(w, 0)
+                out = (own - (d[min(own, 3) - 1] if own else 0) + sum(d[min(n, 3) - 1] for n in after.values()) * out) / sum(after.values())
+        return out
+
+    for history in (["<s>"], ["<s>", "a"], ["c", "a", "b"], ["zz", "a"]):
+        assert sum(p(history, w) for w in c) + p(history, "unknown") == pytest.approx(1)
+    more = df.union(spark.createDataFrame([(99, "zz a yy b a b c")], "doc_id long, text string"))
     for r in ngram_lm.score_documents(more, model).collect():
-        s = ["zz", "a", "yy", "b", None] if r["doc_id"] == 99 else seqs[r["doc_id"]]
-        assert r["score"] == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *s[:-1]], s, strict=True)))
+        s = ["zz", "a", "yy", "b", "a", "b", "c", None] if r["doc_id"] == 99 else seqs[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(math.log10(p(["<s>", *s[:k]], w)) for k, w in enumerate(s)))
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1))) for w in s))
         assert (r["n_tokens"], r["n_known"]) == (len(s), sum(w in c for w in s))
-    nothing = ngram_lm.train(empty)
-    assert nothing.words == 0 and ngram_lm.score_documents(edges, nothing).count() == len(EDGES) and ngram_lm.score_documents(empty, model).count() == 0
+    if order == 2:
+        nothing = ngram_lm.train(empty)
+        assert nothing.words == 0 and ngram_lm.score_documents(edges, nothing).count() == len(EDGES) and ngram_lm.score_documents(empty, model).count() == 0
 
 
 def test_decontamination(spark, edges, empty):
@@ -371,7 +383,7 @@ def test_queries_and_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, corpus_pipeline.written(stage(spark, docs, data), "test")
         if name == "near dedup":  # the stage alone against all pairs
-            want = components({r["doc_id"]: r["text"] for r in before.collect()})
+            want = components({r["doc_id"]: r["text"] for r in before.collect()}, 80)
             assert {r["doc_id"] for r in docs.collect()} == {d for d, (_, c) in want.items() if d == c}
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
     got = docs.toPandas()
