@@ -30,12 +30,14 @@ _ROW = ["row_doc", "row_text"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row a line with words: the row's key, pos, line_hash, and the words before and up to it."""
+    """A row a line with words: the row's key, pos, a and b (its hash, in two halves), and the words before
+    and up to it."""
     line = F.posexplode(F.split("text", "\n")).alias("pos", "line")
     rows = docs.select(F.col("doc_id").alias("row_doc"), _text_key(), "text").select(*_ROW, line)
-    hashed = rows.select(*_ROW, "pos", F.unhex(F.md5(F.btrim("line", F.lit(" \t\r")))).alias("line_hash"), F.regexp_count("line", F.lit(_WORD)).cast("long").alias("words")).filter("words > 0")
+    bare = F.btrim("line", F.lit(" \t\r"))
+    hashed = rows.select(*_ROW, "pos", F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b"), F.regexp_count("line", F.lit(_WORD)).cast("long").alias("words")).filter("words > 0")
     # rows that repeat one another are the same document
-    once = hashed.groupBy(*_ROW, "pos").agg(F.first("line_hash").alias("line_hash"), F.first("words").alias("words"))
+    once = hashed.groupBy(*_ROW, "pos").agg(*[F.first(c).alias(c) for c in ("a", "b", "words")])
     upto = F.sum("words").over(Window.partitionBy(*_ROW).orderBy("pos"))
     return once.withColumn("word_end", upto).withColumn("word_start", F.col("word_end") - F.col("words"))
 
@@ -52,9 +54,9 @@ def _frames(min_words: int):
 
 def _selected(lines: DataFrame, min_words: int) -> DataFrame:
     ahead, _ = _frames(min_words)
-    least = F.min(F.struct("line_hash", "pos")).over(ahead).alias("least")
+    least = F.min(F.struct("a", "b", "pos")).over(ahead).alias("least")
     enough = (F.max("word_end").over(ahead) - F.col("word_start") >= min_words).alias("enough")
-    return lines.select(*_ROW, least, enough).filter("enough").select(*_ROW, F.col("least.line_hash").alias("fingerprint"), F.col("least.pos").alias("fingerprint_pos")).distinct()
+    return lines.select(*_ROW, least, enough).filter("enough").select(*_ROW, F.struct("least.a", "least.b").alias("fingerprint"), F.col("least.pos").alias("fingerprint_pos")).distinct()
 
 
 def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -66,23 +68,23 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     """Windows of min_words words at least that start or end at a line: the row's key, first, last, content
     (hash of the lines), fingerprint_pos."""
     ahead, behind = _frames(min_words)
-    item = F.struct("line_hash", "pos", "word_start", "word_end")
+    item = F.struct("a", "b", "pos", "word_start", "word_end")
     both = lines.select(*_ROW, "pos", "word_start", "word_end", F.collect_list(item).over(ahead).alias("after"), F.collect_list(item).over(behind).alias("before"))
-    both = both.withColumn("least", F.array_min(F.transform("after", lambda x: F.struct(x["line_hash"], x["pos"])))["pos"])
+    both = both.withColumn("least", F.array_min(F.transform("after", lambda x: F.struct(x["a"], x["b"], x["pos"].alias("pos"))))["pos"])
     # a window that ends here is anchored by the fingerprint of the window that starts at its first line
     both = both.withColumn("anchor", F.first("least").over(behind))
 
     def window(items: str, anchor: str) -> Column:
-        hashes, first, last = F.transform(items, lambda x: x["line_hash"]), F.element_at(items, 1), F.element_at(items, -1)
-        content = F.struct(F.xxhash64(hashes).alias("a"), F.xxhash64(F.lit(1), hashes).alias("b"))
+        first, last = F.element_at(items, 1), F.element_at(items, -1)
+        content = F.struct(F.xxhash64(F.transform(items, lambda x: x["a"])).alias("a"), F.xxhash64(F.transform(items, lambda x: x["b"])).alias("b"))
         return F.struct((last["word_end"] - first["word_start"]).alias("words"), first["pos"].alias("first"), last["pos"].alias("last"), content.alias("content"), F.col(anchor).alias("fingerprint_pos"))
 
     return both.select(*_ROW, F.inline(F.array(window("after", "least"), window("before", "anchor")))).filter(F.col("words") >= min_words).drop("words")
 
 
 def join_first(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """rows with the value that table (key, value, n: how many rows there are of each key) has for their key;
-    rows without one are left out.
+    """rows with the value that table (key, value, n: how many rows there are of each key) has for their key,
+    a hash in two halves; rows without one are left out.
 
     Keys with more than a part in HEAVY_PARTS of all rows of the table are fewer than HEAVY_PARTS: their rows
     of table are broadcast, and their rows of `rows` go through the join of all other keys under a hash of
@@ -91,9 +93,8 @@ def join_first(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataF
     total = table.agg(F.sum("n").alias("t")).scalar()
     heavy = F.broadcast(table.filter(F.col("n") * HEAVY_PARTS > total).limit(HEAVY_PARTS).select(F.col(key).alias("_heavy_key"), F.col(value).alias("_heavy")))
     light = table.select(F.col(key).alias("_light_key"), F.col(value).alias("_light"))
-    kind = table.schema[key].dataType
     spread = F.xxhash64(*rows.columns)
-    other = F.struct(spread.alias("a"), spread.alias("b")) if kind.typeName() == "struct" else spread.cast("string").cast("binary")
+    other = F.struct(spread.alias("a"), spread.alias("b"))
     given = rows.join(heavy, F.col(key) == F.col("_heavy_key"), "left").withColumn("_join", F.when(F.col("_heavy_key").isNull(), F.col(key)).otherwise(other))
     found = given.join(light, F.col("_join") == F.col("_light_key"), "left").withColumn(value, F.coalesce("_heavy", "_light"))
     return found.filter(F.col(value).isNotNull()).select(*rows.columns, value)
@@ -101,8 +102,8 @@ def join_first(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataF
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The later copies of repeated runs of lines: row_doc, row_text, runs (sorted [first, last] structs)."""
-    lines = _lines(docs)
     # tables of hashes: each is read several times below
+    lines = written(_lines(docs), "lines")
     selected = written(_selected(lines, min_words), "line-fingerprints")
     repeated = selected.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("elsewhere")).filter("n > 1")
     hits = written(join_first(selected, repeated, "fingerprint", "elsewhere").select(*_ROW, "fingerprint_pos"), "line-hits")
