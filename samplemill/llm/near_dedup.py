@@ -363,3 +363,32 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     if not again.isEmpty():  # rows that repeat a whole key
         out = out.unionByName(own.join(again, same, "left_semi").dropDuplicates(["doc_id", text_hash]))
     return out.drop(text_hash)
+
+
+#: DuckDB SQL with the rows of the query over documents: all pairs of classes that share a shingle, by brute force.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM words
+), keyed AS (
+  SELECT *, md5(array_to_string(list_sort(shingles), chr(1))) AS k FROM sets
+), classes AS (
+  SELECT k, min(doc_id) AS c, any_value(shingles) AS shingles, any_value(len(shingles)) AS n FROM keyed WHERE len(shingles) > 0 GROUP BY k
+), each AS (
+  SELECT c, n, unnest(shingles) AS g FROM classes
+), links AS (
+  SELECT a.c AS u, b.c AS v FROM each a JOIN each b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), sides AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached(c, r) AS (
+  SELECT c, c FROM classes UNION SELECT sides.v, reached.r FROM reached JOIN sides ON sides.u = reached.c
+), least AS (
+  SELECT c, min(r) AS component FROM reached GROUP BY c
+), ends AS (
+  SELECT u AS c, count(*) AS n FROM sides GROUP BY u
+)
+SELECT doc_id, len(keyed.shingles)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept, coalesce(ends.n, 0)::BIGINT AS class_links
+FROM keyed LEFT JOIN classes ON classes.k = keyed.k AND len(keyed.shingles) > 0 LEFT JOIN least ON least.c = classes.c LEFT JOIN ends ON ends.c = classes.c
+"""

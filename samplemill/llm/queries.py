@@ -86,5 +86,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_near_dedup": near_dedup.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
 }
