@@ -533,8 +533,107 @@ def test_warc_headers_codings_and_bad_records(spark, empty):
 
 
 def test_clashing_names_stay(spark):
-    docs = spark.createDataFrame([(1, "the cat sat", "a", "b", "c", "d")], "doc_id long, text string, _found string, _text_hash string, _key string, _runs string")
-    assert language_id.identify_languages(docs, {"en": b"the cat sat on the mat"}).first()["_found"] == "a"
+    names = ("_found", "_text_hash", "_text_key", "_key", "_held", "_runs", "_row_doc", "_row_text", "_id", "_hash", "_stays", "stays", "n", "block", "key", "range", "kind", "group", "set_key")
+    docs = spark.createDataFrame([(1, "the cat sat", *names), (2, "the cat sat", *names), (2, "a dog ran off", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "the cat sat on the mat with the hat")], "item_id long, text string").withColumn("_key", F.lit(1))
+    for out, rows in (
+        (language_id.identify_languages(docs, {"en": b"the cat sat on the mat"}), 3),
+        (line_dedup.dedup_lines(docs), 3),
+        (near_dedup.drop_near_duplicates(docs), 2),
+        (decontamination.drop_contaminated(docs, bench), 3),
+    ):
+        found = out.collect()
+        assert len(found) == rows and all(r[n] == n for r in found for n in names)
+    assert packing.pack_documents(docs).count() == 3 and token_files.read_token_files(token_files.write_token_files(docs)).count() == 3
+    assert ngram_lm.score_documents(docs, ngram_lm.train(docs)).count() == 3 and media.load_media(spark, media.store_texts(docs)).count() == 3
+
+
+def test_every_query_against_its_contract(spark):
+    import hashlib
+    import math
+    from collections import Counter
+
+    from samplemill.llm.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = {int(name[2:].split("_")[0]): query(spark, data).toPandas() for name, query in QUERIES.items()}
+    left = lambda d, m: zlib.crc32(str(d).encode()) % m
+    byte, word = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+
+    sequences = found[1].sort_values(["sequence_id", "offset"])
+    assert (sequences.groupby("sequence_id")["length"].sum() <= 2048).all()
+    assert (sequences["offset"] == sequences.groupby("sequence_id")["length"].cumsum() - sequences["length"]).all()
+    for d, own in found[1].sort_values("start").groupby("doc_id"):
+        ids = np.array([*byte.encode(texts[d] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert list(own["start"]) == [0, *own["length"].cumsum()[:-1]] and own["length"].sum() == len(ids) == own["doc_tokens"].iloc[0]
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in own.itertuples())
+    assert set(found[1]["doc_id"]) == set(texts)
+
+    start = 0
+    for r in found[5].sort_values("doc_id").itertuples():
+        ids = np.array([*word.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+    for r in found[6].itertuples():
+        raw = (texts[r.doc_id] or "").encode()
+        padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        media_bytes = media.encode_image(padded, len(raw))
+        assert (r.media_bytes, r.media_sha256) == (len(media_bytes), hashlib.sha256(media_bytes).hexdigest())
+
+    langs = {r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r["lang"] is not None and left(r["doc_id"], 4) != 2}
+    for r in found[7].itertuples():
+        has_letter = any(map(str.isalpha, texts[r.doc_id] or ""))
+        assert r.held_out == (left(r.doc_id, 4) == 2) and 0 <= r.score <= 1 and (r.lang_pred in langs if has_letter else r.lang_pred == "und")
+
+    lower = {k: k + 32 for k in range(65, 91)}
+    seqs = {d: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None] for d, t in texts.items()}
+    c = Counter(w for d, s in seqs.items() if left(d, 10) for w in s)
+    n, v = sum(c.values()), len(c)
+    for r in found[9].itertuples():
+        s = seqs[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (left(r.doc_id, 10) == 0, len(s), sum(w in c for w in s), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s)) and r.score < 0
+    assert all(set(found[k]["doc_id"]) == set(texts) and len(found[k]) == len(texts) for k in (2, 3, 5, 6, 7, 9))
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    assert sorted(found[8]["page_id"]) == sorted([*pages, *pages])
+    for r in found[8].itertuples():
+        response = warc.response_record(pages[r.page_id]["url"], r.page_id, pages[r.page_id]["html"])
+        assert r.refers_to == warc.parse_record(response)[0]["warc-record-id"] and r.target_uri == (pages[r.page_id]["url"] or "")
+        assert r.block_digest == warc.digest(r.block.encode()) and r.content_length == len(r.block.encode())
+
+    turns = {}
+    for r in spark.read.parquet(f"{data}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], set()).add((r["turn"], r["role"], r["text"]))
+    assert set(found[4]["conv_id"]) == set(turns)
+    for _, own in found[4].sort_values("turn_no").groupby("conv_id"):
+        assert list(own["turn_no"]) == list(range(len(own))) and list(own["first_line"]) == [0, *own["n_lines"].cumsum()[:-1]]
+
+    # each document that holds a whole benchmark item word by word is found with it
+    plain = lambda t: " " + " ".join(x for x in (w.strip(".,;:!?()\"'").casefold() for w in (t or "").split()) if x) + " "
+    items = {r["item_id"]: plain(r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    pairs = {(r.doc_id, r.item_id) for r in found[10].itertuples()}
+    held = {(d, i) for d, t in texts.items() for i, x in items.items() if len(x.split()) >= 8 and x in plain(t)}
+    assert held <= pairs and held
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, stays string, _key string"
+    de, en = "der Hund und die Katze gehen heute nicht in den Wald ", "the dog and the cat do not go into the wood today "
+    rows = [(1, de * 20, "de", "s", 1), (2, en * 20, "en", "s", 1), (3, None, "en", "s", None), (4, "", None, None, 0), (None, en + "with no id at all here", None, "s", 1), (None, de + "auch ohne Nummer hier", None, "s", 1), (2, en * 20, "en", "s", 1), (5, en * 3000, "en", "s", 1), (6, de * 20, "de", "s", 1)]
+    bench = spark.createDataFrame([(1, "How many dogs and cats do not go into the wood today?"), (None, None)], "item_id long, text string")
+    for name, some in (("full", rows), ("none", [])):
+        docs = spark.createDataFrame([(*r, "x", "y") for r in some], schema)
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).toPandas()
+        ids = sorted(out["doc_id"].fillna(-1).unique())
+        assert ids == ([-1, 1, 2] if some else []), ids
 
 
 def test_decontamination_of_sums_and_first_names(spark):
@@ -548,3 +647,40 @@ def test_decontamination_of_sums_and_first_names(spark):
     ]
     got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 1): False, (2, 1): True, (3, 2): True, (4, 3): False, (6, 4): False, (7, 4): True, (8, 4): False, (12, 4): False}
+
+
+def test_near_dedup_of_chains(spark):
+    """Families whose members drift away from their first: each links with its neighbours only, or hardly."""
+    import random
+
+    rnd, texts = random.Random(11), {}
+    for family in range(40):
+        words = [f"f{family}w{k}" for k in range(rnd.randint(60, 140))]
+        for member in range(50):
+            texts[50 * family + member] = " ".join(words)
+            for _ in range(rnd.randint(0, 2)):
+                words[rnd.randrange(len(words))] = f"f{family}m{member}x{rnd.random()}"
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    want = {}
+    for family in range(40):
+        want |= {d: c for d, (_, c) in components({d: texts[d] for d in range(50 * family, 50 * family + 50)}).items()}
+    wrong = sum(got[d] != want[d] for d in want)
+    assert len(set(want.values())) > 60 and wrong == 0
+
+
+def test_near_limits():
+    """Sketches of a pivot and of what links with a core member pass; those of linked pairs too."""
+    rng, samples, bits = np.random.default_rng(1), 130, 512
+    for percent, limit in ((85, near_dedup.odd_limit(samples, bits, 85)), (55, near_dedup.star_limit(samples, bits, 85))):
+        differing = rng.binomial(samples, 1 - percent / 100, 4000)
+        apart = [int((np.bincount(rng.integers(0, bits, 2 * k), minlength=bits) % 2).sum()) for k in differing]
+        assert max(apart) <= limit
+
+
+def test_hot_pivots_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PIVOT_MEMBERS", 4)
+    base = [f"w{k}" for k in range(200)]
+    texts = {d: " ".join([*base[: d % 190], f"own{d}", *base[d % 190 + 1 :]]) for d in range(60)}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == {d: c for d, (_, c) in components(texts).items()}
