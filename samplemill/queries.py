@@ -480,15 +480,15 @@ def resume_index(spark, sf_dir):
     return from_index(ranked_orders(spark, sf_dir), 101, 16).select("idx", "o_orderkey")
 
 
-# ---- tensors: embeddings as 1 x 8 x 8, and their first 48 values as 3 x 4 x 4
+# ---- tensors: embeddings as 1 x 8 x 8, and as 3 x 8 x 8: the values, these negated, and half of them
 
 
 def images(spark, sf_dir, shape=(1, 8, 8), **constants) -> DataFrame:
-    n = shape[0] * shape[1] * shape[2]
-    data = F.slice("embedding", 1, n)
+    x = F.col("embedding")
+    data = x if shape[0] == 1 else F.concat(x, F.transform(x, lambda v: -v), F.transform(x, lambda v: v / 2))
     rows = table(spark, sf_dir, "embeddings", "vec_id").withColumns({k: F.lit(v) for k, v in constants.items()})
     rows = rows.withColumn("image", tn.tensor(tn.literal_shape(*shape), data))
-    return rows.withColumn("mask", tn.tensor(tn.literal_shape(1, *shape[1:]), F.transform(F.slice("embedding", 1, shape[1] * shape[2]), lambda x: (x > 0).cast("float"))))
+    return rows.withColumn("mask", tn.tensor(tn.literal_shape(1, *shape[1:]), F.transform(x, lambda v: (v > 0).cast("float"))))
 
 
 def values(df: DataFrame, name: str = "image") -> DataFrame:
@@ -496,9 +496,12 @@ def values(df: DataFrame, name: str = "image") -> DataFrame:
     return each.select("vec_id", "pos", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("value"))
 
 
-def _values_sql(expression: str, n: int = 64) -> str:
-    """expression: a list of DOUBLE over x (the first n values as DOUBLE)."""
-    return f"""WITH e AS (SELECT vec_id, embedding[1:{n}]::DOUBLE[] AS x FROM embeddings), d AS (SELECT vec_id, ({expression})::FLOAT[] AS d FROM e)
+_COLOURS = "list_concat(embedding, list_transform(embedding, lambda v: -v), list_transform(embedding, lambda v: v / 2))::DOUBLE[]"
+
+
+def _values_sql(expression: str, values: str = "embedding::DOUBLE[]") -> str:
+    """expression: a list of DOUBLE over x (values: those of the embedding, or _COLOURS)."""
+    return f"""WITH e AS (SELECT vec_id, {values} AS x FROM embeddings), d AS (SELECT vec_id, ({expression})::FLOAT[] AS d FROM e)
     SELECT vec_id, unnest(range(0, len(d)))::INTEGER AS pos, round(unnest(d)::DOUBLE, 4) + 0.0 AS value FROM d"""
 
 
@@ -523,14 +526,14 @@ def rescale_channels(spark, sf_dir):
     return values(run(images(spark, sf_dir), pixels.RescaleImageChannels("image", "out", -1.0, 1.0, 0.0, 255.0)), "out")
 
 
-@query("normalize_channels", _values_sql("list_transform(x, lambda v, i: (v - [0.5::DOUBLE, 0.4::DOUBLE, 0.3::DOUBLE][(i - 1) // 16 + 1]) / [0.2::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE][(i - 1) // 16 + 1])", 48))
+@query("normalize_channels", _values_sql("list_transform(x, lambda v, i: (v - [0.5::DOUBLE, 0.4::DOUBLE, 0.3::DOUBLE][(i - 1) // 64 + 1]) / [0.2::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE][(i - 1) // 64 + 1])", _COLOURS))
 def normalize_channels(spark, sf_dir):
-    return values(run(images(spark, sf_dir, (3, 4, 4)), pixels.NormalizeImageChannels("image", "out", [0.5, 0.4, 0.3], [0.2, 0.25, 0.5])), "out")
+    return values(run(images(spark, sf_dir, (3, 8, 8)), pixels.NormalizeImageChannels("image", "out", [0.5, 0.4, 0.3], [0.2, 0.25, 0.5])), "out")
 
 
-@query("masked_conditioning", _values_sql("list_transform(x, lambda v, i: CASE WHEN x[(i - 1) % 16 + 1] > 0 THEN 0.75::DOUBLE ELSE v END)", 48))
+@query("masked_conditioning", _values_sql("list_transform(x, lambda v, i: CASE WHEN x[(i - 1) % 64 + 1] > 0 THEN 0.75::DOUBLE ELSE v END)", _COLOURS))
 def masked_conditioning(spark, sf_dir):
-    return values(run(images(spark, sf_dir, (3, 4, 4)), pixels.GenerateMaskedConditioningImage("image", "mask", "out", -0.5, 1.0)), "out")
+    return values(run(images(spark, sf_dir, (3, 8, 8)), pixels.GenerateMaskedConditioningImage("image", "mask", "out", -0.5, 1.0)), "out")
 
 
 @query("random_flip", _values_sql(f"CASE WHEN {u('flip', '0', 'vec_id')} < 0.5 THEN list_transform(range(0, 64), lambda i: x[(i // 8) * 8 + 7 - i % 8 + 1]) ELSE x END"))
@@ -562,17 +565,17 @@ def random_brightness(spark, sf_dir):
     return values(run(images(spark, sf_dir, on=True, fixed=False, s=0.3), pixels.RandomBrightness(["image"], "on", "fixed", "s", salt="bright")))
 
 
-_GREY = "list_transform(range(1, 17), lambda k: x[k] * 0.2989::DOUBLE + x[k + 16] * 0.587::DOUBLE + x[k + 32] * 0.114::DOUBLE)"
+_GREY = "list_transform(range(1, 65), lambda k: x[k] * 0.2989::DOUBLE + x[k + 64] * 0.587::DOUBLE + x[k + 128] * 0.114::DOUBLE)"
 
 
-@query("random_contrast", _values_sql(f"list_transform(x, lambda v: {_CLAMP.format(x=f'v * {_strength("contrast")} + list_sum({_GREY}) / 16 * (1 - {_strength("contrast")})')})", 48))
+@query("random_contrast", _values_sql(f"list_transform(x, lambda v: {_CLAMP.format(x=f'v * {_strength("contrast")} + list_sum({_GREY}) / 64 * (1 - {_strength("contrast")})')})", _COLOURS))
 def random_contrast(spark, sf_dir):
-    return values(run(images(spark, sf_dir, (3, 4, 4), on=True, fixed=False, s=0.3), pixels.RandomContrast(["image"], "on", "fixed", "s", salt="contrast")))
+    return values(run(images(spark, sf_dir, (3, 8, 8), on=True, fixed=False, s=0.3), pixels.RandomContrast(["image"], "on", "fixed", "s", salt="contrast")))
 
 
-@query("random_saturation", _values_sql(f"list_transform(x, lambda v, i: {_CLAMP.format(x=f'v * {_strength("sat")} + ({_GREY})[(i - 1) % 16 + 1] * (1 - {_strength("sat")})')})", 48))
+@query("random_saturation", _values_sql(f"list_transform(x, lambda v, i: {_CLAMP.format(x=f'v * {_strength("sat")} + ({_GREY})[(i - 1) % 64 + 1] * (1 - {_strength("sat")})')})", _COLOURS))
 def random_saturation(spark, sf_dir):
-    return values(run(images(spark, sf_dir, (3, 4, 4), on=True, fixed=False, s=0.3), pixels.RandomSaturation(["image"], "on", "fixed", "s", salt="sat")))
+    return values(run(images(spark, sf_dir, (3, 8, 8), on=True, fixed=False, s=0.3), pixels.RandomSaturation(["image"], "on", "fixed", "s", salt="sat")))
 
 
 @query(
@@ -652,17 +655,17 @@ _HUE = f"greatest(-0.5::DOUBLE, least(0.5::DOUBLE, ({u('hue', '0', 'vec_id')} -
 
 @query(
     "random_hue",
-    f"""WITH e AS (SELECT vec_id, embedding[1:48]::DOUBLE[] AS x, {_HUE} AS shift FROM embeddings),
-    c AS (SELECT vec_id, shift, p, x[p + 1] AS r, x[p + 17] AS g, x[p + 33] AS b FROM e, range(0, 16) q(p)),
+    f"""WITH e AS (SELECT vec_id, {_COLOURS} AS x, {_HUE} AS shift FROM embeddings),
+    c AS (SELECT vec_id, shift, p, x[p + 1] AS r, x[p + 65] AS g, x[p + 129] AS b FROM e, range(0, 64) q(p)),
     m AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM c),
     s AS (SELECT *, CASE WHEN top > low THEN top - low ELSE 1 END AS span FROM m),
     h AS (SELECT *, CASE WHEN top = low THEN 0 WHEN top = r THEN (g - b) / span / 6 WHEN top = g THEN (2 + (b - r) / span) / 6 ELSE (4 + (r - g) / span) / 6 END AS hue, CASE WHEN top > 0 THEN (top - low) / top ELSE 0 END AS sat FROM s),
     k AS (SELECT *, (5 - 2 * n) + 6 * (hue - floor(hue) + shift) AS y FROM h, range(0, 3) t(n)),
     w AS (SELECT *, y - 6 * floor(y / 6) AS z FROM k)
-    SELECT vec_id, (n * 16 + p)::INTEGER AS pos, round((top - top * sat * greatest(0.0::DOUBLE, least(1.0::DOUBLE, z, 4 - z)))::FLOAT::DOUBLE, 4) + 0.0 AS value FROM w""",
+    SELECT vec_id, (n * 64 + p)::INTEGER AS pos, round((top - top * sat * greatest(0.0::DOUBLE, least(1.0::DOUBLE, z, 4 - z)))::FLOAT::DOUBLE, 4) + 0.0 AS value FROM w""",
 )
 def random_hue(spark, sf_dir):
-    return values(run(images(spark, sf_dir, (3, 4, 4), on=True, fixed=False, s=0.4), geometry.RandomHue(["image"], "on", "fixed", "s", salt="hue")))
+    return values(run(images(spark, sf_dir, (3, 8, 8), on=True, fixed=False, s=0.4), geometry.RandomHue(["image"], "on", "fixed", "s", salt="hue")))
 
 
 @query("mask_rotate_crop")
@@ -679,7 +682,7 @@ def distributions(spark, sf_dir):
     return images(spark, sf_dir).withColumn("distribution", F.struct(half(1).alias("mean"), half(33).alias("logvar")))
 
 
-@query("vae_mean", _values_sql("x", 32))
+@query("vae_mean", _values_sql("x[1:32]"))
 def vae_mean(spark, sf_dir):
     return values(run(distributions(spark, sf_dir), models.SampleVAEDistribution("distribution", "latent")), "latent")
 
@@ -694,9 +697,9 @@ def vae_sample(spark, sf_dir):
     return values(run(distributions(spark, sf_dir), models.SampleVAEDistribution("distribution", "latent", "sample", salt="z")), "latent")
 
 
-@query("vae_encode_decode", _values_sql("list_transform(x, lambda v: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (v * 2)::FLOAT::DOUBLE * 2)))", 24))
+@query("vae_encode_decode", _values_sql("list_transform(x, lambda v: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (v * 2)::FLOAT::DOUBLE * 2)))", "embedding[1:32]::DOUBLE[]"))
 def vae_encode_decode(spark, sf_dir):
-    rows = images(spark, sf_dir, (3, 4, 4)).withColumn("image", tn.tensor(tn.literal_shape(2, 6, 4), F.slice("embedding", 1, 48)))
+    rows = images(spark, sf_dir).withColumn("image", tn.tensor(tn.literal_shape(2, 8, 4), F.col("embedding")))  # mean and deviation
     port = models.HashPort(factor=2.0)
     return values(run(rows, models.EncodeVAE("image", "d", port), models.SampleVAEDistribution("d", "latent"), models.DecodeVAE("latent", "out", port)), "out")
 
@@ -716,7 +719,7 @@ def layered(spark, sf_dir):
     """4 layers of 4 tokens of 4 dimensions."""
     part = lambda start, n: F.slice("embedding", start + 1, n)
     layers = F.array(*[F.array(*[part(16 * a + 4 * t, 4) for t in range(4)]) for a in range(4)])
-    mask = F.transform(F.slice("embedding", 1, 8), lambda x: (x > 0).cast("int"))
+    mask = F.transform("embedding", lambda x: (x > 0).cast("int"))
     return table(spark, sf_dir, "embeddings", "vec_id").withColumns({"layers": layers, "mask": mask})
 
 
@@ -734,20 +737,21 @@ def layer_interleave(spark, sf_dir):
     return values(layered(spark, sf_dir).withColumn("image", _flat(models.layers_interleaved(F.col("layers"), [1, 3]))))
 
 
-@query("layer_norm_states", _values_sql("list_transform(x, lambda v, i: (v - list_avg(x[(i - 1) // 4 * 4 + 1:(i - 1) // 4 * 4 + 4])) / sqrt(list_var_pop(x[(i - 1) // 4 * 4 + 1:(i - 1) // 4 * 4 + 4]) + 0.00001::DOUBLE))", 16))
+@query("layer_norm_states", _values_sql("list_transform(x, lambda v, i: (v - list_avg(x[(i - 1) // 4 * 4 + 1:(i - 1) // 4 * 4 + 4])) / sqrt(list_var_pop(x[(i - 1) // 4 * 4 + 1:(i - 1) // 4 * 4 + 4]) + 0.00001::DOUBLE))"))
 def layer_norm_states(spark, sf_dir):
-    return values(layered(spark, sf_dir).withColumn("image", _flat(models.normalized(F.col("layers")[0]))))
+    return values(layered(spark, sf_dir).withColumn("image", _flat(models.normalized(F.flatten("layers")))))
 
 
-@query("cumsum_positions", "SELECT vec_id, array_to_string(list_transform(range(1, 9), lambda i: greatest(list_sum(list_transform(embedding[1:i], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END)) - 1, 0)::BIGINT), ' ') AS positions FROM embeddings")
+@query("cumsum_positions", "SELECT vec_id, array_to_string(list_transform(range(1, 65), lambda i: greatest(list_sum(list_transform(embedding[1:i], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END)) - 1, 0)::BIGINT), ' ') AS positions FROM embeddings")
 def cumsum_positions(spark, sf_dir):
     positions = F.transform(models.cumulative_positions(F.col("mask")), lambda x: x.cast("string"))
     return layered(spark, sf_dir).select("vec_id", F.array_join(positions, " ").alias("positions"))
 
 
-@query("crop_start_mask", _values_sql("list_transform(range(0, 12), lambda k: CASE WHEN x[k // 4 + 2] > 0 THEN x[k + 5] ELSE 0 END)"))
+@query("crop_start_mask", _values_sql("list_transform(range(0, 60), lambda k: CASE WHEN x[k // 4 + 2] > 0 THEN x[k + 5] ELSE 0 END)"))
 def crop_start_mask(spark, sf_dir):
-    states = models.masked(models.cropped(F.col("layers")[0], 1), models.cropped(F.slice("mask", 1, 4), 1))
+    """The layers' 16 states one after the other, with the first 16 values' signs as their mask."""
+    states = models.masked(models.cropped(F.flatten("layers"), 1), models.cropped(F.slice("mask", 1, 16), 1))
     return values(layered(spark, sf_dir).withColumn("image", _flat(states)))
 
 
