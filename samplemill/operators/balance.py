@@ -64,6 +64,8 @@ def expand(df: DataFrame, variation: int, by: list[str], balancing_in: str, stra
 class VariationSorting(Stage):
     """Balanced rows with the columns in names, for the current variation."""
 
+    CARRIES = ("names",)
+
     names: list[str]
     balancing_in: str
     balancing_strategy_in: str
@@ -80,6 +82,13 @@ class RamCache(Stage):
     """Balanced rows of an epoch, kept in executor memory and on their disks. make: what computes the
     cached columns from rows whose variation is the one they are repeated for."""
 
+    CARRIES = ("cache_names",)
+
+    def inputs(self) -> list[str]:
+        made = {n for stage in self.make for n in stage.outputs()}
+        inner = [n for stage in self.make for n in stage.inputs()]
+        return [n for n in dict.fromkeys([*super().inputs(), *inner, *self.carries()]) if n.split(".")[0] not in made]
+
     cache_names: list[str]
     balancing_in: str | None = None
     balancing_strategy_in: str | None = None
@@ -109,6 +118,13 @@ class DiskCache(Stage):
     _SUCCESS marks it whole. split_names and aggregate_names are columns alike: pruning reads few.
     """
 
+    CARRIES = ("split_names", "aggregate_names")
+
+    def inputs(self) -> list[str]:
+        made = {n for stage in self.make for n in stage.outputs()}
+        inner = [n for stage in self.make for n in stage.inputs()]
+        return [n for n in dict.fromkeys([*super().inputs(), *inner, *self.carries()]) if n.split(".")[0] not in made]
+
     cache_dir: str
     split_names: list[str]
     aggregate_names: list[str]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tensor as tn
-from ..plans.stage import ColumnStage, Context, resolve
+from ..plans.stage import ColumnStage, Context, Stage, resolve
 from .geometry import as_array, as_row
 
 
@@ -151,6 +151,45 @@ def clamped_image(t: Column) -> Column:
     return tn.mapped(t, lambda x, i: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
 
 
+@dataclass
+class BlankLatents(Stage):
+    """Masks and conditionings removed at random, for every resolution that can come out.
+
+    With a probability the mask becomes ones and the conditioning the latent of a black image (zeros) of
+    the row's size. The latents come from the encoder's port, a row for each of possible_resolutions, or of
+    those that an earlier resolution stage names; they are a small table that rows meet by their size.
+    """
+
+    latent_mask: str
+    latent_conditioning: str | None
+    replace_probability: float
+    port: TensorPort
+    possible_resolutions: list[tuple[int, ...]] | None = None
+
+    def blanks(self, ctx: Context) -> DataFrame:
+        """size (of the latent without channels), blank."""
+        sizes = self.possible_resolutions if self.possible_resolutions is not None else ctx.meta["possible_resolutions"]()
+        rows = ctx.spark.createDataFrame([([3, *map(int, s)],) for s in sizes], "shape array<int>")
+        rows = rows.withColumn("image", tn.tensor(F.col("shape"), F.array_repeat(F.lit(0.0), tn.volume(F.col("shape")))))
+        latent = EncodeVAE("image", "d", self.port).apply(rows, ctx).select(F.col("d.mean").alias("_blank"))
+        return latent.withColumn("_size", _size_of(F.col("_blank"))).dropDuplicates(["_size"])
+
+    def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
+        mask, replace = resolve(df, self.latent_mask), self.random(ctx) < self.replace_probability
+        made = {self.latent_mask: F.when(replace, tn.mapped(mask, lambda x, i: F.lit(1.0))).otherwise(mask)}
+        if self.latent_conditioning is None:
+            return df.withColumns(made)
+        given = resolve(df, self.latent_conditioning)
+        joined = df.join(F.broadcast(self.blanks(ctx)), _size_of(mask) == F.col("_size"), "left")
+        unknown = F.raise_error(F.concat(F.lit("no possible resolution gives a latent of size "), _size_of(mask).cast("string"))).cast(tn.TENSOR)
+        made[self.latent_conditioning] = F.when(replace & mask.isNotNull(), F.coalesce("_blank", unknown)).otherwise(given)
+        return joined.withColumns(made).drop("_blank", "_size")
+
+
+def _size_of(t: Column) -> Column:
+    return F.slice(t["shape"], F.lit(2), F.size(t["shape"]) - 1)
+
+
 @dataclass
 class SampleVAEDistribution(ColumnStage):
     """mode "mean": the mean; "sample": mean + deviation * a normal number for each element."""
@@ -173,14 +212,25 @@ class SampleVAEDistribution(ColumnStage):
 
 @dataclass
 class GenerateDepth(PortStage):
-    """A depth map scaled to [-1, 1] by its own range; a constant one is NaN."""
+    """A depth map scaled to [-1, 1] by its own range; a constant one is NaN. Of an image column, or of the
+    image at a path, which the port then gets as red, green and blue from 0 to 1."""
 
-    image_in: str
+    image_in: str | None
     image_out: str
     port: TensorPort
+    path_in: str | None = None
+    supported_extensions: tuple[str, ...] = (".png", ".ppm", ".pgm", ".npy")
+    decoders: dict | None = None
 
     def port_column(self, df: DataFrame) -> Column:
-        return tensor_port(self.port, resolve(df, self.image_in))
+        return tensor_port(self.port, resolve(df, self.image_in if self.path_in is None else PORT))
+
+    def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
+        if self.path_in is not None:
+            from ..sources.files import image_at
+
+            df = df.withColumn(PORT, image_at(resolve(df, self.path_in), 0.0, 1.0, list(self.supported_extensions), 3, self.decoders))
+        return super().apply(df, ctx)
 
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
         return {self.image_out: own_range(F.col(PORT))}

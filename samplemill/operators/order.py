@@ -32,6 +32,8 @@ class AspectBatchSorting(Stage):
     """Whole batches of rows with one resolution: rows shuffled inside their bucket, batches shuffled
     among all. What doesn't fill a batch of its bucket is left out."""
 
+    CARRIES = ("names",)
+
     resolution_in: str
     names: list[str]
     batch_size: int
@@ -55,6 +57,8 @@ class InlineAspectBatchSorting(Stage):
     arrived. Partial batches are left out; start_index skips so many arrivals. in_order: rows arrive by
     idx instead."""
 
+    CARRIES = ("names",)
+
     resolution_in: str
     names: list[str]
     batch_size: int
@@ -77,6 +81,8 @@ class InlineAspectBatchSorting(Stage):
 class DistributedSampler(Stage):
     """Every world_size-th row from rank on; an incomplete last round is left out. Needs a dense idx."""
 
+    CARRIES = ("names",)
+
     names: list[str]
     world_size: int
     rank: int

@@ -114,6 +114,12 @@ class OutputColumns(Stage):
 
     names: list = field(default_factory=list)
 
+    def carries(self) -> list[str]:
+        return []
+
+    def outputs(self) -> list[str]:
+        return [n.replace(".", "_") if isinstance(n, str) else n[1] for n in self.names]
+
     def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
         pairs = [(n, n.replace(".", "_")) if isinstance(n, str) else tuple(n) for n in self.names]
         carried(df, [p[0] for p in pairs])

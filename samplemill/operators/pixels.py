@@ -211,7 +211,8 @@ class CropImage(ColumnStage):
 class RandomLatentMaskRemove(ColumnStage):
     """With a probability the mask becomes ones and the conditioning a blank image's latent of its size.
 
-    blanks: latents by shape, e.g. {(4, 8, 8): [...]}; a small table of possible resolutions.
+    blanks: latents by shape, e.g. {(4, 8, 8): [...]}, where they are known; models.BlankLatents makes them with
+    an encoder for every possible resolution.
     """
 
     latent_mask: str

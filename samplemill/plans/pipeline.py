@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stage import Context, Stage
+from .stage import Context, Stage, check_names
 
 
 def flatten(stages) -> list[Stage]:
@@ -53,7 +53,8 @@ def collate(df: DataFrame) -> DataFrame:
 
 
 class Pipeline:
-    """Stages over concepts and settings, one lazy DataFrame for each epoch.
+    """Stages over concepts and settings, one lazy DataFrame for each epoch. A name that no earlier stage makes
+    raises here, before any plan is built.
 
     seed -1 draws one. initial_epoch and initial_epoch_sample resume: the first epoch begins at the
     batch that holds the sample.
@@ -64,6 +65,7 @@ class Pipeline:
 
         self.seed = random.randrange(1 << 30) if seed == -1 else seed
         self.stages = [Concepts(concepts), Settings(settings), *flatten(stages)]
+        check_names(self.stages[2:], {"concept", "settings"})
         self.context = Context(spark, self.seed, settings=settings)
         self.batch_size, self.initial_epoch, self.initial_sample = batch_size, initial_epoch, resume_index(initial_epoch_sample, batch_size)
 

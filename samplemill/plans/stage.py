@@ -8,7 +8,8 @@ its own value is null.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,33 @@ class Stage:
 
     salt: str | None = field(default=None, kw_only=True)
 
+    #: Fields with names of columns that are read, beside those called *_in; and written, beside *_out.
+    READS: ClassVar[tuple[str, ...]] = ("in_name", "in_names", "names", "additional_names", "setting_name", "setting_to_in", "tokens", "tokens_mask", "t5_tokens", "t5_tokens_mask", "hidden_state", "mask", "latent_mask", "latent_conditioning")
+    WRITES: ClassVar[tuple[str, ...]] = ("out_name",)
+    #: Fields with the names that alone stay behind a stage that indexes anew; none: all columns stay.
+    CARRIES: ClassVar[tuple[str, ...]] = ()
+
+    def _named(self, wanted) -> list[str]:
+        found = []
+        for f in fields(self):
+            if wanted(f.name):
+                value = getattr(self, f.name)
+                items = value.values() if isinstance(value, dict) else value if isinstance(value, (list, tuple)) else [value]
+                found += [x[0] if isinstance(x, (list, tuple)) else x for x in items if x is not None]
+        return [n for n in dict.fromkeys(found) if isinstance(n, str)]
+
+    def inputs(self) -> list[str]:
+        """Names, plain or dotted, that the stage reads."""
+        return self._named(lambda f: f.endswith("_in") or f in self.READS)
+
+    def outputs(self) -> list[str]:
+        """Names that the stage makes."""
+        return self._named(lambda f: f.endswith("_out") or f in self.WRITES)
+
+    def carries(self) -> list[str] | None:
+        """Names that alone stay behind the stage; None: all."""
+        return self._named(lambda f: f in self.CARRIES) if self.CARRIES else None
+
     def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
         raise NotImplementedError
 
@@ -89,6 +117,18 @@ def shadow(df: DataFrame, made: dict[str, Column]) -> DataFrame:
     return df.withColumns(out)
 
 
+def check_names(stages: list[Stage], have: set[str]) -> set[str]:
+    """The columns after the stages, by what they declare; UnknownName for a name that no stage before makes."""
+    have = have | set(COORDINATES)
+    for stage in stages:
+        missing = sorted({n for n in stage.inputs() if n.split(".")[0] not in have})
+        if missing:
+            raise UnknownName(f"{type(stage).__name__} reads {missing}, which no earlier stage makes; there are {sorted(have)}")
+        kept = stage.carries()
+        have = (have if kept is None else {n.split(".")[0] for n in kept} | set(COORDINATES)) | set(stage.outputs())
+    return have
+
+
 def carried(df: DataFrame, names) -> list[str]:
     """Columns that a stage which indexes anew keeps: the names' bases, checked."""
     bases = list(dict.fromkeys(n.split(".")[0] for n in names))

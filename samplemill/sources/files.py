@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import os
 import re
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -147,7 +149,90 @@ def decode_npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False).astype(np.float32)
 
 
-DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {".ppm": decode_netpbm, ".pgm": decode_netpbm, ".npy": decode_npy}
+def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    at = 8
+    while at + 12 <= len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        yield data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        at += 12 + n
+
+
+def unfiltered(raw: bytes, lines: int, width: int, step: int) -> np.ndarray:
+    """PNG lines of width bytes without their filters; step: bytes of a pixel."""
+    given = np.frombuffer(raw, np.uint8).reshape(lines, width + 1)
+    out, above = np.zeros((lines, width), np.uint8), np.zeros(width, np.uint8)
+    for y in range(lines):
+        kind, line = int(given[y, 0]), given[y, 1:]
+        if kind == 2:
+            line = line + above
+        elif kind == 1:  # sums of each byte of a pixel along the line
+            padded = np.zeros(-(-width // step) * step, np.uint8)
+            padded[:width] = line
+            line = np.cumsum(padded.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:width]
+        elif kind in (3, 4):
+            line, up = line.astype(np.int64), above.astype(np.int64)
+            for x in range(width):
+                a, b, c = (int(line[x - step]), int(up[x]), int(up[x - step])) if x >= step else (0, int(up[x]), 0)
+                near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] if kind == 4 else (a + b) // 2
+                line[x] = (line[x] + near) & 255
+            line = line.astype(np.uint8)
+        out[y] = above = line
+    return out
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """An 8-bit PNG that isn't interlaced to C x H x W, 0 to 255; grey stays grey, alpha goes, a palette is looked up."""
+    chunks = list(png_chunks(data))
+    head = dict(reversed(chunks))
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or b"IHDR" not in head:
+        raise ValueError("not a PNG")
+    w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", head[b"IHDR"])
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    if depth != 8 or interlaced:
+        raise ValueError("only 8-bit PNGs without interlacing are read")
+    pixels = unfiltered(zlib.decompress(b"".join(d for k, d in chunks if k == b"IDAT")), h, w * channels, channels).reshape(h, w, channels)
+    if kind == 3:
+        pixels = np.frombuffer(head[b"PLTE"], np.uint8).reshape(-1, 3)[pixels[..., 0]]
+    elif kind in (4, 6):
+        pixels = pixels[..., :-1]
+    return pixels.transpose(2, 0, 1).astype(np.float32)
+
+
+def orientation(data: bytes) -> int:
+    """The EXIF orientation, 1 to 8, of a JPEG or PNG; 1 without one."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        exif = next((d for k, d in png_chunks(data) if k == b"eXIf"), b"")
+    else:
+        exif, at = b"", 2
+        while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
+            n = int.from_bytes(data[at + 2 : at + 4], "big")
+            if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+                exif = data[at + 10 : at + 2 + n]
+                break
+            at += 2 + n
+    if exif[:2] not in (b"II", b"MM"):
+        return 1
+    end = "<" if exif[:2] == b"II" else ">"
+    try:
+        (first,) = struct.unpack_from(f"{end}I", exif, 4)
+        (n,) = struct.unpack_from(f"{end}H", exif, first)
+        for k in range(n):
+            tag, _, _, value = struct.unpack_from(f"{end}HHIH", exif, first + 2 + 12 * k)
+            if tag == 0x0112:
+                return value if 1 <= value <= 8 else 1
+    except struct.error:
+        pass
+    return 1
+
+
+def upright(a: np.ndarray, orientation: int) -> np.ndarray:
+    """C x H x W as it is to be seen."""
+    a = a.swapaxes(-1, -2) if orientation >= 5 else a
+    a = a[..., ::-1] if orientation in (2, 3, 6, 7) else a
+    return a[..., ::-1, :] if orientation in (3, 4, 7, 8) else a
+
+
+DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {".ppm": decode_netpbm, ".pgm": decode_netpbm, ".npy": decode_npy, ".png": decode_png}
 
 
 def with_channels(a: np.ndarray, channels: int) -> np.ndarray:
@@ -158,11 +243,34 @@ def with_channels(a: np.ndarray, channels: int) -> np.ndarray:
     return np.repeat(a, 3, axis=0) if channels == 3 else np.tensordot(np.array([0.299, 0.587, 0.114], np.float32), a, 1)[None]
 
 
+def image_at(path: Column, low: float, high: float, supported_extensions: list[str], channels: int = 3, decoders: dict | None = None) -> Column:
+    """The image of a file as a tensor; null for a missing file or another extension."""
+    known, extensions = DECODERS | (decoders or {}), {e.lower() for e in supported_extensions}
+
+    @F.pandas_udf(tn.TENSOR)
+    def load(paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in paths:
+            kind = os.path.splitext(p or "")[1].lower()
+            if p is None or kind not in extensions or not os.path.isfile(p):
+                out.append({"shape": None, "data": None})
+                continue
+            with open(p, "rb") as f:
+                data = f.read()
+            a = with_channels(upright(known[kind](data), orientation(data)), channels)
+            out.append(as_row(a / 255 * (high - low) + low))
+        return pd.DataFrame(out, columns=["shape", "data"])
+
+    found = load.asNondeterministic()(path)
+    return F.when(found["data"].isNotNull(), found)
+
+
 @dataclass
 class LoadImage(ColumnStage):
     """An image as a tensor, px / 255 scaled to the range; null for a missing file or another extension.
 
-    decoders: by extension, bytes -> C x H x W with 0 to 255; PPM, PGM and NPY are built in.
+    decoders: by extension, bytes -> C x H x W with 0 to 255; PPM, PGM, NPY and 8-bit PNG are built in. Images
+    are turned as their EXIF orientation says.
     """
 
     path_in: str
@@ -174,24 +282,7 @@ class LoadImage(ColumnStage):
     decoders: dict | None = None
 
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
-        decoders, channels, extensions = DECODERS | (self.decoders or {}), self.channels, {e.lower() for e in self.supported_extensions}
-        low, high = self.range_min, self.range_max
-
-        @F.pandas_udf(tn.TENSOR)
-        def load(paths: pd.Series) -> pd.DataFrame:
-            out = []
-            for p in paths:
-                kind = os.path.splitext(p or "")[1].lower()
-                if p is None or kind not in extensions or not os.path.isfile(p):
-                    out.append({"shape": None, "data": None})
-                    continue
-                with open(p, "rb") as f:
-                    a = with_channels(decoders[kind](f.read()), channels)
-                out.append(as_row(a / 255 * (high - low) + low))
-            return pd.DataFrame(out, columns=["shape", "data"])
-
-        found = load.asNondeterministic()(resolve(df, self.path_in))
-        return {self.image_out: F.when(found["data"].isNotNull(), found)}
+        return {self.image_out: image_at(resolve(df, self.path_in), self.range_min, self.range_max, self.supported_extensions, self.channels, self.decoders)}
 
 
 def frame_choice(n: int, fps: float, wanted: int, target_fps: float, u: float) -> list[int]:
