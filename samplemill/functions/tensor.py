@@ -16,6 +16,11 @@ def literal_shape(*sizes: int) -> Column:
     return F.array(*[F.lit(s) for s in sizes])
 
 
+def or_null(t: Column) -> Column:
+    """Null for a tensor without data. t, a Python function's result, is named once: it runs for each naming."""
+    return F.element_at(F.transform(F.array(t), lambda x: F.when(x["data"].isNotNull(), x)), 1)
+
+
 def height(t: Column) -> Column:
     return F.element_at(t["shape"], -2)
 

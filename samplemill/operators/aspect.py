@@ -93,16 +93,22 @@ class AspectBucketing(ColumnStage):
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
         ctx.meta["possible_resolutions"] = lambda: self.possible_resolutions(df)
         size = resolve(df, self.resolution_in)
-        h, w = F.element_at(size, -2), F.element_at(size, -1)
         wanted = self._wanted(df).cast("string")
         squares = F.transform(F.split(wanted, ","), lambda t: F.trim(t).cast("int"))
-        nearest = tx.bound(F.struct(choice(self.random(ctx), squares).alias("t"), (h / w).alias("a")), lambda b: nearest_bucket(b["t"], b["a"], self.quantization))
         fixed = wanted.contains("x") & ~wanted.contains(",")
         part = lambda k: (F.rint(F.element_at(F.split(wanted, "x"), k).cast("double") / self.quantization) * self.quantization).cast("int")
-        th, tw = F.when(fixed, part(2)).otherwise(nearest["h"]), F.when(fixed, part(1)).otherwise(nearest["w"])
-        sh, sw = scale_to(h, w, th, tw)
+        given = F.struct(F.element_at(size, -2).alias("h"), F.element_at(size, -1).alias("w"), F.when(fixed, part(2)).alias("fh"), F.when(fixed, part(1)).alias("fw"), F.when(~fixed, choice(self.random(ctx), squares)).alias("t"))
+        names = lambda h, w: F.struct(h.alias("h"), w.alias("w"))
+
+        # each step is bound, so that the expression holds one copy of what it is made from
+        def bucket(g: Column) -> Column:
+            near = tx.bound(nearest_bucket(g["t"], g["h"] / g["w"], self.quantization), lambda n: names(n["h"], n["w"]))
+            return tx.bound(F.when(g["fh"].isNotNull(), names(g["fh"], g["fw"])).otherwise(near), lambda c: F.struct(names(*scale_to(g["h"], g["w"], c["h"], c["w"])).alias("scale"), c.alias("crop")))
+
+        found = tx.bound(given, bucket)
         lead = F.slice(size, F.lit(1), F.greatest(F.size(size) - 2, F.lit(0)))
-        return {self.scale_resolution_out: F.concat(lead, F.array(sh, sw)), self.crop_resolution_out: F.concat(lead, F.array(th, tw))}
+        whole = lambda part: tx.bound(found[part], lambda s: F.concat(lead, F.array(s["h"], s["w"])))
+        return {self.scale_resolution_out: whole("scale"), self.crop_resolution_out: whole("crop")}
 
 
 @dataclass

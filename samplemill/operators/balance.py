@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.index import dense_index, number_block
+from ..functions.shared import new_folder
 from ..plans.stage import Context, Stage, carried, resolve
 from .tags import flag
 
@@ -79,8 +80,9 @@ class VariationSorting(Stage):
 
 @dataclass
 class RamCache(Stage):
-    """Balanced rows of an epoch, kept in executor memory and on their disks. make: what computes the
-    cached columns from rows whose variation is the one they are repeated for."""
+    """Balanced rows of an epoch, kept in executor memory and on their disks until the pipeline goes on to the
+    next epoch. make: what computes the cached columns from rows whose variation is the one they are
+    repeated for."""
 
     CARRIES = ("cache_names",)
 
@@ -107,7 +109,20 @@ class RamCache(Stage):
         made = rows.withColumn("variation", F.col("in_variation"))
         for stage in self.make:
             made = stage.apply(made, ctx)
-        return made.withColumn("variation", F.lit(ctx.variation)).select("variation", "idx", "in_variation", *carried(made, self.cache_names)).persist()
+        cached = made.withColumn("variation", F.lit(ctx.variation)).select("variation", "idx", "in_variation", *carried(made, self.cache_names)).persist()
+        ctx.meta.setdefault("cached", []).append(cached)
+        return cached
+
+
+@dataclass
+class Materialize(Stage):
+    """The rows as a table written to the shared folder. Stages that index anew read their rows several times;
+    behind Python-heavy columns they should read a table (or a cache), not compute the columns again."""
+
+    def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
+        path = new_folder(ctx.spark, "rows")
+        df.write.parquet(path)
+        return ctx.spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass

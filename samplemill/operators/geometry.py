@@ -42,8 +42,7 @@ def on_tensors(fn: Callable, t: Column, *amounts: Column) -> Column:
             out.append(as_row(None if missing else fn(a, *values)) or {"shape": None, "data": None})
         return pd.DataFrame(out, columns=["shape", "data"])
 
-    found = run.asNondeterministic()(t, *amounts)
-    return F.when(found["data"].isNotNull(), found)
+    return tn.or_null(run.asNondeterministic()(t, *amounts))
 
 
 def resize_weights(n: int, m: int) -> np.ndarray:

@@ -83,8 +83,7 @@ def tensor_port(port: TensorPort, t: Column) -> Column:
         found = dict(zip(full, with_retries(port.run, [arrays[k] for k in full]), strict=True)) if full else {}
         return pd.DataFrame([as_row(found.get(k)) or {"shape": None, "data": None} for k in range(len(arrays))], columns=["shape", "data"])
 
-    found = run.asNondeterministic()(t)
-    return F.when(found["data"].isNotNull(), found)
+    return tn.or_null(run.asNondeterministic()(t))
 
 
 PORT = "_port"

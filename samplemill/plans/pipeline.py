@@ -65,6 +65,7 @@ class Pipeline:
 
         self.seed = random.randrange(1 << 30) if seed == -1 else seed
         self.stages = [Concepts(concepts), Settings(settings), *flatten(stages)]
+        self.cached: list[DataFrame] = []
         check_names(self.stages[2:], {"concept", "settings"})
         self.context = Context(spark, self.seed, settings=settings)
         self.batch_size, self.initial_epoch, self.initial_sample = batch_size, initial_epoch, resume_index(initial_epoch_sample, batch_size)
@@ -73,6 +74,9 @@ class Pipeline:
         df, shared = None, {}
         for k, stage in enumerate(self.stages):
             df = stage.apply(df, replace(self.context, variation=variation, ordinal=k, meta=shared))
+        for earlier in self.cached:  # an epoch that is still read is computed again
+            earlier.unpersist()
+        self.cached = shared.get("cached", [])
         return df.filter(F.col("idx") >= self.initial_sample) if variation == self.initial_epoch and self.initial_sample else df
 
     def epochs(self, count: int) -> Iterator[DataFrame]:

@@ -18,23 +18,12 @@ from pyspark.sql import functions as F
 from ..functions import tensor as tn
 from ..functions import text as tx
 from ..functions.index import dense_index
+from ..functions.stores import list_files, read_file
 from ..operators.geometry import as_row
 from ..operators.tags import flag
 from ..plans.stage import ColumnStage, Context, Stage, resolve
 
 
-def list_files(folder: str, below: bool) -> list[str]:
-    """Files of a folder, by choice with those below; folders whose name starts with a dot aren't entered."""
-    found = []
-    for entry in os.scandir(folder):
-        if entry.is_dir():
-            if below and not entry.name.startswith("."):
-                found += list_files(entry.path, True)
-        else:
-            found.append(entry.path)
-    return found
-
-
 @dataclass
 class CollectPaths(Stage):
     """A row for each file of each enabled concept, by concept and path. Extensions are compared in lower
@@ -86,13 +75,7 @@ def read_bytes(path: Column) -> Column:
 
     @F.pandas_udf("binary")
     def content(paths: pd.Series) -> pd.Series:
-        def one(p):
-            if p is None or not os.path.isfile(p):
-                return None
-            with open(p, "rb") as f:
-                return f.read()
-
-        return paths.map(one)
+        return paths.map(read_file)
 
     return content.asNondeterministic()(path)
 
@@ -252,17 +235,15 @@ def image_at(path: Column, low: float, high: float, supported_extensions: list[s
         out = []
         for p in paths:
             kind = os.path.splitext(p or "")[1].lower()
-            if p is None or kind not in extensions or not os.path.isfile(p):
+            data = read_file(p) if kind in extensions else None
+            if data is None:
                 out.append({"shape": None, "data": None})
                 continue
-            with open(p, "rb") as f:
-                data = f.read()
             a = with_channels(upright(known[kind](data), orientation(data)), channels)
             out.append(as_row(a / 255 * (high - low) + low))
         return pd.DataFrame(out, columns=["shape", "data"])
 
-    found = load.asNondeterministic()(path)
-    return F.when(found["data"].isNotNull(), found)
+    return tn.or_null(load.asNondeterministic()(path))
 
 
 @dataclass
@@ -318,13 +299,14 @@ class LoadVideo(ColumnStage):
         def load(paths: pd.Series, counts: pd.Series, draws: pd.Series) -> pd.DataFrame:
             out = []
             for p, n, u in zip(paths, counts, draws, strict=True):
-                if p is None or os.path.splitext(p)[1].lower() not in extensions or not os.path.isfile(p):
+                data = read_file(p) if os.path.splitext(p or "")[1].lower() in extensions else None
+                if data is None:
                     out.append({"shape": None, "data": None})
                     continue
-                frames, fps = decoder(p) if decoder else (np.load(p, allow_pickle=False), 24.0)
+                frames, fps = decoder(p) if decoder else (np.load(io.BytesIO(data), allow_pickle=False), 24.0)
                 chosen = np.asarray(frames, np.float32)[frame_choice(len(frames), fps, int(n), rate, float(u))]
                 out.append(as_row(chosen.transpose(1, 0, 2, 3) / 255 * (high - low) + low))
             return pd.DataFrame(out, columns=["shape", "data"])
 
         found = load.asNondeterministic()(resolve(df, self.path_in), resolve(df, self.target_frame_count_in), self.random(ctx))
-        return {self.video_out: F.when(found["data"].isNotNull(), found)}
+        return {self.video_out: tn.or_null(found)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.stores import write_file
 from ..operators.geometry import as_array
 from ..plans.stage import Context, Stage, resolve
 
@@ -22,14 +22,6 @@ def file_name(df: DataFrame, original_in: str, name: str, folder: str, extension
     return F.concat(F.lit(f"{folder}/epoch-"), F.col("variation").cast("string"), F.lit("/"), F.col("idx").cast("string"), F.lit("-"), stem, F.lit(f"-{name}"), extension)
 
 
-def write_file(path: str, data: bytes) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    temporary = f"{path}.{os.getpid()}.tmp"
-    with open(temporary, "wb") as f:
-        f.write(data)
-    os.replace(temporary, path)
-
-
 def netpbm(a: np.ndarray) -> bytes:
     """C x H x W in [0, 1] as binary PPM or PGM."""
     pixels = np.rint(np.clip(a, 0, 1) * 255).astype(np.uint8)
