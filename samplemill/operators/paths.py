@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,8 +98,6 @@ class MapData(ColumnStage):
         x = resolve(df, self.in_name)
         if self.returns is None:
             return {self.out_name: self.map_fn(x)}
-        import pandas as pd
-
         fn = self.map_fn
 
         @F.pandas_udf(self.returns)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,14 +95,10 @@ class FetchDatasets(Stage):
         if self.resolver is None:
             path = resolve(df, self.path_in)
         else:
-            import pandas as pd
-
             resolver = self.resolver
 
             @F.pandas_udf("string")
             def fetched(paths: pd.Series) -> pd.Series:
-                import os
-
                 def one(p):
                     if p is None or os.path.isdir(p):
                         return p

@@ -57,8 +57,7 @@ def image_stages():
     ]
 
 
-@pytest.mark.parametrize("cached", [True, False])
-def test_inpainting_pipeline(spark, folder, tmp_path, cached):
+def test_inpainting_pipeline(spark, folder, tmp_path):
     """Images, masks, depth, captions and latents, cached and balanced, in whole batches of one resolution."""
     vocabulary, ports = tokens.HashVocabulary(1000), shrink(deviation=True)
     names = ["image", "mask", "depth"]
@@ -89,21 +88,17 @@ def test_inpainting_pipeline(spark, folder, tmp_path, cached):
         tokens.Tokenize("prompt", "tokens", "tokens_mask", vocabulary, 8),
     ]
     resolutions = [(16, 16), (8, 16), (16, 8), (24, 16), (16, 24), (24, 24), (8, 24), (24, 8), (8, 8), (8, 32), (32, 8), (16, 32), (32, 16), (24, 32), (32, 24), (24, 40), (40, 24), (16, 40), (40, 16), (8, 40), (40, 8), (16, 48), (48, 16), (8, 48), (48, 8)]
-    kept = [*split, "crop", "image_path"]
-    middle = (
-        [balance.DiskCache(str(tmp_path / "cache"), split, ["crop", "image_path"], "concept.variations", "concept.balancing", "concept.strategy", ["concept.name"], make=make)]
-        if cached
-        else [*make, balance.Materialize(), balance.VariationSorting(kept, "concept.balancing", "concept.strategy", ["concept.name"])]
-    )
+    middle = balance.DiskCache(str(tmp_path / "cache"), split, ["crop", "image_path"], "concept.variations", "concept.balancing", "concept.strategy", ["concept.name"], make=make)
     after = [
         models.SampleVAEDistribution("latent", "latent_image", "mean"),
         models.SampleVAEDistribution("conditioning_latent", "latent_conditioning", "mean"),
         models.BlankLatents("latent_mask", "latent_conditioning", 0.3, ports, resolutions, salt="blank"),
+        balance.Materialize(),
         order.AspectBatchSorting("crop", ["latent_image", "latent_conditioning", "latent_mask", "latent_depth", "tokens", "crop", "image_path"], 2, salt="batches"),
         paths.OutputColumns(["latent_image", "latent_conditioning", "latent_mask", "latent_depth", "tokens", "crop", "image_path"]),
     ]
     pipeline = Pipeline(spark, concepts(folder), {"resolution": "16, 24"}, [before, middle, after], 2, seed=42, initial_epoch_sample=3)
-    for epoch in range(2):
+    for epoch in (0, 1):
         rows = pipeline.epoch(epoch).orderBy("idx").collect()
         first = 2 if epoch == 0 else 0
         assert [r["idx"] for r in rows] == list(range(first, first + len(rows))) and len(rows) % 2 == 0 and len(rows) >= 4
@@ -112,10 +107,9 @@ def test_inpainting_pipeline(spark, folder, tmp_path, cached):
             half = [s // 2 for s in r["crop"]]
             assert r["latent_image"]["shape"] == [3, *half] == r["latent_conditioning"]["shape"] and r["latent_mask"]["shape"] == [1, *half] and r["latent_depth"]["shape"] == [3, *half]
             assert all(len(r[n]["data"]) == np.prod(r[n]["shape"]) for n in ("latent_image", "latent_conditioning", "latent_mask", "latent_depth")) and len(r["tokens"]) == 8
-    again = pipeline.epoch(1).orderBy("idx").collect()
-    assert [r["image_path"] for r in again] == [r["image_path"] for r in rows] and again[0]["latent_image"]["data"] == rows[0]["latent_image"]["data"]
-    batches = pipeline.batches(1).collect()
+    batches = collate(with_batches(pipeline.epoch(1), 2)).collect()
     assert len(batches) == len(rows) // 2 and all(len(b["tokens"]) == 2 for b in batches)
+    assert sorted(p for b in batches for p in b["image_path"]) == sorted(r["image_path"] for r in rows)
 
 
 def test_vae_pipeline(spark, folder, tmp_path):
@@ -125,6 +119,7 @@ def test_vae_pipeline(spark, folder, tmp_path):
         geometry.ScaleCropImage(["image"], "scale", "crop", "concept.jitter", "offset"),
         pixels.RandomFlip(["image"], "concept.flip", "concept.fixed_flip"),
         models.EncodeVAE("image", "distribution", shrink(deviation=True)),
+        balance.Materialize(),
         balance.RamCache(["distribution", "crop", "image_path"], "concept.balancing", "concept.strategy", ["concept.name"]),
         models.SampleVAEDistribution("distribution", "latent_image", "mean"),
         models.DecodeVAE("latent_image", "decoded", shrink()),
@@ -144,7 +139,6 @@ def test_vae_pipeline(spark, folder, tmp_path):
     later = Pipeline(spark, concepts(folder, balancing=4.0), {"resolution": "16"}, stages, 4, initial_epoch=1, initial_epoch_sample=10)
     assert later.epoch(1).agg(F.min("idx")).first()[0] == 8 and [e.agg(F.min("idx")).first()[0] for e in later.epochs(2)] == [8, 0]
     assert [r["idx"] for r in later.iterate(2)][:5] == [0, 1, 2, 3, 4]
-    assert collate(with_batches(later.epoch(2), 4)).count() == len(rows) // 4
 
 
 def test_videos_and_fetched_datasets(spark, tmp_path):
@@ -163,7 +157,7 @@ def test_videos_and_fetched_datasets(spark, tmp_path):
     stages = [
         FetchDatasets(resolver=fetch),
         files.CollectPaths("concept", "concept.path", "concept.below", "concept.enabled", "path", "concept", [".npy"]),
-        paths.MapData("path", "frames", lambda p: F.lit(3)),
+        paths.MapData("path", "frames", lambda p: p.str.len() * 0 + 3, returns="int"),
         files.LoadVideo("path", "frames", "video", 0.0, 255.0, 24.0, [".npy"]),
         pixels.CalcAspect("video", "size"),
         paths.OutputColumns(["path", "video", "size"]),
