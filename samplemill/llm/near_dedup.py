@@ -8,8 +8,8 @@ Candidates whose sketches lie too far apart are dropped, all others are confirme
 
 Each member is held against one pivot of its bucket, the member that shares most buckets. Jaccard distance
 is a metric: if a member has at least CORE_PERCENT in common with the pivot, whatever links with it is no
-further from the pivot than both distances together, and the sketches of pivots and members are let
-through up to that distance (`star_limit`). So such members leave the bucket, the others meet a second
+further from the pivot than both distances together: pairs of a pivot and a member are let through up to
+that distance, first by their sketches (`star_limit`), then by their full sets. So such members leave the bucket, the others meet a second
 pivot, and only those that two pivots left over are compared by their sketches in a join of the bucket.
 All pairs that passed the sketches make clusters. Where links don't already join a whole cluster, blocks
 of its members are compared on full sets inside tasks, components against other components, and only links
@@ -124,9 +124,14 @@ def odd_limit(samples: int, bits: int, percent: int) -> int:
     return math.ceil(mean + 3 * math.sqrt(mean * (1 - mean / bits)))
 
 
+def star_percent(percent: int) -> int:
+    """What a document has in common with a pivot at least if it links with a member near the pivot."""
+    return max(0, CORE_PERCENT + percent - 100)
+
+
 def star_limit(samples: int, bits: int, percent: int) -> int:
-    """Bits that the sketches of a pivot and of a document may differ in that links with a member near the pivot."""
-    return odd_limit(samples, bits, max(0, CORE_PERCENT + percent - 100))
+    """Bits that the sketches of such a document and the pivot may differ in."""
+    return odd_limit(samples, bits, star_percent(percent))
 
 
 def _text_hash() -> Column:
@@ -314,8 +319,10 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
         placed = left.join(pivots, "bucket").filter("set_key != u").withColumnRenamed("set_key", "v")
         stars = placed.select("u", "v").distinct().join(sketch("u"), "u").join(sketch("v"), "v").filter(_apart("u_sketch", "v_sketch", sketch_words) <= far)
         stars = written(stars.select("u", "v"), "near-pairs")
-        stars = written(_similar(stars, sets, {"linked": percent, "core": CORE_PERCENT}), "near-stars")
-        candidates = stars.select("u", "v") if candidates is None else candidates.union(stars.select("u", "v"))
+        stars = written(_similar(stars, sets, {"linked": percent, "core": CORE_PERCENT, "reachable": star_percent(percent)}), "near-stars")
+        # only what can link with a member near the pivot needs its cluster
+        reachable = stars.filter("reachable").select("u", "v")
+        candidates = reachable if candidates is None else candidates.union(reachable)
         found = stars.filter("linked").select("u", "v")
         links = found if links is None else links.union(found)
         left = placed.join(stars.filter("core").select("u", "v"), ["u", "v"], "left_anti").select("bucket", F.col("v").alias("set_key"), "reach")
