@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, line_dedup, media, near_dedup, ngram_lm, packing, token_files, warc
+from . import chat, decontamination, language_id, line_dedup, media, near_dedup, ngram_lm, packing, resampling, token_files, warc, whitening
 from .common import read_table
 
 
@@ -72,6 +72,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resampling.importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened_rows(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
@@ -83,9 +93,12 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op2_near_dedup": near_dedup.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }
