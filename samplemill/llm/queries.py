@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, line_dedup, media, near_dedup, ngram_lm, packing, resampling, token_files, warc, whitening
+from . import chat, decontamination, html_extraction, language_id, line_dedup, media, near_dedup, ngram_lm, packing, resampling, token_files, warc, whitening
 from .common import read_table
 
 
@@ -77,6 +77,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract_main_text(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whitened_rows(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
@@ -94,6 +99,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_html_extraction": op12_html_extraction,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
