@@ -282,13 +282,24 @@ def _within_clusters(clusters: DataFrame, components: DataFrame, classes: DataFr
     return pairs.groupBy("cluster", "i", "j").applyInPandas(links, "u binary, v binary")
 
 
+def _class_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(set_key, shingles) of each class that shares a bucket, once, from one more pass over the texts that stand for one."""
+    wanted = members.select("first").distinct().select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (_text_hash() == F.col("first_hash"))
+    sets = written(full_sets(docs.select("doc_id", "text").filter("text is not null").join(wanted, same, "left_semi"), size), "near-texts").select("set_key", "shingles")
+    # rows that repeat doc_id and text have one set each
+    again = written(sets.groupBy("set_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key"), "near-again")
+    if again.isEmpty():
+        return sets
+    return sets.join(again, "set_key", "left_anti").union(sets.join(again, "set_key", "left_semi").dropDuplicates(["set_key"]))
+
+
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS) -> DataFrame:
     """Groups of near-duplicates among docs (doc_id, text).
 
     Returns doc_id, n_shingles (size of the document's set), component_id (smallest doc_id that
     links reach, itself included), kept (doc_id = component_id), set_key (its class of equal sets),
-    class_links (links of that class to other classes that were confirmed), text_hash (64-bit hash of
-    the text) and group (the same for all rows of a group; null for empty sets).
+    text_hash (64-bit hash of the text) and group (the same for all rows of a group; null for empty sets).
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. A null
     doc_id stays null; its document links others and is kept only if none in its group has an id
@@ -297,21 +308,19 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     aren't read.
     """
     signed = written(document_sets(docs, shingle_words, bands, band_rows, sketch_words), "near-signed")
-    classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # first: a row of the class whose text stands for it
+    classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "near-classes")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "set_key", "least_id")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "set_key", "first")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = buckets.join(shared, "bucket")
     reach = members.groupBy("set_key").agg(F.sum("n").alias("reach"))
-    members = written(members.join(reach, "set_key").select("bucket", "set_key", "least_id", "reach"), "near-members")
+    members = written(members.join(reach, "set_key").select("bucket", "set_key", "first", "reach"), "near-members")
     near = odd_limit(bands * band_rows, 64 * sketch_words, percent)
     far = star_limit(bands * band_rows, 64 * sketch_words, percent)
     sketch = lambda name: classes.select(F.col("set_key").alias(name), F.col("sketch").alias(f"{name}_sketch"))
 
-    # the full sets of whatever shares a bucket, from one more pass over the texts
-    wanted = members.select("least_id").distinct().hint("shuffle_hash")
-    sets = written(full_sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi").filter("text is not null")), "near-sets")
-    sets = sets.join(members.select("set_key").distinct(), "set_key", "left_semi")
+    sets = written(_class_sets(docs, members, shingle_words), "near-sets")
 
     left, candidates, links = members.select("bucket", "set_key", "reach"), None, None
     for _ in range(PIVOT_ROUNDS):
@@ -340,13 +349,12 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
         links = links.union(more)
         components = connected_components(links)
 
-    ends = links.select(F.explode(F.array("u", "v")).alias("set_key")).groupBy("set_key").agg(F.count(F.lit(1)).alias("class_links"))
     found = classes.select("set_key", "least_id").join(components.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = found.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_class = found.join(smallest, "component").select("set_key", "component_id", F.col("component").alias("group")).join(ends, "set_key", "left")
+    by_class = found.join(smallest, "component").select("set_key", "component_id", F.col("component").alias("group"))
     out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_key", F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"), "text_hash", "group")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "set_key", "text_hash", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
@@ -372,7 +380,8 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     return out.drop(text_hash)
 
 
-#: DuckDB SQL with the rows of the query over documents: all pairs of classes that share a shingle, by brute force.
+#: DuckDB SQL with the rows of the query over documents: pairs of classes that share one of their rarest shingles, as many
+#: as a linked pair must share one of, each confirmed on its whole lists.
 ORACLE = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents
@@ -385,17 +394,23 @@ WITH RECURSIVE words AS (
   SELECT k, min(doc_id) AS c, any_value(shingles) AS shingles, any_value(len(shingles)) AS n FROM keyed WHERE len(shingles) > 0 GROUP BY k
 ), each AS (
   SELECT c, n, unnest(shingles) AS g FROM classes
+), common AS (
+  SELECT g, count(*) AS f FROM each GROUP BY g
+), first AS (
+  SELECT c, n, g FROM each JOIN common USING (g) QUALIFY row_number() OVER (PARTITION BY c ORDER BY f, g) <= n - (85 * n + 99) // 100 + 1
+), pairs AS (
+  SELECT DISTINCT a.c AS u, b.c AS v FROM first a JOIN first b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), met AS (
+  SELECT u, v, a.n + b.n AS sizes, len(list_intersect(a.shingles, b.shingles)) AS shared FROM pairs JOIN classes a ON a.c = u JOIN classes b ON b.c = v
 ), links AS (
-  SELECT a.c AS u, b.c AS v FROM each a JOIN each b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+  SELECT u, v FROM met WHERE 100 * shared >= 85 * (sizes - shared)
 ), sides AS (
   SELECT u, v FROM links UNION ALL SELECT v, u FROM links
 ), reached(c, r) AS (
   SELECT c, c FROM classes UNION SELECT sides.v, reached.r FROM reached JOIN sides ON sides.u = reached.c
 ), least AS (
   SELECT c, min(r) AS component FROM reached GROUP BY c
-), ends AS (
-  SELECT u AS c, count(*) AS n FROM sides GROUP BY u
 )
-SELECT doc_id, len(keyed.shingles)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept, coalesce(ends.n, 0)::BIGINT AS class_links
-FROM keyed LEFT JOIN classes ON classes.k = keyed.k AND len(keyed.shingles) > 0 LEFT JOIN least ON least.c = classes.c LEFT JOIN ends ON ends.c = classes.c
+SELECT doc_id, len(keyed.shingles)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM keyed LEFT JOIN classes ON classes.k = keyed.k AND len(keyed.shingles) > 0 LEFT JOIN least ON least.c = classes.c
 """

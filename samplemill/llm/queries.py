@@ -15,7 +15,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_links")
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
