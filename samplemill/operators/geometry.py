@@ -152,8 +152,8 @@ class RandomHue(StrengthStage):
         drawn = lambda u: F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (u - 0.5) * s))
         return amount(self.random(ctx), flag(df, self.enabled_in), flag(df, self.fixed_enabled_in), drawn, s * 0.5)
 
-    def adjusted(self, t: Column, strength: Column) -> Column:
-        return on_tensors(lambda a, d: hue_shifted(a, float(d)), t, strength)
+    def changed(self, t: Column, strength: Column) -> Column:
+        return F.when(strength.isNotNull(), on_tensors(lambda a, d: hue_shifted(a, float(d)), t, strength)).otherwise(t)
 
 
 def extent(hit: np.ndarray) -> tuple[int, int]:

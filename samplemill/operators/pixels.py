@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tensor as tn
+from ..functions import text as tx
 from ..functions.rng import randint
 from ..plans.stage import ColumnStage, Context, resolve
 from .tags import flag
@@ -144,7 +145,12 @@ class StrengthStage(ColumnStage):
 
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
         strength = self.strength(df, ctx)
-        return {n: F.when(strength.isNotNull(), self.adjusted(resolve(df, n), strength)).otherwise(resolve(df, n)) for n in self.names}
+        return {n: self.changed(resolve(df, n), strength) for n in self.names}
+
+    def changed(self, t: Column, strength: Column) -> Column:
+        # both are made once a row: a lambda would make them again for each value
+        both = F.struct(t.alias("t"), strength.alias("s"))
+        return tx.bound(both, lambda b: F.when(b["s"].isNotNull() & b["t"].isNotNull(), self.adjusted(b["t"], b["s"])).otherwise(b["t"]))
 
 
 def clamped(x: Column) -> Column:
@@ -169,17 +175,15 @@ class RandomContrast(StrengthStage):
     """Blended with the mean grey value of the image."""
 
     def adjusted(self, t: Column, strength: Column) -> Column:
-        grey = grey_plane(t)
-        mean = F.aggregate(grey, F.lit(0.0), lambda s, x: s + x) / F.size(grey)
-        return F.when(t.isNotNull(), tn.tensor(t["shape"], F.flatten(F.transform(F.array(mean), lambda m: F.transform(t["data"], lambda x: clamped(x * strength + m * (1 - strength)))))))
+        mean = tx.bound(grey_plane(t), lambda grey: F.aggregate(grey, F.lit(0.0), lambda s, x: s + x) / F.size(grey))
+        return tx.bound(mean, lambda m: tn.mapped(t, lambda x, i: clamped(x * strength + m * (1 - strength))))
 
 
 class RandomSaturation(StrengthStage):
     """Blended with the grey image."""
 
     def adjusted(self, t: Column, strength: Column) -> Column:
-        inner = lambda g: F.transform(t["data"], lambda x, i: clamped(x * strength + F.get(g, (i % F.size(g)).cast("int")) * (1 - strength)))
-        return F.when(t.isNotNull(), tn.tensor(t["shape"], F.flatten(F.transform(F.array(grey_plane(t)), inner))))
+        return tx.bound(grey_plane(t), lambda g: tn.mapped(t, lambda x, i: clamped(x * strength + F.get(g, (i % F.size(g)).cast("int")) * (1 - strength))))
 
 
 def crop_offset(df: DataFrame, stage: ColumnStage, ctx: Context, scaled: Column, cropped: Column, jitter_in: str | None) -> Column:

@@ -840,3 +840,6 @@ def caption_epoch(spark, sf_dir):
         paths.OutputColumns(["doc_id", "prompt", "crop", "tokens"]),
     ]
     return with_batches(run(rows, *stages), 4).select("idx", "batch_id", "doc_id", "prompt", F.concat_ws("x", F.transform("crop", lambda x: x.cast("string"))).alias("crop"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+from . import file_queries  # noqa: E402, F401  registers its queries

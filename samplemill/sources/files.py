@@ -6,7 +6,6 @@ import io
 import os
 import re
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,17 +16,61 @@ from pyspark.sql import functions as F
 
 from ..functions import tensor as tn
 from ..functions import text as tx
-from ..functions.index import dense_index
-from ..functions.stores import list_files, read_file
+from ..functions.index import blocks_of, dense_index
+from ..functions.shared import new_folder
+from ..functions.stores import list_folder, read_file
 from ..operators.geometry import as_row
 from ..operators.tags import flag
 from ..plans.stage import ColumnStage, Context, Stage, resolve
+from .jpeg import decode_jpeg
+from .png import decode_png, png_chunks
+from .video import open_video
+
+
+#: Entries of a folder that a task holds at once.
+PAGE = 10_000
+_LISTED = "_concept long, _path string, _is_file boolean"
+
+
+def listed(folders: DataFrame, below: bool) -> DataFrame:
+    """Entries of folders (_concept, _path): the files and, with below, the folders; each folder is a row that any
+    task can take."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for concept, folder in zip(batch["_concept"], batch["_path"], strict=True):
+                for files, inner in list_folder(folder, PAGE):
+                    paths = files + inner if below else files
+                    if not paths:
+                        continue
+                    yield pd.DataFrame({"_concept": concept, "_path": paths, "_is_file": [k < len(files) for k in range(len(paths))]})
+
+    # by number, as rows of a few bytes would else meet in one task
+    return folders.select("_concept", "_path").repartition(blocks_of(folders), "_path").mapInPandas(entries, _LISTED)
+
+
+def listed_below(folders: DataFrame) -> DataFrame:
+    """The files in folders and in all that are below them: a written table for each level of folders, so that
+    the folders of a level are dealt to all tasks however few folders they come from."""
+    spark, files = folders.sparkSession, None
+    while True:
+        path = new_folder(spark, "folders")
+        listed(folders, True).write.parquet(path)
+        level = spark.read.schema(_LISTED).parquet(path)
+        found, folders = level.filter("_is_file"), level.filter("not _is_file")
+        files = found if files is None else files.union(found)
+        if folders.isEmpty():
+            return files
 
 
 @dataclass
 class CollectPaths(Stage):
     """A row for each file of each enabled concept, by concept and path. Extensions are compared in lower
-    case; the name without extension must end with one of include_postfix and none of exclude_postfix."""
+    case; the name without extension must end with one of include_postfix and none of exclude_postfix.
+
+    Folders below are listed level by level, while the plan is built; a plan without such concepts lists
+    when it runs. Folders whose name starts with a dot aren't entered.
+    """
 
     concept_in: str
     path_in: str
@@ -40,16 +83,12 @@ class CollectPaths(Stage):
     exclude_postfix: list[str] | None = None
 
     def apply(self, df: DataFrame, ctx: Context) -> DataFrame:
-        rows = df.filter(flag(df, self.enabled_in)).select("variation", F.col("idx").alias("_concept"), resolve(df, self.path_in).alias("_folder"), flag(df, self.include_subdirectories_in).alias("_below"))
-
-        def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for concept, folder, below in zip(batch["_concept"], batch["_folder"], batch["_below"], strict=True):
-                    paths = list_files(folder, bool(below))
-                    yield pd.DataFrame({"_concept": concept, "_path": paths})
-
-        files = rows.select("_concept", "_folder", "_below").repartition("_concept").mapInPandas(listed, "_concept long, _path string")
-        kept = wanted_paths(files, F.col("_path"), self.extensions, self.include_postfix, self.exclude_postfix)
+        rows = df.filter(flag(df, self.enabled_in)).select(F.col("idx").alias("_concept"), resolve(df, self.path_in).alias("_path"), flag(df, self.include_subdirectories_in).alias("_below"))
+        rows = rows.filter(F.col("_path").isNotNull())
+        files, deep = listed(rows.filter("not _below"), False), rows.filter("_below")
+        if not deep.isEmpty():
+            files = files.union(listed_below(deep))
+        kept = wanted_paths(files.drop("_is_file"), F.col("_path"), self.extensions, self.include_postfix, self.exclude_postfix)
         others = [c for c in df.columns if c not in ("variation", "idx", self.path_out, self.concept_out)]
         joined = kept.join(df.select("variation", F.col("idx").alias("_concept"), resolve(df, self.concept_in).alias(self.concept_out), *others), "_concept")
         out = joined.withColumnRenamed("_path", self.path_out)
@@ -132,55 +171,6 @@ def decode_npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False).astype(np.float32)
 
 
-def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    at = 8
-    while at + 12 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        yield data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
-        at += 12 + n
-
-
-def unfiltered(raw: bytes, lines: int, width: int, step: int) -> np.ndarray:
-    """PNG lines of width bytes without their filters; step: bytes of a pixel."""
-    given = np.frombuffer(raw, np.uint8).reshape(lines, width + 1)
-    out, above = np.zeros((lines, width), np.uint8), np.zeros(width, np.uint8)
-    for y in range(lines):
-        kind, line = int(given[y, 0]), given[y, 1:]
-        if kind == 2:
-            line = line + above
-        elif kind == 1:  # sums of each byte of a pixel along the line
-            padded = np.zeros(-(-width // step) * step, np.uint8)
-            padded[:width] = line
-            line = np.cumsum(padded.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[:width]
-        elif kind in (3, 4):
-            line, up = line.astype(np.int64), above.astype(np.int64)
-            for x in range(width):
-                a, b, c = (int(line[x - step]), int(up[x]), int(up[x - step])) if x >= step else (0, int(up[x]), 0)
-                near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] if kind == 4 else (a + b) // 2
-                line[x] = (line[x] + near) & 255
-            line = line.astype(np.uint8)
-        out[y] = above = line
-    return out
-
-
-def decode_png(data: bytes) -> np.ndarray:
-    """An 8-bit PNG that isn't interlaced to C x H x W, 0 to 255; grey stays grey, alpha goes, a palette is looked up."""
-    chunks = list(png_chunks(data))
-    head = dict(reversed(chunks))
-    if data[:8] != b"\x89PNG\r\n\x1a\n" or b"IHDR" not in head:
-        raise ValueError("not a PNG")
-    w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", head[b"IHDR"])
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    if depth != 8 or interlaced:
-        raise ValueError("only 8-bit PNGs without interlacing are read")
-    pixels = unfiltered(zlib.decompress(b"".join(d for k, d in chunks if k == b"IDAT")), h, w * channels, channels).reshape(h, w, channels)
-    if kind == 3:
-        pixels = np.frombuffer(head[b"PLTE"], np.uint8).reshape(-1, 3)[pixels[..., 0]]
-    elif kind in (4, 6):
-        pixels = pixels[..., :-1]
-    return pixels.transpose(2, 0, 1).astype(np.float32)
-
-
 def orientation(data: bytes) -> int:
     """The EXIF orientation, 1 to 8, of a JPEG or PNG; 1 without one."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
@@ -215,7 +205,16 @@ def upright(a: np.ndarray, orientation: int) -> np.ndarray:
     return a[..., ::-1, :] if orientation in (3, 4, 7, 8) else a
 
 
-DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {".ppm": decode_netpbm, ".pgm": decode_netpbm, ".npy": decode_npy, ".png": decode_png}
+#: Decoders by what a file begins with.
+DECODERS: list[tuple[bytes, Callable[[bytes], np.ndarray]]] = [(b"\xff\xd8", decode_jpeg), (b"\x89PNG", decode_png), (b"P5", decode_netpbm), (b"P6", decode_netpbm), (b"\x93NUMPY", decode_npy)]
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """C x H x W, 0 to 255, of a file of a built-in kind, whatever its name says."""
+    for start, decode in DECODERS:
+        if data.startswith(start):
+            return decode(data)
+    raise ValueError("a file of no known image format")
 
 
 def with_channels(a: np.ndarray, channels: int) -> np.ndarray:
@@ -228,7 +227,7 @@ def with_channels(a: np.ndarray, channels: int) -> np.ndarray:
 
 def image_at(path: Column, low: float, high: float, supported_extensions: list[str], channels: int = 3, decoders: dict | None = None) -> Column:
     """The image of a file as a tensor; null for a missing file or another extension."""
-    known, extensions = DECODERS | (decoders or {}), {e.lower() for e in supported_extensions}
+    own, extensions = {k.lower(): d for k, d in (decoders or {}).items()}, {e.lower() for e in supported_extensions}
 
     @F.pandas_udf(tn.TENSOR)
     def load(paths: pd.Series) -> pd.DataFrame:
@@ -239,7 +238,7 @@ def image_at(path: Column, low: float, high: float, supported_extensions: list[s
             if data is None:
                 out.append({"shape": None, "data": None})
                 continue
-            a = with_channels(upright(known[kind](data), orientation(data)), channels)
+            a = with_channels(upright(own.get(kind, decode_image)(data), orientation(data)), channels)
             out.append(as_row(a / 255 * (high - low) + low))
         return pd.DataFrame(out, columns=["shape", "data"])
 
@@ -250,8 +249,9 @@ def image_at(path: Column, low: float, high: float, supported_extensions: list[s
 class LoadImage(ColumnStage):
     """An image as a tensor, px / 255 scaled to the range; null for a missing file or another extension.
 
-    decoders: by extension, bytes -> C x H x W with 0 to 255; PPM, PGM, NPY and 8-bit PNG are built in. Images
-    are turned as their EXIF orientation says.
+    JPEG, PNG, PPM, PGM and NPY are built in and told apart by their contents; decoders: by extension, bytes ->
+    C x H x W with 0 to 255, for other formats. Images are turned as their EXIF orientation says. A damaged
+    file raises.
     """
 
     path_in: str
@@ -280,7 +280,9 @@ def frame_choice(n: int, fps: float, wanted: int, target_fps: float, u: float) -
 class LoadVideo(ColumnStage):
     """Consecutive frames of a video from a drawn offset, as C x F x H x W.
 
-    decoder: path -> (F x C x H x W with 0 to 255, frames a second); NPY files are read as 24 a second.
+    AVI with JPEG or plain frames, Y4M and NPY (24 a second) are built in: their frames are indexed, and only the
+    bytes of the chosen ones are read. reader: path -> an object with count, rate (frames a second) and
+    frames(indices) -> F x C x H x W with 0 to 255, for other formats.
     """
 
     path_in: str
@@ -290,21 +292,23 @@ class LoadVideo(ColumnStage):
     range_max: float
     target_frame_rate: float
     supported_extensions: list[str]
-    decoder: Callable | None = None
+    reader: Callable | None = None
 
     def columns(self, df: DataFrame, ctx: Context) -> dict[str, Column]:
-        decoder, extensions, rate, low, high = self.decoder, {e.lower() for e in self.supported_extensions}, self.target_frame_rate, self.range_min, self.range_max
+        reader, extensions, rate, low, high = self.reader or open_video, {e.lower() for e in self.supported_extensions}, self.target_frame_rate, self.range_min, self.range_max
 
         @F.pandas_udf(tn.TENSOR)
         def load(paths: pd.Series, counts: pd.Series, draws: pd.Series) -> pd.DataFrame:
             out = []
             for p, n, u in zip(paths, counts, draws, strict=True):
-                data = read_file(p) if os.path.splitext(p or "")[1].lower() in extensions else None
-                if data is None:
+                try:
+                    video = reader(p) if os.path.splitext(p or "")[1].lower() in extensions else None
+                except FileNotFoundError:
+                    video = None
+                if video is None:
                     out.append({"shape": None, "data": None})
                     continue
-                frames, fps = decoder(p) if decoder else (np.load(io.BytesIO(data), allow_pickle=False), 24.0)
-                chosen = np.asarray(frames, np.float32)[frame_choice(len(frames), fps, int(n), rate, float(u))]
+                chosen = np.asarray(video.frames(frame_choice(video.count, video.rate, int(n), rate, float(u))), np.float32)
                 out.append(as_row(chosen.transpose(1, 0, 2, 3) / 255 * (high - low) + low))
             return pd.DataFrame(out, columns=["shape", "data"])
 
