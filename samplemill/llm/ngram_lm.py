@@ -297,7 +297,7 @@ class NgramModel:
             left[own] = np.where(there, sum(d * array(f"followed{j}", "<u4")[at] for j, d in enumerate(self.discounts[k - 1], 1)), 0)[back]
             wanted, back = np.unique(code(grams[own]), return_inverse=True)
             at, there = _found_at(array("grams", "<u8"), wanted)
-            count[own] = np.where(there, array("counts", "<u4")[at], 0)[back]
+            count[own] = np.where(there, array("counts", "<i8")[at], 0)[back]
         return count, total, left
 
     def log10_probabilities(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -305,7 +305,7 @@ class NgramModel:
         cut = lambda c, d: np.array([0.0, *d])[np.minimum(c, 3)]
         if not self.types:
             return np.full(len(ids), np.log10(1 / (self.words + 1)))
-        followed = self.per_word("continuations", "<u4", ids)
+        followed = self.per_word("continuations", "<i8", ids)
         spared = np.dot(self.discounts[0], self.lower_classes)
         p = (followed - cut(followed, self.discounts[0]) + spared / (self.words + 1)) / self.types
         place = np.arange(len(ids)) - np.repeat(begins, np.diff(np.append(begins, len(ids))))
@@ -355,11 +355,27 @@ def _text_steps(batches: Iterator[pd.DataFrame], most: int = -1) -> Iterator[lis
         yield held
 
 
+def write_grams(folder: str, k: int, shard: int, grams: np.ndarray, counts: np.ndarray) -> None:
+    """A shard's arrays of n-grams of k words, distinct rows of ids in order, and of their contexts."""
+    put = lambda name, values, kind: write_atomically(f"{folder}/{name}-{k}-{shard:06d}", [values.astype(kind).tobytes()])
+    codes, contexts = code(grams), code(grams[:, :-1])
+    by_code = np.argsort(codes, kind="stable")
+    put("grams", codes[by_code], "<u8")
+    put("counts", counts[by_code], "<i8")
+    keys, of = np.unique(contexts, return_inverse=True)
+    totals = np.zeros(len(keys), np.int64)
+    np.add.at(totals, of, counts)
+    put("contexts", keys, "<u8")
+    put("totals", totals, "<i8")
+    for j in (1, 2, 3):  # different words, fewer than 2**32
+        put(f"followed{j}", np.bincount(of[np.minimum(counts, 3) == j], minlength=len(keys)), "<u4")
+
+
 def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, folder: str | None = None, order: int = ORDER) -> NgramModel:
     """Count the whole texts of texts (text; null: empty) and write the model's arrays to the shared folder.
 
     order: words of an n-gram, two or more. Only a few numbers a shard reach the driver. Repeated rows count
-    each. No rows: a model that knows no word. Other columns aren't read.
+    each. No rows: a model that knows no word. 2**32 - 1 different words or more raise. Other columns aren't read.
     """
     if order < 2:
         raise ValueError("order is below two")
@@ -421,18 +437,7 @@ def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, folder: str | None
         def store_grams(frame: pd.DataFrame) -> pd.DataFrame:
             s = int(frame["range"].iloc[0])
             grams, counts = _merged(frame, k)
-            put = lambda name, values, kind: write_atomically(f"{folder}/{name}-{k}-{s:06d}", [values.astype(kind).tobytes()])
-            codes, contexts = code(grams), code(grams[:, :-1])
-            by_code = np.argsort(codes, kind="stable")
-            put("grams", codes[by_code], "<u8")
-            put("counts", np.minimum(counts[by_code], 2**32 - 1), "<u4")
-            keys, of = np.unique(contexts, return_inverse=True)
-            totals = np.zeros(len(keys), np.int64)
-            np.add.at(totals, of, counts)
-            put("contexts", keys, "<u8")
-            put("totals", totals, "<i8")
-            for j in (1, 2, 3):
-                put(f"followed{j}", np.bincount(of[np.minimum(counts, 3) == j], minlength=len(keys)), "<u4")
+            write_grams(folder, k, s, grams, counts)
             below, before = summed(np.ascontiguousarray(grams[:, 1:]), np.ones(len(grams), np.int64))
             out = _run(below, before, lower_shard(k - 1, below), step)
             few = [int((counts == j).sum()) for j in (1, 2, 3, 4)]
@@ -445,7 +450,7 @@ def train(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, folder: str | None
         ids, counts = _merged(frame, 1)
         followed = np.zeros(first[s + 1] - first[s], np.int64)
         followed[ids[:, 0].astype(np.int64) - first[s]] = counts
-        write_atomically(f"{folder}/continuations-{s:06d}", [np.minimum(followed, 2**32 - 1).astype("<u4").tobytes()])
+        write_atomically(f"{folder}/continuations-{s:06d}", [followed.astype("<i8").tobytes()])
         few = [int((followed == j).sum()) for j in (1, 2, 3, 4)]
         return pd.DataFrame({"few": [few], "n": [int((followed > 0).sum())]})
 
