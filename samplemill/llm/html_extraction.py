@@ -31,6 +31,8 @@ TEMPLATE_PERCENT, TEMPLATE_PAGES = 60, 5
 CONTENT_PERCENT = 80
 #: There, a block with more of its text in links is none.
 LINK_PERCENT = 50
+#: Pages that a worker holds trees and texts of before it passes them on.
+STEP_PAGES = 256
 #: Bytes of all wrappers up to which they are broadcast.
 BROADCAST_BYTES = 1 << 25
 
@@ -48,13 +50,19 @@ def text_hash(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
 
 
+def steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP_PAGES):
+            yield batch.slice(at, STEP_PAGES)
+
+
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """A row a page: host, a hash of its candidate texts, its shape, and of each candidate block its node in the
     shape, a hash, its characters and those in links."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("host", pa.string()), ("page_hash", pa.int64()), ("shape", pa.string()), ("article", pa.bool_()), ("nodes", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32())), ("links", pa.list_(pa.int32()))])
-        for batch in batches:
+        for batch in steps_of(batches):
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 root, blocks = read_page(page.as_py() or "")
@@ -65,7 +73,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 hashes = [text_hash(b.text) for b in own]
                 nodes = [place[id(made[id(b.node)].found())] for b in own]
                 rows.append((host, text_hash("\n".join(b.text for b in own)), written_shape(shape), article, nodes, hashes, [len(b.text) for b in own], [min(b.linked, len(b.text)) for b in own]))
-            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], k) for k in schema.types], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return pages.mapInArrow(parse, PARSED)
 
@@ -220,7 +228,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html", te
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, HostRule] = {}
-        for batch in batches:
+        for batch in steps_of(batches):
             html, *rule_columns = batch.columns[len(kept) :]
             texts = []
             for k in range(batch.num_rows):
