@@ -12,7 +12,8 @@ from .functions import tensor as tn
 from .functions.index import dense_index
 from .functions.shared import new_folder
 from .functions.stores import write_file
-from .operators import order, paths
+from .functions.templates import ChatTemplate
+from .operators import order, paths, subwords, tokens
 from .plans.pipeline import Pipeline
 from .queries import SEED, _COLOURS, documents, images, query, run, u, values
 from .sources import files, sinks
@@ -137,3 +138,48 @@ def pipeline_epochs(spark, sf_dir):
         batches = pipeline.batches(epoch).select(F.lit(epoch).alias("epoch"), "batch_id", F.array_join(F.transform("doc_id", lambda x: x.cast("string")), ",").alias("ids"), F.array_min("path").alias("first_path"), F.get("resolution", F.lit(0)).alias("resolution"))
         out = batches if out is None else out.union(batches)
     return out
+
+
+# ---- tokenizers and chat templates
+
+
+def public_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("subword_round_trip", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def subword_round_trip(spark, sf_dir):
+    """Whole texts to byte-level tokens and back."""
+    tokenizer = subwords.BytePairTokenizer(public_file("byte_bpe_50k.json"))
+    rows = documents(spark, sf_dir).withColumn("tokens", tokenizer.ids(F.coalesce("text", F.lit(""))))
+    return run(rows, tokens.DecodeTokens("tokens", "back", tokenizer=tokenizer)).select("doc_id", F.md5("back").alias("text_md5"))
+
+
+@query("tokenize_subwords")
+def tokenize_subwords(spark, sf_dir):
+    """The first 77 ids with a begin and an end, as text; held against the library in a test."""
+    tokenizer = subwords.BytePairTokenizer(public_file("word_bpe_49k.json"), pad_id=49407, begin_id=49406, end_id=49407)
+    out = run(documents(spark, sf_dir), tokens.Tokenize("text", "tokens", "mask", tokenizer, 77))
+    text = lambda name: F.array_join(F.transform(name, lambda x: x.cast("string")), ",")
+    return out.select("doc_id", text("tokens").alias("tokens"), text("mask").alias("mask"))
+
+
+CHAT = """{%- for m in messages %}
+{%- if loop.first and m.role != 'system' %}<|system|>none
+{% endif -%}
+<|{{ m.role }}|>{{ m['content'] | trim }}{% if not loop.last %}<|end|>
+{% endif %}
+{%- endfor %}{% if add_generation_prompt %}<|assistant|>{% endif %}"""
+
+
+@query(
+    "chat_template",
+    r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM conversations),
+    c AS (SELECT conv_id, string_agg('<|' || coalesce(role, '') || '|>' || text, '<|end|>' || chr(10) ORDER BY turn) AS body, first(role ORDER BY turn) AS opener, count(*) AS n FROM t GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN opener <> 'system' THEN '<|system|>none' || chr(10) ELSE '' END || body || '<|assistant|>' AS text FROM c""",
+)
+def chat_template(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    return turns.select("conv_id", ChatTemplate(CHAT, add_generation_prompt=True)(F.col("messages")).alias("text"))

@@ -1,5 +1,5 @@
-"""Token ids and masks. Any object with `encode` and `decode` is a tokenizer; without one, words are
-hashed to ids natively."""
+"""Token ids and masks. Any object with `encode` and `decode` is a tokenizer (subwords.BytePairTokenizer reads
+published files); without one, words are hashed to ids natively."""
 
 from __future__ import annotations
 
@@ -58,7 +58,7 @@ class Tokenize(ColumnStage):
     expand_mask: int = 0
 
     def _ids(self, text: Column, most: int = -1) -> Column:
-        if isinstance(self.tokenizer, HashVocabulary):
+        if hasattr(self.tokenizer, "ids"):  # knows columns
             return self.tokenizer.ids(text, most)
         tokenizer = self.tokenizer
 
