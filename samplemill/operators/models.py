@@ -75,13 +75,34 @@ def with_retries(fn, *args, attempts: int = 3):
     raise AssertionError
 
 
+#: Values that a port gets at once, in rows of one shape.
+STEP_VALUES = 1 << 22
+
+
+def blocks_of_one_shape(shapes: list[tuple | None], most: int = STEP_VALUES) -> Iterator[list[int]]:
+    """Places of rows with one shape each, so many values together at most (one row at least); rows without are left out."""
+    by_shape: dict[tuple, list[int]] = {}
+    for k, shape in enumerate(shapes):
+        if shape is not None:
+            by_shape.setdefault(shape, []).append(k)
+    for shape, places in by_shape.items():
+        step = max(1, most // max(1, int(np.prod(shape))))
+        for at in range(0, len(places), step):
+            yield places[at : at + step]
+
+
 def tensor_port(port: TensorPort, t: Column) -> Column:
+    """The port's tensors; it is called with rows of one shape at a time."""
+
     @F.pandas_udf(tn.TENSOR)
     def run(tensors: pd.DataFrame) -> pd.DataFrame:
-        arrays = [as_array(r) for r in tensors.to_dict("records")]
-        full = [k for k, a in enumerate(arrays) if a is not None]
-        found = dict(zip(full, with_retries(port.run, [arrays[k] for k in full]), strict=True)) if full else {}
-        return pd.DataFrame([as_row(found.get(k)) or {"shape": None, "data": None} for k in range(len(arrays))], columns=["shape", "data"])
+        shapes = [None if d is None else tuple(map(int, s)) for s, d in zip(tensors["shape"], tensors["data"], strict=True)]
+        out: list[dict] = [{"shape": None, "data": None}] * len(shapes)
+        for block in blocks_of_one_shape(shapes):
+            arrays = [np.asarray(tensors["data"].iloc[k], np.float32).reshape(shapes[k]) for k in block]
+            for k, made in zip(block, with_retries(port.run, arrays), strict=True):
+                out[k] = as_row(made) or {"shape": None, "data": None}
+        return pd.DataFrame(out, columns=["shape", "data"])
 
     return tn.or_null(run.asNondeterministic()(t))
 
@@ -251,12 +272,18 @@ STATES = "struct<layers:array<array<array<float>>>,pooler_output:array<float>,te
 
 
 def text_port(port: TextPort, tokens: Column, mask: Column) -> Column:
+    """The port's states; it is called with texts of one length at a time, so that a call is a block without padding of its own."""
+
     @F.pandas_udf(STATES)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for ids, masks in batches:
             for at in range(0, max(len(ids), 1), STEP_TEXTS):
-                found = with_retries(port.run, list(ids[at : at + STEP_TEXTS]), list(masks[at : at + STEP_TEXTS]))
-                yield pd.DataFrame([{"layers": [np.asarray(x, np.float64).tolist() for x in layers], **{k: pooled.get(k) for k in ("pooler_output", "text_embeds")}} for layers, pooled in found], columns=["layers", "pooler_output", "text_embeds"])
+                some, own = list(ids[at : at + STEP_TEXTS]), list(masks[at : at + STEP_TEXTS])
+                out: list[dict] = [{}] * len(some)
+                for block in blocks_of_one_shape([(len(x),) for x in some]):
+                    for k, (layers, pooled) in zip(block, with_retries(port.run, [some[k] for k in block], [own[k] for k in block]), strict=True):
+                        out[k] = {"layers": [np.asarray(x, np.float64).tolist() for x in layers], **{n: pooled.get(n) for n in ("pooler_output", "text_embeds")}}
+                yield pd.DataFrame(out, columns=["layers", "pooler_output", "text_embeds"])
 
     return run.asNondeterministic()(tokens, mask)
 

@@ -9,6 +9,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_folder
+from .epochs import WrittenEpoch
 from .stage import Context, Stage, check_names
 
 
@@ -57,27 +59,33 @@ class Pipeline:
     raises here, before any plan is built.
 
     seed -1 draws one. initial_epoch and initial_epoch_sample resume: the first epoch begins at the
-    batch that holds the sample.
+    batch that holds the sample. epochs_dir: a folder of the run in which epochs that are iterated over are
+    written; a later session of the same run reads them from there, and of a resumed one only what is left.
     """
 
-    def __init__(self, spark: SparkSession, concepts, settings: dict, stages, batch_size: int, seed: int = 42, initial_epoch: int = 0, initial_epoch_sample: int = 0):
+    def __init__(self, spark: SparkSession, concepts, settings: dict, stages, batch_size: int, seed: int = 42, initial_epoch: int = 0, initial_epoch_sample: int = 0, epochs_dir: str | None = None):
         from ..sources.concepts import Concepts, Settings
 
         self.seed = random.randrange(1 << 30) if seed == -1 else seed
         self.stages = [Concepts(concepts), Settings(settings), *flatten(stages)]
         self.cached: list[DataFrame] = []
+        self.epochs_dir = epochs_dir
         check_names(self.stages[2:], {"concept", "settings"})
         self.context = Context(spark, self.seed, settings=settings)
         self.batch_size, self.initial_epoch, self.initial_sample = batch_size, initial_epoch, resume_index(initial_epoch_sample, batch_size)
 
     def epoch(self, variation: int) -> DataFrame:
+        df = self._all(variation)
+        return df.filter(F.col("idx") >= self.initial_sample) if variation == self.initial_epoch and self.initial_sample else df
+
+    def _all(self, variation: int) -> DataFrame:
         df, shared = None, {}
         for k, stage in enumerate(self.stages):
             df = stage.apply(df, replace(self.context, variation=variation, ordinal=k, meta=shared))
         for earlier in self.cached:  # an epoch that is still read is computed again
             earlier.unpersist()
         self.cached = shared.get("cached", [])
-        return df.filter(F.col("idx") >= self.initial_sample) if variation == self.initial_epoch and self.initial_sample else df
+        return df
 
     def epochs(self, count: int) -> Iterator[DataFrame]:
         return (self.epoch(v) for v in range(self.initial_epoch, self.initial_epoch + count))
@@ -89,6 +97,15 @@ class Pipeline:
     def batches(self, variation: int) -> DataFrame:
         return collate(with_batches(self.epoch(variation), self.batch_size))
 
+    def written(self, variation: int) -> WrittenEpoch:
+        """An epoch as a written table with all its rows, also those before the sample that is resumed at."""
+        if self.epochs_dir is None:
+            self.epochs_dir = new_folder(self.context.spark, "epochs")
+        path = f"{self.epochs_dir}/epoch-{variation}"
+        found = WrittenEpoch(self.context.spark, path)
+        return found if found.whole() else WrittenEpoch.of(self._all(variation), path)
+
     def iterate(self, variation: int) -> Iterator:
-        """Rows of an epoch in order, fetched a partition at a time."""
-        return self.epoch(variation).orderBy("idx").toLocalIterator(prefetchPartitions=True)
+        """Rows of an epoch in order, fetched a block at a time."""
+        first = self.initial_sample if variation == self.initial_epoch else 0
+        return self.written(variation).iterate(first)
