@@ -45,17 +45,18 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
-def learn_dictionaries(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def learn_dictionaries(labelled: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, dictionary_bytes: int = DICTIONARY_BYTES, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, the most frequent first, from labelled (text, lang); rows with null or empty text or lang are left out.
 
     The sample is drawn by a hash of the text: at most sample_documents distinct texts of a language, and
     of the distinct pieces of their lines at most dictionary_bytes (one piece at least). Every language is
-    learned; where their dictionaries would exceed TOTAL_BYTES, each has an equal share of these.
+    learned; where their dictionaries would exceed total_bytes together (more than 200 languages by default), each
+    has an equal share of these, as all are held by each worker.
     """
     rows = labelled.filter("lang is not null and text is not null and text != ''").select("lang", "text")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
     counts = written(counts, "language-counts")
-    dictionary_bytes = min(dictionary_bytes, TOTAL_BYTES // max(counts.count(), 1))
+    dictionary_bytes = min(dictionary_bytes, total_bytes // max(counts.count(), 1))
     # twice as many as wanted by a threshold on the hash, then the first of these by rank
     drawn = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)).alias("draw")
     near = rows.join(F.broadcast(counts), "lang").select("lang", "text", "texts", drawn).filter(F.col("draw") < F.lit(float(2 * sample_documents << 30)) / F.col("texts"))

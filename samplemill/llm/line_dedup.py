@@ -2,11 +2,12 @@
 
 Each line is hashed. Over every window of lines that just reaches `min_words` words, the smallest
 line hash is selected as a fingerprint: two documents that share a run of lines with that many words
-share a whole window, and so select the same fingerprint. The selected positions are joined on their
-fingerprints; only positions whose fingerprint stands elsewhere too go on. From each of them the match is
-extended both ways: by the windows through it, those that start and those that end at each line around,
-which are held against the earliest window with the same lines. Windows that agree with an earlier one are
-merged to runs, and the lines of these later runs are deleted.
+share a whole window, and so select the same fingerprint. Positions whose fingerprint stands nowhere else are
+dropped, and with them every window that selected it. The windows of a position that is left are matched with the
+earliest windows of the same lines, which are windows of the same fingerprint: not each pair of a fingerprint's
+positions, as a common line has too many, but each position with the earliest one that agrees around it.
+The windows that start and those that end at each line extend a match both ways, to the last line that is
+equal; windows that agree with an earlier one are merged to runs, and the lines of these later runs are deleted.
 
 Only hashes of 128 bits are shuffled for this. A window is matched against the first of its kind, never
 against each copy, so a line or passage in a third of all documents costs a row for each occurrence; and
