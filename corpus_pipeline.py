@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplemill.llm import decontamination, language_id, line_dedup, near_dedup, packing
-from samplemill.llm.common import DOCUMENT_COLUMNS, read_table, written
+from samplemill.llm.common import DOCUMENT_COLUMNS, bounded_batches, read_table, written
 
 #: The stage links from 0.8 on (op2 alone from 0.85); these bands miss a pair there with odds of 2 in 10 million.
 NEAR_PERCENT, NEAR_BANDS, NEAR_BAND_ROWS = 80, 29, 4
@@ -23,6 +23,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text, one without a letter and one between two languages goes; repeated rows are judged
     alike; very long texts are compressed whole. A null lang is no label, and is filled in.
     """
+    bounded_batches(spark)
     learned = language_id.learn_dictionaries(language_id.training_rows(docs))
     found = language_id.identify_languages(docs.select(*DOCUMENT_COLUMNS), learned)
     return found.filter(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*DOCUMENT_COLUMNS)
@@ -35,6 +36,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first), then of the smaller line. Rows that repeat doc_id and text keep the same lines. n_chars is that
     of the text that is left, and stays as it was where nothing went.
     """
+    bounded_batches(spark)
     clean = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS))
     left = clean.filter((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)
@@ -46,6 +48,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null doc_id comes last. Null and empty texts, and those without words, are no duplicates and all stay.
     """
+    bounded_batches(spark)
     return near_dedup.drop_near_duplicates(docs.select(*DOCUMENT_COLUMNS), percent=NEAR_PERCENT, bands=NEAR_BANDS, band_rows=NEAR_BAND_ROWS)
 
 
@@ -55,12 +58,14 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none and stay; rows that repeat go or stay alike; very long texts are looked
     through whole. An empty or null item is held by none.
     """
+    bounded_batches(spark)
     return decontamination.drop_contaminated(docs.select(*DOCUMENT_COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a piece of the packed sequences, as packing.pack_documents returns them: each row of docs is packed
     whole, a null or empty text as its end id alone, repeated rows each, a very long text in many pieces."""
+    bounded_batches(spark)
     return packing.pack_documents(docs)
 
 
