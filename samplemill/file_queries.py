@@ -13,9 +13,9 @@ from .functions.index import dense_index
 from .functions.shared import new_folder
 from .functions.stores import write_file
 from .functions.templates import ChatTemplate
-from .operators import order, paths, subwords, tokens
+from .operators import order, paths, subwords, tags, tokens
 from .plans.pipeline import Pipeline
-from .queries import SEED, _COLOURS, documents, images, query, run, u, values
+from .queries import SEED, _COLOURS, _drop_sql, documents, images, query, run, u, values
 from .sources import files, sinks
 
 
@@ -85,6 +85,23 @@ def load_video(spark, sf_dir):
     return values(run(rows, files.LoadVideo("path", "count", "image", 0.0, 255.0, 24.0, [".y4m"], salt="clip")))
 
 
+# ---- special tags in files
+
+_IN_FILES = "list_contains(CASE WHEN doc_id % 2 = 0 THEN ['the', 'of', 'de', 'und'] ELSE ['la', 'a, b', 'der'] END, x)"
+
+
+@query("drop_tags_files", _drop_sql(tags.RANDOM, tags.WHITELIST, " ", _IN_FILES))
+def drop_tags_files(spark, sf_dir):
+    """Tags that stay from a text file for every other document, and from a CSV file for those between."""
+    folder = new_folder(spark, "tags")
+    write_file(f"{folder}/a.txt", b"the\r\nof\nde\nund\n")
+    write_file(f"{folder}/b.csv", b'la,1\n"a, b",2\n\nder\n')
+    named = F.when(F.col("doc_id") % 2 == 0, f"{folder}/a.txt").otherwise(f"{folder}/b.csv")
+    rows = documents(spark, sf_dir, on=True, p=0.4, mode=tags.RANDOM, special=tags.WHITELIST, delimiter=" ", keep=2).withColumn("listed", named)
+    stage = tags.DropTags("text", "on", "p", "mode", "special", "delimiter", "keep", "caption", special_tags_in="listed", special_files=[f"{folder}/a.txt", f"{folder}/b.csv"], salt="drop")
+    return run(rows, stage).select("doc_id", "caption")
+
+
 # ---- listing
 
 _TREE = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 4 THEN '.hidden/' WHEN doc_id % 5 = 3 THEN 'a/b/' ELSE 'a/' END AS inner_folder,

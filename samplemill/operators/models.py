@@ -239,7 +239,7 @@ class GenerateDepth(PortStage):
     image_out: str
     port: TensorPort
     path_in: str | None = None
-    supported_extensions: tuple[str, ...] = (".png", ".ppm", ".pgm", ".npy")
+    supported_extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".ppm", ".pgm", ".npy")
     decoders: dict | None = None
 
     def port_column(self, df: DataFrame) -> Column:

@@ -4,6 +4,7 @@ empty tags out; capitalisation joins with the bare delimiter and keeps them."""
 from __future__ import annotations
 
 import csv
+import io
 import re
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.stores import read_file
 from ..plans.stage import ColumnStage, Context, resolve
 
 FULL, RANDOM, RANDOM_WEIGHTED = "FULL", "RANDOM", "RANDOM WEIGHTED"
@@ -62,13 +64,15 @@ class ShuffleTags(ColumnStage):
 
 
 def special_tags(given: str, delimiter: str) -> list[str]:
-    """The special tags of a .txt (one a line), a .csv (first column), or a delimited text."""
-    if given.endswith(".txt"):
-        with open(given, encoding="utf-8") as f:
-            return [line.rstrip("\n") for line in f]
-    if given.endswith(".csv"):
-        with open(given, encoding="utf-8", newline="") as f:
-            return [row[0] for row in csv.reader(f) if row]
+    """The special tags of a .txt (one a line), a .csv (first column), by path or store URI, or a delimited text."""
+    if given.endswith((".txt", ".csv")):
+        data = read_file(given)
+        if data is None:
+            raise FileNotFoundError(given)
+        text = data.decode("utf-8")
+        if given.endswith(".txt"):
+            return [line.rstrip("\n") for line in io.StringIO(text, newline=None)]
+        return [row[0] for row in csv.reader(io.StringIO(text, newline="")) if row]
     return [t.strip() for t in given.split(delimiter)]
 
 
