@@ -27,6 +27,9 @@ from .html_tree import Block, Node, aligned, lines_of, merge, numbered, read_pag
 FAN, WRAPPER_NODES = 64, 2000
 #: A text is template on at least so large a part of a host's distinct pages, and on so many of them.
 TEMPLATE_PERCENT, TEMPLATE_PAGES = 60, 5
+#: Where more of all candidate text would be template, the pages are copies of one with edits, and none of it is:
+#: on hosts whose pages have articles, and on others, whose menus and footers are candidates too.
+COPIED_PERCENT, COPIED_PERCENT_WITHOUT_ARTICLE = 50, 90
 #: The content of a host without article elements: down from the root while a child has so much of the varying text.
 CONTENT_PERCENT = 80
 #: There, a block with more of its text in links is none.
@@ -145,8 +148,14 @@ def host_rules(pages: DataFrame) -> DataFrame:
     each = written(distinct.select("host", "page_hash", F.explode(block).alias("b")).select("host", "page_hash", F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash"), F.col("b.chars").alias("chars"), F.col("b.links").alias("links")), "page-blocks")
     texts = each.groupBy("host", "slot", "hash").agg(F.count_distinct("page_hash").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     texts = written(texts, "page-texts")
-    counts = parsed.groupBy("host").agg(F.count_distinct("page_hash").alias("all_pages"))
-    often = texts.filter((F.col("pages") >= TEMPLATE_PAGES) & (F.col("slot") >= 0)).join(counts, "host").filter(100 * F.col("pages") >= TEMPLATE_PERCENT * F.col("all_pages")).select("host", "slot", "hash")
+    counts = parsed.groupBy("host").agg(F.count_distinct("page_hash").alias("all_pages"), F.avg(F.col("article").cast("int")).alias("articles"))
+    often = texts.filter((F.col("pages") >= TEMPLATE_PAGES) & (F.col("slot") >= 0)).join(counts, "host").filter(100 * F.col("pages") >= TEMPLATE_PERCENT * F.col("all_pages"))
+    often = written(often.select("host", "slot", "hash", "chars", "articles"), "page-templates")
+    # a row a host that has such texts
+    shares = often.groupBy("host").agg(F.sum("chars").alias("template_chars"), F.first("articles").alias("articles")).join(texts.groupBy("host").agg(F.sum("chars").alias("all_chars")), "host")
+    most = F.when(F.col("articles") >= 0.5, COPIED_PERCENT).otherwise(COPIED_PERCENT_WITHOUT_ARTICLE)
+    copied = shares.filter(100 * F.col("template_chars") > most * F.col("all_chars")).select("host")
+    often = often.select("host", "slot", "hash").join(copied, "host", "left_anti")
     # at most a page's blocks and two thirds a host
     template = often.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
     varying = texts.join(often, ["host", "slot", "hash"], "left_anti").filter("slot >= 0").groupBy("host", "slot").agg(F.sum(F.col("chars") - F.col("links")).alias("weight"))
@@ -212,7 +221,8 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html", te
     Character references are decoded and white space inside a block becomes one space. A null or empty html has
     an empty text, as has a page without content. Pages with a null url or one without host are one host's. Rows
     that repeat are judged alike; copies of a page count once in what is template. A very long page is read whole.
-    A host with fewer than TEMPLATE_PAGES distinct pages has no template texts. An empty table gives no rows. A
+    A host with fewer than TEMPLATE_PAGES distinct pages has no template texts, nor has one whose pages are all edits of one
+    (COPIED_PERCENT). An empty table gives no rows. A
     column of pages named like text is replaced.
     """
     kept = [c for c in pages.columns if c != page and c.lower() != text.lower()]

@@ -24,8 +24,11 @@ FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption c
 #: Never the main text, by tag, by role and by a word of class or id.
 DROPPED_TAGS = frozenset("head script style noscript template svg math iframe object canvas audio video button select datalist textarea option nav footer aside form dialog menu noframes noembed xmp title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-LAYOUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion search share sharing sidebar signup sitemap skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split())
-COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus feedback recommended related replies reply respond responses".split())
+LAYOUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense announcement banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion search share sharing sidebar signup sitemap skip social sponsor sponsored subnav subscribe subscription tagcloud toolbar topbar widget widgets".split())
+#: Parts of longer words that say the same.
+LAYOUT_PART = re.compile(r"sidebar|navbar|sidenav|topnav|subnav|cookie|newsletter|breadcrumb|masthead|footer|^ads?(box|slot|unit|space|block|wrap)$|banner$|popup|modal$")
+COMMENT_PART = re.compile(r"^comments?(box|form|section|area|wrap)$|comments$")
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus feedback outbrain recommended related replies reply respond responses taboola teaser teasers".split())
 
 DEPTH = 40
 #: Elements that are open at once.
@@ -68,11 +71,17 @@ def words_of_name(name: str) -> set[str]:
     return set(_WORD.findall(_CAMEL.sub("-", name).lower()))
 
 
+def _flag_of(words: set[str]) -> int:
+    if words & COMMENT_WORDS or any(map(COMMENT_PART.search, words)):
+        return 2
+    return int(bool(words & LAYOUT_WORDS) or any(map(LAYOUT_PART.search, words)))
+
+
 def label_and_flag(tag: str, own: dict[str, str]) -> tuple[str, int, str]:
     """(label, flag, article or main or nothing)."""
     named = f"{own.get('class', '')} {own.get('id', '')}"
     words, role = words_of_name(named) if named != " " else set(), own.get("role", "").lower()
-    flag = 2 if tag in DROPPED_TAGS or role in DROPPED_ROLES or words & COMMENT_WORDS else 1 if words & LAYOUT_WORDS else 0
+    flag = 2 if tag in DROPPED_TAGS or role in DROPPED_ROLES else _flag_of(words)
     if tag in ("html", "body"):
         flag = 0
     main = next((m for m in ("article", "main") if m in (tag, role)), "article" if own.get("itemprop", "").lower() == "articlebody" else "")

@@ -371,9 +371,10 @@ def test_queries_and_pipeline(spark):
 
     from samplemill.llm.queries import ORACLES, QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     con, data = duckdb.connect(), "/root/testdata/sf0.001"
-    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, data)
         want = con.sql(sql).df()[df.columns].sort_values("doc_id", ignore_index=True)
@@ -419,7 +420,7 @@ def test_decontamination_of_other_case_and_short_items(spark):
     assert got == {(0, 1): False, (1, 1): False, (2, 1): False, (3, 1): False, (4, 1): True, (11, 5): False}
 
 
-def test_language_samples_are_whole(spark, monkeypatch):
+def test_language_samples_are_whole(spark):
     import random
 
     rnd = random.Random(5)
@@ -431,8 +432,7 @@ def test_language_samples_are_whole(spark, monkeypatch):
     assert 40_000 < len(learned["long"]) <= language_id.DICTIONARY_BYTES
     # digits count as blanks
     assert learned["copies"].count(b"own text") >= 49
-    monkeypatch.setattr(language_id, "TOTAL_BYTES", 252 * 5000)
-    small = language_id.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string"), sample_documents=50)
+    small = language_id.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string"), sample_documents=50, total_bytes=252 * 5000)
     assert set(small) == set(learned) and len(small["long"]) <= 5000
 
 

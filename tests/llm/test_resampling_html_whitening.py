@@ -109,6 +109,7 @@ def texts_of(page):
         ("<p>a <span class=ad>buy <span>now</span></span> b</p>", ["a b"]),
         ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
         ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", ["deep", "after"]),
+        ("<div class=leftSidebar>s</div><div id=page_footer2>f</div><div class=adbox1>a</div><div class=commentsArea>c</div><div class='loading comprehensive'>kept</div>", ["kept"]),
         ("<p>open <", ["open <"]),
         ("<p a=\"unclosed>text</p><p>more</p>", ["text", "more"]),
     ],
@@ -174,6 +175,16 @@ def test_wrappers_of_hosts(spark, article):
     assert "Subscribe now!" in got[200]["text"].split("\n") and got[201]["text"] == "no host" and got[202]["text"] == got[203]["text"] == ""
 
 
+def test_pages_that_are_edits_of_one(spark):
+    paragraphs = [f"Paragraph {j} of a text that many pages hold with small changes." for j in range(12)]
+    rows = []
+    for k in range(9):
+        own = [*paragraphs[:k], f"Changed on page {k}.", *paragraphs[k + 1 :]]
+        rows.append((k, "http://copies.example/", "<article><h1>One title</h1>" + "".join(f"<p>{x}" for x in own) + "</article>", "\n".join(["One title", *own])))
+    got = html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, want string"))
+    assert all(r["text"] == r["want"] for r in got.collect()) and got.count() == 9
+
+
 def test_html_edges(spark):
     schema = "page_id long, url string, html string"
     assert html_extraction.extract_main_text(spark.createDataFrame([], schema)).count() == 0
