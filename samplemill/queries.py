@@ -674,6 +674,35 @@ def mask_rotate_crop(spark, sf_dir):
     return values(run(images(spark, sf_dir, on=True), stage))
 
 
+def _side(name: str, draws: tuple[int, int]) -> str:
+    """low and high of one side of the mask's box with drawn padding of 10 to 30 percent."""
+    grown = lambda p: f"(({name}1 - {name}0) / (1 - {p} / 100.0::DOUBLE) - ({name}1 - {name}0))"
+    pad = lambda d: f"({grown(10)} + ({grown(30)} - {grown(10)}) * {u('crop', str(d), 'vec_id')}) / 2"
+    return f"{name}0 - {pad(draws[0])} AS {name}l, {name}1 + {pad(draws[1])} AS {name}h"
+
+
+def _inside(name: str) -> str:
+    low = f"(CASE WHEN {name}l < 0 THEN 0 ELSE {name}l END)"
+    high = f"(CASE WHEN {name}l < 0 THEN {name}h - {name}l ELSE {name}h END)"
+    return f"floor(greatest(0, CASE WHEN {high} > 8 THEN {low} + 8 - {high} ELSE {low} END))::BIGINT AS {name}a, floor(least(8, {high}))::BIGINT AS {name}b"
+
+
+@query(
+    "mask_crop",
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), m AS (SELECT vec_id, x, list_filter(range(0, 64), lambda k: x[k + 1] > 0) AS hits FROM e),
+    b AS (SELECT vec_id, x, coalesce(list_min(list_transform(hits, lambda k: k // 8)), 0)::DOUBLE AS y0, coalesce(list_max(list_transform(hits, lambda k: k // 8)), 8)::DOUBLE AS y1,
+      coalesce(list_min(list_transform(hits, lambda k: k % 8)), 0)::DOUBLE AS x0, coalesce(list_max(list_transform(hits, lambda k: k % 8)), 8)::DOUBLE AS x1 FROM m),
+    p AS (SELECT vec_id, x, {_side("y", (1, 2))}, {_side("x", (3, 4))} FROM b), a AS (SELECT *, (yh - yl) * (xh - xl) AS area FROM p),
+    g AS (SELECT *, CASE WHEN area > 0 AND area < 36 THEN sqrt(36 / area) - 1 ELSE 0 END AS more FROM a),
+    w AS (SELECT vec_id, x, yl - more * (yh - yl) AS yl, yh + more * (yh - yl) AS yh, xl - more * (xh - xl) AS xl, xh + more * (xh - xl) AS xh FROM g),
+    i AS (SELECT vec_id, x, {_inside("y")}, {_inside("x")} FROM w), k AS (SELECT *, unnest(range(0, (yb - ya) * (xb - xa))) AS pos FROM i)
+    SELECT vec_id, pos::INTEGER AS pos, round(x[(ya + pos // (xb - xa)) * 8 + xa + pos % (xb - xa) + 1], 4) + 0.0 AS value FROM k""",
+)
+def mask_crop(spark, sf_dir):
+    """The crop around a mask without rotation, at least 6 x 6 in area."""
+    return values(run(images(spark, sf_dir, on=True), geometry.RandomMaskRotateCrop("mask", ["image"], "on", 6, 10, 30, 0, salt="crop")))
+
+
 # ---- model-backed columns, with a port that needs no model
 
 
