@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import tensor as tn
+from .functions import text as tx
 from .functions.index import dense_index
 from .functions.shared import new_folder
 from .functions.stores import write_file
@@ -47,8 +48,9 @@ def save_load_jpeg(spark, sf_dir):
     """Each value a block of 8 x 8 grey pixels, which a JPEG keeps exactly."""
     folder, side = new_folder(spark, "jpeg"), 64
     block = lambda i: (F.floor(i / (8 * side)) * 8 + F.floor(i % side / 8)).cast("int")
-    rows = images(spark, sf_dir).withColumns({"bytes": F.transform("embedding", byte), "path": F.concat(F.lit(f"{folder}/"), F.col("vec_id").cast("string"), F.lit(".jpg"))})
-    square = tn.tensor(tn.literal_shape(1, side, side), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get("bytes", block(i)) / 255))
+    rows = images(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{folder}/"), F.col("vec_id").cast("string"), F.lit(".jpg")))
+    pixels = tx.bound(F.transform("embedding", byte), lambda values: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get(values, block(i)) / 255))
+    square = tn.tensor(tn.literal_shape(1, side, side), pixels)
     run(rows.withColumn("image", square), sinks.SaveImage("image", "path", folder, 0.0, 1.0))
     back = rows.withColumn("path", F.concat(F.lit(f"{folder}/epoch-0/"), F.col("idx").cast("string"), F.lit("-"), F.col("vec_id").cast("string"), F.lit("-image.jpg"))).drop("image")
     loaded = run(back, files.LoadImage("path", "image", 0.0, 255.0, [".jpg"], channels=1))

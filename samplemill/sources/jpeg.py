@@ -10,6 +10,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -99,10 +100,11 @@ def codes_of(counts: list[int], symbols: list[int]) -> Iterator[tuple[int, int,
         at, code = at + n, code << 1
 
 
-def lookup(counts: list[int], symbols: list[int]) -> list[int]:
+@lru_cache(maxsize=32)
+def lookup(counts: bytes, symbols: bytes) -> list[int]:
     """For each 16 bits: 256 times the length of the code they begin with plus its symbol; 0 for none."""
     table = np.zeros(1 << 16, np.int32)
-    for symbol, code, length in codes_of(counts, symbols):
+    for symbol, code, length in codes_of(list(counts), list(symbols)):
         table[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
     return table.tolist()
 
@@ -274,7 +276,7 @@ class Frame:
 
     def __init__(self):
         self.quant: dict[int, np.ndarray] = {}
-        self.tables = {k: lookup(*t) for k, t in STANDARD_TABLES.items()}
+        self.tables = {k: lookup(*map(bytes, t)) for k, t in STANDARD_TABLES.items()}
         self.parts: list[Component] = []
         self.width = self.height = self.restart = 0
         self.progressive, self.adobe = False, None
@@ -282,9 +284,9 @@ class Frame:
     def tables_from(self, d: bytes) -> None:
         at = 0
         while at + 17 <= len(d):
-            counts = list(d[at + 1 : at + 17])
+            counts = d[at + 1 : at + 17]
             n = sum(counts)
-            self.tables[d[at]] = lookup(counts, list(d[at + 17 : at + 17 + n]))
+            self.tables[d[at]] = lookup(counts, d[at + 17 : at + 17 + n])
             at += 17 + n
 
     def quant_from(self, d: bytes) -> None:
@@ -478,6 +480,12 @@ def _put_block(bits: _Bits, values: list[int], before: int, dc: dict, ac: dict)
         bits.put(*ac[0x00])
 
 
+@cache
+def standard_codes() -> list[dict[int, tuple[int, int]]]:
+    """(code, length) by symbol, of the standard tables: DC and AC of luminance, then of chrominance."""
+    return [{s: (code, length) for s, code, length in codes_of(*t)} for t in (DC_LUMINANCE, AC_LUMINANCE, DC_CHROMINANCE, AC_CHROMINANCE)]
+
+
 def encode_jpeg(a: np.ndarray, quality: int = 95, smaller: tuple[int, int] = (2, 2), restart: int = 0) -> bytes:
     """C x H x W, 0 to 255, as a baseline JPEG. smaller: how many times fewer columns and lines the colour
     differences have (1 or 2); restart: units between restart marks, 0: none."""
@@ -502,7 +510,7 @@ def encode_jpeg(a: np.ndarray, quality: int = 95, smaller: tuple[int, int] = (2,
         cut = full.reshape(full.shape[0] // 8, 8, full.shape[1] // 8, 8).swapaxes(1, 2)
         rounded = np.rint((_COSINES @ cut @ _COSINES.T).reshape(*cut.shape[:2], 64) / quant).astype(int)
         blocks.append(rounded[..., ZIGZAG].tolist())
-    tables = [{s: (code, length) for s, code, length in codes_of(*t)} for t in (DC_LUMINANCE, AC_LUMINANCE, DC_CHROMINANCE, AC_CHROMINANCE)]
+    tables = standard_codes()
     bits, before, body, n = _Bits(), [0] * len(planes), [], 0
     for uy in range(units_high):
         for ux in range(units_wide):
