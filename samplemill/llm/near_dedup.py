@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, extended_components
 from .common import unused, use_memo, written
 
 SHINGLE_WORDS = 5
@@ -342,12 +342,12 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     a = rest.select("bucket", F.col("set_key").alias("u"), F.col("sketch").alias("u_sketch"))
     b = rest.select("bucket", F.col("set_key").alias("v"), F.col("sketch").alias("v_sketch"))
     across = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("u") < F.col("v")) & (_apart("u_sketch", "v_sketch", sketch_words) <= near)).select("u", "v").distinct()
-    clusters = connected_components(candidates.union(across))
-    components = connected_components(links)
+    components = written(connected_components(links), "near-components")
+    # clusters: components that candidates lead between
+    clusters = written(extended_components(components, candidates.union(across)), "near-clusters")
     more = written(_within_clusters(clusters, components, classes, sets, near, percent), "near-links")
     if not more.isEmpty():
-        links = links.union(more)
-        components = connected_components(links)
+        components = extended_components(components, more)
 
     found = classes.select("set_key", "least_id").join(components.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = found.groupBy("component").agg(F.min("least_id").alias("component_id"))
