@@ -252,3 +252,19 @@ def extract_main_text(pages: DataFrame, url: str = "url", page: str = "html", te
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, text])
 
     return given.mapInArrow(extract, schema)
+
+
+#: DuckDB SQL with the rows of the query over pages, for pages with one article of headings and paragraphs, as these are.
+ORACLE = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS article FROM pages
+), split AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(article, '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?(?:p|h1)>') AS parts FROM articles
+), decoded AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM split
+), joined AS (
+  SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)), '') AS text FROM decoded
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+"""

@@ -107,4 +107,5 @@ ORACLES: dict[str, str] = {
     "op2_near_dedup": near_dedup.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
+    "op12_html_extraction": html_extraction.ORACLE,
 }

@@ -373,12 +373,12 @@ def test_queries_and_pipeline(spark):
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     con, data = duckdb.connect(), "/root/testdata/sf0.001"
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "pages"):
         con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, data)
-        want = con.sql(sql).df()[df.columns].sort_values("doc_id", ignore_index=True)
-        pd.testing.assert_frame_equal(df.toPandas().sort_values("doc_id", ignore_index=True), want, check_dtype=False)
+        want = con.sql(sql).df()[df.columns].sort_values(df.columns[0], ignore_index=True)
+        pd.testing.assert_frame_equal(df.toPandas().sort_values(df.columns[0], ignore_index=True), want, check_dtype=False)
     docs = corpus_pipeline.read_table(spark, data, "documents")
     t = library("byte_bpe_50k.json")
     for name, stage in corpus_pipeline.STAGES:
