@@ -10,10 +10,11 @@ Each member is held against one pivot of its bucket, the member that shares most
 is a metric: if a member has at least CORE_PERCENT in common with the pivot, whatever links with it is no
 further from the pivot than both distances together: pairs of a pivot and a member are let through up to
 that distance, first by their sketches (`star_limit`), then by their full sets. So such members leave the bucket, the others meet a second
-pivot, and only those that two pivots left over are compared by their sketches in a join of the bucket.
+pivot, and only those that two pivots left over are compared by their sketches: few of a bucket in a join, many
+in blocks inside tasks, of which a row a member comes out that says with whom it hangs together.
 All pairs that passed the sketches make clusters. Where links don't already join a whole cluster, blocks
-of its members are compared on full sets inside tasks, components against other components, and only links
-come out. What can be lost is what the bands and the sketches lose by chance: a pair at the threshold
+of its members are compared on full sets inside tasks, components against other components, and again a row
+a member comes out, however many links it has. What can be lost is what the bands and the sketches lose by chance: a pair at the threshold
 shares no bucket with odds of 2 in 10 million, and its sketches lie too far apart with odds below a
 billionth.
 """
@@ -41,6 +42,8 @@ CORE_PERCENT = 70
 #: Members of one pivot that a task reads, and the part of all pairs beyond which a pivot is split so.
 PIVOT_MEMBERS, HEAVY_PARTS = 1024, 1000
 PIVOT_ROUNDS = 2
+#: What pivots left over in a bucket is compared pair by pair in a join up to so many members, in blocks beyond.
+PAIR_MEMBERS = 16
 #: Members of a cluster that a task compares with as many others, and shingles it counts in one step.
 BLOCK_MEMBERS, STEP_SHINGLES = 1024, 4096
 SKETCH_WORDS = 8
@@ -239,13 +242,70 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
-def block_links(left: dict, right: dict, same: bool, near: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of linked pairs between members of different components; dicts of component, sketch, sets."""
-    a, b = np.stack(left["sketch"]).view(np.uint64), np.stack(right["sketch"]).view(np.uint64)
+def bits_apart(left: list, right: list) -> np.ndarray:
+    """Bits in which each left and each right odd sketch differ."""
+    a, b = np.stack(left).view(np.uint64), np.stack(right).view(np.uint64)
     apart = np.zeros((len(a), len(b)), np.int16)
     for k in range(a.shape[1]):
         apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    wanted = (apart <= near) & (np.asarray(left["component"])[:, None] != np.asarray(right["component"])[None])
+    return apart
+
+
+def roots(met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a matrix of links between them the first row it hangs together with; -1 without a link."""
+    rows, columns = np.full(met.shape[0], -1), np.full(met.shape[1], -1)
+    for first in np.flatnonzero(met.any(axis=1)):
+        if rows[first] >= 0:
+            continue
+        front, rows[first] = np.array([first]), first
+        while len(front):
+            new = np.flatnonzero((columns < 0) & met[front].any(axis=0))
+            columns[new] = first
+            front = np.flatnonzero((rows < 0) & met[:, new].any(axis=1))
+            rows[front] = first
+    return rows, columns
+
+
+def _root_links(met: np.ndarray, left: list, right: list) -> pd.DataFrame:
+    """Links (u, v) that join what met joins, one a member at most."""
+    found = {(left[r], name) for names, own in zip((left, right), roots(met), strict=True) for name, r in zip(names, own.tolist(), strict=True) if r >= 0 and left[r] != name}
+    return pd.DataFrame(list(found), columns=["u", "v"])
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (set_key, n: rows of their bucket or cluster) once for each pair (i, j) of blocks that their own is one of."""
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    met = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "blocks", "other")
+
+
+def rest_links(rest: DataFrame, near: int, sketch_words: int = SKETCH_WORDS) -> DataFrame:
+    """Links (u, v) that join what pairs of one bucket with sketches at most near bits apart join.
+
+    rest: bucket, n (its rows), set_key, sketch. No more than a row a member, bucket and block comes out of
+    buckets with more than PAIR_MEMBERS members; each pair of their members is compared, none becomes a row.
+    """
+    few, many = rest.filter(F.col("n") <= PAIR_MEMBERS), rest.filter(F.col("n") > PAIR_MEMBERS)
+    a = few.select("bucket", F.col("set_key").alias("u"), F.col("sketch").alias("u_sketch"))
+    b = few.select("bucket", F.col("set_key").alias("v"), F.col("sketch").alias("v_sketch"))
+    pairs = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("u") < F.col("v")) & (_apart("u_sketch", "v_sketch", sketch_words) <= near)).select("u", "v")
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("set_key")  # so that a bucket's root is another's too
+        first, second = (frame[frame["own"] == frame[side].iloc[0]] for side in ("i", "j"))
+        if not len(first) or not len(second):
+            return pd.DataFrame({"u": [], "v": []})
+        met = bits_apart(first["sketch"].tolist(), second["sketch"].tolist()) <= near
+        return _root_links(met, *[[bytes(k) for k in side["set_key"]] for side in (first, second)])
+
+    blocks = _in_blocks(many).groupBy("bucket", "i", "j").applyInPandas(links, "u binary, v binary")
+    return pairs.union(blocks).distinct()
+
+
+def block_links(left: dict, right: dict, same: bool, near: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of linked pairs between members of different components; dicts of component, sketch, sets."""
+    wanted = (bits_apart(left["sketch"], right["sketch"]) <= near) & (np.asarray(left["component"])[:, None] != np.asarray(right["component"])[None])
     if same:
         wanted = np.triu(wanted, 1)
     i, j = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
@@ -259,15 +319,12 @@ def block_links(left: dict, right: dict, same: bool, near: int, percent: int) ->
 
 
 def _within_clusters(clusters: DataFrame, components: DataFrame, classes: DataFrame, sets: DataFrame, near: int, percent: int) -> DataFrame:
-    """Links (u, v) between members of a cluster whose components differ."""
+    """Links (u, v) that join what links between members of a cluster whose components differ join."""
     own = clusters.select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
     placed = own.join(components.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     mixed = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    blocks = mixed.select("cluster", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(classes.select("set_key", "sketch"), "set_key").join(sets.select("set_key", "shingles"), "set_key")
-    met = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    pairs = met.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "component", "sketch", "shingles")
+    members = placed.join(mixed.select("cluster", "n"), "cluster").join(classes.select("set_key", "sketch"), "set_key").join(sets.select("set_key", "shingles"), "set_key")
+    pairs = _in_blocks(members)
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         first, second = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
@@ -277,7 +334,12 @@ def _within_clusters(clusters: DataFrame, components: DataFrame, classes: DataFr
         keys = [[bytes(k) for k in side["set_key"]] for side in sides]
         held = [{"component": np.array([bytes(c).hex() for c in side["component"]]), "sketch": side["sketch"].tolist(), "sets": side["shingles"].tolist()} for side in sides]
         i, j = block_links(*held, first == second, near, percent)
-        return pd.DataFrame({"u": [keys[0][k] for k in i], "v": [keys[1][k] for k in j]})
+        met = np.zeros((len(keys[0]), len(keys[1])), bool)
+        met[i, j] = True
+        if first == second:  # each with itself, and both ways
+            met |= met.T
+            met |= np.eye(len(met), dtype=bool) & met.any(axis=1)
+        return _root_links(met, *keys)
 
     return pairs.groupBy("cluster", "i", "j").applyInPandas(links, "u binary, v binary")
 
@@ -335,13 +397,9 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
         found = stars.filter("linked").select("u", "v")
         links = found if links is None else links.union(found)
         left = placed.join(stars.filter("core").select("u", "v"), ["u", "v"], "left_anti").select("bucket", F.col("v").alias("set_key"), "reach")
-        left = written(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket", "left_semi"), "near-left")
+        left = written(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket"), "near-left")
 
-    # what two pivots left over in a bucket: sketches compared inside the join
-    rest = left.join(classes.select("set_key", "sketch"), "set_key")
-    a = rest.select("bucket", F.col("set_key").alias("u"), F.col("sketch").alias("u_sketch"))
-    b = rest.select("bucket", F.col("set_key").alias("v"), F.col("sketch").alias("v_sketch"))
-    across = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("u") < F.col("v")) & (_apart("u_sketch", "v_sketch", sketch_words) <= near)).select("u", "v").distinct()
+    across = rest_links(left.select("bucket", "n", "set_key").join(classes.select("set_key", "sketch"), "set_key"), near, sketch_words)
     components = written(connected_components(links), "near-components")
     # clusters: components that candidates lead between
     clusters = written(extended_components(components, candidates.union(across)), "near-clusters")

@@ -684,3 +684,42 @@ def test_hot_pivots_are_split(spark, monkeypatch):
     texts = {d: " ".join([*base[: d % 190], f"own{d}", *base[d % 190 + 1 :]]) for d in range(60)}
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
     assert got == {d: c for d, (_, c) in components(texts).items()}
+
+
+def test_a_rest_of_a_bucket_gives_rows_by_members(spark, monkeypatch):
+    """300 copies with few edits in two buckets: 89,700 pairs of near sketches, joined by a row a member and block."""
+    rng, rows = np.random.default_rng(3), []
+    for family in range(2):
+        sketch = rng.integers(-(2**62), 2**62, 8)
+        for m in range(300):
+            own = sketch.copy()
+            own[m % 8] ^= 1 << (m % 60)
+            rows += [(bucket, 600, bytes([family, m // 256, m % 256]), own.tolist()) for bucket in (1, 2)]
+    rest = spark.createDataFrame([*rows, (3, 2, b"a", [0] * 8), (3, 2, b"b", [1] * 8), (4, 2, b"c", [0] * 8), (4, 2, b"d", [-1] * 8)], "bucket long, n long, set_key binary, sketch array<long>")
+    for size, most in ((1024, 1), (128, 25)):
+        monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", size)
+        got = [(bytes(r["u"]), bytes(r["v"])) for r in near_dedup.rest_links(rest, 20).collect()]
+        assert len(got) <= most * 600 + 1 and (b"a", b"b") in got and not any({b"c", b"d"} & {*link} for link in got)
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for u, v in got:
+            root[find(u)] = find(v)
+        assert len({find(bytes(r[2])) for r in rows}) == 2
+
+
+def test_near_dedup_in_blocks(spark, monkeypatch):
+    """Loose families that pivots leave whole, compared in blocks of a few: all components as of all pairs."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "PAIR_MEMBERS", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", 1)
+    rnd, texts = random.Random(13), {}
+    for family in range(6):
+        words = [f"f{family}w{k}" for k in range(90)]
+        for member in range(30):
+            texts[30 * family + member] = " ".join(words)
+            words[rnd.randrange(90)] = f"f{family}m{member}"
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {d: c for d, (_, c) in components(texts).items()}
