@@ -72,20 +72,31 @@ def _code(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+class _Rows(dict):
+    """Numbers of words; a word that is looked up and missing is added by add."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        self.add(word)
+        return self[word]
+
+
 class Vocabulary:
     """What a word is in a template; one a worker, emptied when it has grown to its bound."""
 
     def __init__(self):
-        self.rows: dict[str, int] = {}
+        self.rows = _Rows(self.add)
         self.codes, self.flags = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
 
     def add(self, word: str) -> None:
-        core = _EDGES.sub("", word)
+        core = word if word.isalpha() else _EDGES.sub("", word)
         low = core.casefold()
         flags = _ENDS * (word.rstrip("\"')]»”’")[-1:] in {".", "!", "?", ":"}) | _UPPER * (core[:1].isupper() and low not in OPENERS) | _EMPTY * (not core)
         if word in SIGNS:
             low, flags = word, flags | _SIGN
-        if _NUMBER.search(low):
+        if not low.isalpha() and _NUMBER.search(low):
             low, flags = _NUMBER.sub("<number>", low), flags | _SLOT
         elif low in NUMBER_WORDS:
             low, flags = "<number>", flags | _SLOT
@@ -99,11 +110,7 @@ class Vocabulary:
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.rows) > MEMO_WORDS:
             self.__init__()
-        rows = self.rows
-        for w in words:
-            if w not in rows:
-                self.add(w)
-        at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         return self.codes[at], self.flags[at]
 
 
@@ -153,9 +160,11 @@ def window_hashes(codes: np.ndarray, slot: np.ndarray, size: int, min_literals:
     n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    total = np.full(n, size, np.uint64)
+    # codes are hashes already: their sum, each times an odd number of its place, is mixed once
+    total, term = np.full(n, size, np.uint64), np.empty(n, np.uint64)
     for j in range(size):
-        total = mix(total + codes[j : j + n] * _PLACES[j])
+        total += np.multiply(codes[j : j + n], _PLACES[j], out=term)
+    total = mix(total)
     literals = np.cumsum(np.concatenate([[0], ~slot]))
     good = np.flatnonzero(literals[size:] - literals[:-size] >= min_literals)
     return good, total[good]

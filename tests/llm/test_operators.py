@@ -723,3 +723,18 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
     assert got == {d: c for d, (_, c) in components(texts).items()}
+
+
+def test_windows_are_mixed_once(monkeypatch):
+    """One pass of mixing for all windows of a text, whatever their length; other words or another order, another hash."""
+    calls, mixed = [], decontamination.mix
+    monkeypatch.setattr(decontamination, "mix", lambda x: calls.append(len(x)) or mixed(x))
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    for size in (3, 8, 20):
+        calls.clear()
+        hashes = lambda w: decontamination.window_hashes(*decontamination.template(" ".join(w))[:2], size, 1)[1]
+        once = hashes(words)
+        assert calls == [400 - size + 1] and len(np.unique(once)) == len(once) and (hashes(words[5:]) == once[5:]).all()
+        swapped = [*words[:1], words[2], words[1], *words[3:]]
+        assert hashes(swapped)[0] != once[0] and (hashes(swapped)[3:] == once[3:]).all()
+        assert (hashes(["same"] * 30) == hashes(["same"] * 30)[0]).all()
