@@ -15,6 +15,7 @@ import os
 import re
 from collections.abc import Iterable
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 
@@ -34,10 +35,19 @@ _BYTE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that lower-casing and composition leave single letters.
 _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Characters that Python takes for white space and Unicode's property White_Space doesn't hold.
-_NOT_WHITE_SPACE = re.compile("[\x1c-\x1f]")
+_NOT_WHITE_SPACE = "\x1c\x1d\x1e\x1f"
+#: White space but for blanks and line feeds, and those two beside one another.
+_RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
 _MARKS = frozenset(".,;:!?")
 
 
+def _is_ragged(text: str) -> bool:
+    """Whether _RAGGED is found in text; searches for single strings, much faster than a pattern, rule it out for most."""
+    if not (text[0].isspace() or text[-1].isspace() or any(s in text for s in _RARE_SPACE)):
+        return False
+    return _RAGGED.search(text) is not None
+
+
 class ChunkEncoder:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -107,26 +117,38 @@ class ChunkEncoder:
             known[word] = (memo[core] if core in memo else known[core]) + self.marks[word[-1]]
         return known
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        out = list(map(self.memo.get, words))
-        if None in out:
-            if len(self.memo) > self.memo_chunks:
-                self.memo.clear()
-            known = self._learn({w for w, ids in zip(words, out, strict=True) if ids is None})
-            out = [known[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
-            self.memo.update((w, ids) for w, ids in known.items() if len(w) <= MEMO_CHARS)
+    def _words(self, words: list[str]) -> bytes:
+        """Ids of all words; what is done for each word runs inside filterfalse, map and join."""
+        memo, long = self.memo, []
+        missing = set(filterfalse(memo.__contains__, words))
+        if missing:
+            if len(memo) > self.memo_chunks:
+                memo.clear()
+                missing = set(words)
+            memo.update(self._learn(missing))
+            long = [w for w in missing if len(w) > MEMO_CHARS]
+        out = b"".join(map(memo.__getitem__, words))
+        for w in long:
+            del memo[w]
         return out
 
+    def _first(self, first: str) -> bytes:
+        if first not in self.first:
+            if len(self.first) > self.memo_chunks:
+                self.first.clear()
+            self.first[first] = self._whole([first])[0]
+        return self.first[first]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.specials):
             return self._whole([text])[0]
         if not self.keeps_blanks:
-            if _NOT_WHITE_SPACE.search(text):
+            if any(c in text for c in _NOT_WHITE_SPACE):
                 return self._whole([text])[0]
-            return b"".join(self._words(text.split()))
-        if _RAGGED.search(text):
+            return self._words(text.split())
+        if _is_ragged(text):
             first, *rest = _BYTE_CUT.split(text)
             if rest and _RAGGED.search(rest[-1]):
                 last = [f" {rest.pop()}"]
@@ -135,13 +157,9 @@ class ChunkEncoder:
                 ends = []
             if any("\n" in w for w in rest):
                 return b"".join(self._whole([first, *[f" {w}" for w in rest]]) + ends)
-            return b"".join([*self._whole([first]), *self._words(rest), *ends])
+            return b"".join([*self._whole([first]), self._words(rest), *ends])
         first, *rest = text.replace("\n", " \n").split(" ")
-        if first not in self.first:
-            if len(self.first) > self.memo_chunks:
-                self.first.clear()
-            self.first[first] = self._whole([first])[0]
-        return self.first[first] + b"".join(self._words(rest))
+        return self._first(first) + self._words(rest)
 
     def forget(self) -> None:
         self.memo.clear()

@@ -738,3 +738,21 @@ def test_windows_are_mixed_once(monkeypatch):
         swapped = [*words[:1], words[2], words[1], *words[3:]]
         assert hashes(swapped)[0] != once[0] and (hashes(swapped)[3:] == once[3:]).all()
         assert (hashes(["same"] * 30) == hashes(["same"] * 30)[0]).all()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_white_space_is_told_without_a_pattern(name, monkeypatch):
+    """Texts of words between single blanks and line feeds need no pattern; with any white space the ids are the library's."""
+    import re
+    import types
+
+    searched, ragged = [], tokens._RAGGED
+    monkeypatch.setattr(tokens, "_RAGGED", types.SimpleNamespace(search=lambda x: searched.append(x) or ragged.search(x)))
+    enc, t = tokens.ChunkEncoder(tokens.public_path(name)), library(name)
+    plain = [f"Once again, the word{k % 7} of\nmany texts. Été {'long' * (1 + k % 20)}" for k in range(100)] + ["one", "one\ntwo"]
+    odd = [c.join(["one", "two, three", "four"]) for c in [chr(k) for k in range(0x3001) if chr(k).isspace()] + ["  ", "\n\n", " \n", "\n "]]
+    odd += [" ", "\n", "\none two", " one two", "one two ", "one\t\u3000two three"]
+    ids = lambda x: np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    assert enc.encode_all(plain) == [*map(ids, plain)] and not searched
+    assert enc.encode_all(odd) == [*map(ids, odd)] and not any(len(w) > tokens.MEMO_CHARS for w in enc.memo)
+    assert [tokens._is_ragged(x) for x in plain + odd] == [re.search(r"\s\s|\A\s|\s\Z", x) is not None for x in plain + odd]
