@@ -13,25 +13,27 @@ MAX_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # no more rows than edges
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
+    # the row of the least neighbour is u's own link
+    from_u = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return down.join(least, "u").select(from_u.alias("u"), F.col("m").alias("v")).distinct()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, stored: bool = False) -> DataFrame:
     """links (u, v) of any orderable type to (node, component): the smallest node reachable.
 
     Only nodes with a link to another node are returned. A node with very many links is summed
     before it is shuffled, and its join is a skewed join that adaptive execution splits. Each round
     is a written table, so that a lost executor repeats one round at most. Rounds end when all links
-    lead to nodes that have none to a smaller one.
+    lead to nodes that have none to a smaller one. stored: links are read from tables, and hardly repeat.
     """
-    edges = written(links.select("u", "v").filter("u != v").distinct(), "links")
+    edges = links.select("u", "v").filter("u != v")
+    edges = edges if stored else written(edges.distinct(), "links")
     for _ in range(MAX_ROUNDS):
         edges = written(_small_star(_large_star(edges)), "links")
         if edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty():

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components, extended_components
 from .common import unused, use_memo, written
@@ -209,7 +210,7 @@ def _apart(a: str, b: str, words: int) -> Column:
 def _similar(pairs: DataFrame, sets: DataFrame, percents: dict[str, int]) -> DataFrame:
     """The pairs (u, v) with, for each name, whether their full sets are so similar."""
     counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t")).scalar()
+    total = pairs.agg(F.count(F.lit(1)).alias("t")).scalar()
     # pivots with a large part of all pairs, fewer than HEAVY_PARTS: members dealt by hash, the pivot's set to each share
     heavy = counts.filter((F.col("n") > PIVOT_MEMBERS) & (F.col("n") * HEAVY_PARTS > total)).limit(HEAVY_PARTS)
     heavy = F.broadcast(heavy.select(F.col("u").alias("heavy"), F.ceil(F.col("n") / PIVOT_MEMBERS).cast("int").alias("shares")))
@@ -346,14 +347,14 @@ def _within_clusters(clusters: DataFrame, components: DataFrame, classes: DataFr
 
 def _class_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(set_key, shingles) of each class that shares a bucket, once, from one more pass over the texts that stand for one."""
-    wanted = members.select("first").distinct().select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).hint("shuffle_hash")
+    wanted = members.filter("first is not null").select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")).hint("shuffle_hash")
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (_text_hash() == F.col("first_hash"))
     sets = written(full_sets(docs.select("doc_id", "text").filter("text is not null").join(wanted, same, "left_semi"), size), "near-texts").select("set_key", "shingles")
     # rows that repeat doc_id and text have one set each
-    again = written(sets.groupBy("set_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key"), "near-again")
+    again = sets.groupBy("set_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key")
     if again.isEmpty():
         return sets
-    return sets.join(again, "set_key", "left_anti").union(sets.join(again, "set_key", "left_semi").dropDuplicates(["set_key"]))
+    return written(sets.join(again, "set_key", "left_anti").union(sets.join(again, "set_key", "left_semi").dropDuplicates(["set_key"])), "near-sets")
 
 
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS, sketch_words: int = SKETCH_WORDS) -> DataFrame:
@@ -373,34 +374,36 @@ def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT, shingle_words:
     # first: a row of the class whose text stands for it
     classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "near-classes")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "set_key", "first")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "set_key")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = buckets.join(shared, "bucket")
-    reach = members.groupBy("set_key").agg(F.sum("n").alias("reach"))
-    members = written(members.join(reach, "set_key").select("bucket", "set_key", "first", "reach"), "near-members")
+    # a class has a row a band at most, so its window is small; first is kept in one of them
+    own = Window.partitionBy("set_key")
+    members = buckets.join(shared, "bucket").join(classes.select("set_key", "first", "sketch"), "set_key")
+    members = members.withColumn("reach", F.sum("n").over(own)).withColumn("first", F.when(F.col("bucket") == F.min("bucket").over(own), F.col("first")))
+    members = written(members.select("bucket", "set_key", "first", "sketch", "reach"), "near-members")
     near = odd_limit(bands * band_rows, 64 * sketch_words, percent)
     far = star_limit(bands * band_rows, 64 * sketch_words, percent)
-    sketch = lambda name: classes.select(F.col("set_key").alias(name), F.col("sketch").alias(f"{name}_sketch"))
 
-    sets = written(_class_sets(docs, members, shingle_words), "near-sets")
+    sets = _class_sets(docs, members, shingle_words)
 
-    left, candidates, links = members.select("bucket", "set_key", "reach"), None, None
+    left, candidates, links = members.select("bucket", "set_key", "sketch", "reach"), None, None
     for _ in range(PIVOT_ROUNDS):
-        pivots = left.groupBy("bucket").agg(F.max(F.struct("reach", "set_key"))["set_key"].alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "u")
-        placed = left.join(pivots, "bucket").filter("set_key != u").withColumnRenamed("set_key", "v")
-        stars = placed.select("u", "v").distinct().join(sketch("u"), "u").join(sketch("v"), "v").filter(_apart("u_sketch", "v_sketch", sketch_words) <= far)
-        stars = written(stars.select("u", "v"), "near-pairs")
+        pivots = left.groupBy("bucket").agg(F.max(F.struct("reach", "set_key", "sketch")).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        pivots = pivots.select("bucket", F.col("pivot.set_key").alias("u"), F.col("pivot.sketch").alias("u_sketch"))
+        placed = left.join(pivots, "bucket").filter("set_key != u").withColumnsRenamed({"set_key": "v", "sketch": "v_sketch"})
+        stars = written(placed.filter(_apart("u_sketch", "v_sketch", sketch_words) <= far).select("u", "v").distinct(), "near-pairs")
         stars = written(_similar(stars, sets, {"linked": percent, "core": CORE_PERCENT, "reachable": star_percent(percent)}), "near-stars")
         # only what can link with a member near the pivot needs its cluster
         reachable = stars.filter("reachable").select("u", "v")
         candidates = reachable if candidates is None else candidates.union(reachable)
         found = stars.filter("linked").select("u", "v")
         links = found if links is None else links.union(found)
-        left = placed.join(stars.filter("core").select("u", "v"), ["u", "v"], "left_anti").select("bucket", F.col("v").alias("set_key"), "reach")
-        left = written(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket"), "near-left")
+        left = placed.join(stars.filter("core").select("u", "v"), ["u", "v"], "left_anti").select("bucket", F.col("v").alias("set_key"), F.col("v_sketch").alias("sketch"), "reach")
+        left = written(left, "near-left")
 
-    across = rest_links(left.select("bucket", "n", "set_key").join(classes.select("set_key", "sketch"), "set_key"), near, sketch_words)
-    components = written(connected_components(links), "near-components")
+    rest = left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
+    across = rest_links(written(rest.select("bucket", "n", "set_key", "sketch"), "near-rest"), near, sketch_words)
+    components = written(connected_components(links, stored=True), "near-components")
     # clusters: components that candidates lead between
     clusters = written(extended_components(components, candidates.union(across)), "near-clusters")
     more = written(_within_clusters(clusters, components, classes, sets, near, percent), "near-links")

@@ -756,3 +756,21 @@ def test_white_space_is_told_without_a_pattern(name, monkeypatch):
     assert enc.encode_all(plain) == [*map(ids, plain)] and not searched
     assert enc.encode_all(odd) == [*map(ids, odd)] and not any(len(w) > tokens.MEMO_CHARS for w in enc.memo)
     assert [tokens._is_ragged(x) for x in plain + odd] == [re.search(r"\s\s|\A\s|\s\Z", x) is not None for x in plain + odd]
+
+
+def test_near_dedup_takes_few_shuffles(spark):
+    """Tasks of all its shuffles, which is what small tables over many partitions cost."""
+    words = [f"w{k}" for k in range(60)]
+    texts = {k: " ".join([*words[: 57 - k % 3], *[f"d{k // 8}x{j}" for j in range(30)], f"m{k}"]) for k in range(64)}
+    docs, context, key = spark.createDataFrame([*texts.items()], "doc_id long, text string"), spark.sparkContext, "spark.sql.adaptive.coalescePartitions.enabled"
+    tracker, partitions = context.statusTracker(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(key, "false")
+    context.setJobGroup("near-shuffles", "")
+    try:
+        near_dedup.near_duplicates(docs).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset(key)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {k for job in tracker.getJobIdsForGroup("near-shuffles") for k in tracker.getJobInfo(job).stageIds}
+    infos = [i for i in map(tracker.getStageInfo, stages) if i]
+    assert sum(i.numCompletedTasks >= partitions for i in infos) <= 86
