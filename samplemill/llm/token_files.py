@@ -84,8 +84,10 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for low, high in zip(batch["low"], batch["high"], strict=True):
-                found = np.bincount(_ids(low, high))
+            narrow = batch["high"].isna()
+            some = [np.frombuffer(b"".join(batch["low"][narrow]), "<u2")]  # documents with small ids are counted at once
+            some += [_ids(low, high) for low, high in zip(batch["low"][~narrow], batch["high"][~narrow], strict=True)]
+            for found in map(np.bincount, some):
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found

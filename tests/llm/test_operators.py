@@ -774,3 +774,18 @@ def test_near_dedup_takes_few_shuffles(spark):
     stages = {k for job in tracker.getJobIdsForGroup("near-shuffles") for k in tracker.getJobInfo(job).stageIds}
     infos = [i for i in map(tracker.getStageInfo, stages) if i]
     assert sum(i.numCompletedTasks >= partitions for i in infos) <= 86
+
+
+def test_letters_and_punctuation_are_encoded_once(monkeypatch):
+    """Words that differ in case or in punctuation behind them don't go to the library one by one; ids stay its own."""
+    enc = tokens.ChunkEncoder(tokens.public_path("word_bpe_49k.json"))
+    sent, encode_parts, whole = [], enc._encode_parts, enc._whole
+    monkeypatch.setattr(enc, "_encode_parts", lambda parts: sent.extend(parts) or encode_parts(parts))
+    monkeypatch.setattr(enc, "_whole", lambda texts: sent.extend(texts) or whole(texts))
+    texts = [f"{w}{tail}" for w in ("straße", "STRASSE", "Straße", "ÀÉÎ", "àéî", "Þorn", "x", "don't", "it's", "a_b", "été") for tail in ("", ".", ",***", "$$$", "!!", "'", "_", "'s", "…", "_-~`|{}[]")]
+    texts += ["ABC.", "l" * 60 + ",,", "'s", "İx", "ΣΑΣ.", "ǅ!", "...", "éa!"]
+    got = enc.encode(" ".join(texts))
+    assert np.frombuffer(got, "<u4").tolist() == enc.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids
+    assert sent.count("straße") == 1 and not {"Straße", "Straße$$$", "straße$$$", "ÀÉÎ!!", "ABC."} & {*sent}
+    assert not [w for w in enc.memo if len(w) > tokens.MEMO_CHARS]
+    assert enc.encode("Straße,*** ABC") == whole(["Straße,*** ABC"])[0]
