@@ -45,17 +45,22 @@ _BLOCKS = "WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, unnest(ra
 
 @query("save_load_jpeg", f"{_BLOCKS} SELECT vec_id, pos, {_BYTE}::BIGINT AS low, {_BYTE}::BIGINT AS high FROM e")
 def save_load_jpeg(spark, sf_dir):
-    """Each value a block of 8 x 8 grey pixels, which a JPEG keeps exactly."""
-    folder, side = new_folder(spark, "jpeg"), 64
-    block = lambda i: (F.floor(i / (8 * side)) * 8 + F.floor(i % side / 8)).cast("int")
-    rows = images(spark, sf_dir).withColumn("path", F.concat(F.lit(f"{folder}/"), F.col("vec_id").cast("string"), F.lit(".jpg")))
-    pixels = tx.bound(F.transform("embedding", byte), lambda values: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get(values, block(i)) / 255))
-    square = tn.tensor(tn.literal_shape(1, side, side), pixels)
-    run(rows.withColumn("image", square), sinks.SaveImage("image", "path", folder, 0.0, 1.0))
-    back = rows.withColumn("path", F.concat(F.lit(f"{folder}/epoch-0/"), F.col("idx").cast("string"), F.lit("-"), F.col("vec_id").cast("string"), F.lit("-image.jpg"))).drop("image")
+    """Each value a block of 8 x 8 grey pixels, which a JPEG keeps exactly; eight blocks in a line, as many lines as the
+    values need. The blocks are read off each image where it is, by vec_id and the values' hash in the file's name."""
+    folder, side, n = new_folder(spark, "jpeg"), 64, F.size("embedding")
+    named = F.concat(F.col("vec_id").cast("string"), F.lit("-"), F.hex(F.xxhash64("embedding")))
+    rows = images(spark, sf_dir).filter(n > 0).withColumns({"name": named, "path": F.concat(F.lit(f"{folder}/"), named, F.lit(".jpg"))})
+    lines, eight = F.ceil(n / 8).cast("int"), lambda v: F.array_repeat(v, 8)
+    greys = F.concat(F.transform("embedding", lambda v: byte(v) / 255), F.array_repeat(F.lit(0.0), lines * 8 - n))
+    line = lambda values, k: F.flatten(F.transform(F.slice(values, k * 8 + 1, 8), eight))
+    pixels = tx.bound(greys, lambda values: F.flatten(F.transform(tn.indices(lines), lambda k: F.flatten(eight(line(values, k))))))
+    run(rows.withColumn("image", tn.tensor(F.array(F.lit(1), lines * 8, F.lit(side)), pixels)), sinks.SaveImage("image", "path", folder, 0.0, 1.0))
+    back = rows.withColumn("path", F.concat(F.lit(f"{folder}/epoch-0/"), F.col("idx").cast("string"), F.lit("-"), F.col("name"), F.lit("-image.jpg"))).drop("image")
     loaded = run(back, files.LoadImage("path", "image", 0.0, 255.0, [".jpg"], channels=1))
-    each = loaded.select("vec_id", F.posexplode("image.data").alias("i", "v")).select("vec_id", block(F.col("i")).alias("pos"), F.round("v").cast("long").alias("v"))
-    return each.groupBy("vec_id", "pos").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    each = loaded.select("vec_id", "image.data", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
+    start = lambda y: (F.floor(F.col("pos") / 8).cast("int") * 8 + y) * side + F.col("pos") % 8 * 8 + 1
+    block = F.concat(*[F.slice("data", start(y), 8) for y in range(8)])
+    return each.select("vec_id", "pos", *[F.round(of(block)).cast("long").alias(end) for end, of in (("low", F.array_min), ("high", F.array_max))])
 
 
 @query("save_load_png", f"WITH e AS (SELECT vec_id, {_COLOURS} AS x FROM embeddings), d AS (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x)))::INTEGER AS pos FROM e) SELECT vec_id, pos, round((({_BYTE} / 255 * 2 - 1)::FLOAT)::DOUBLE, 4) + 0.0 AS value FROM d")

@@ -10,23 +10,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import new_folder, shared_dir  # noqa: F401
+from ..functions.shared import BATCH_BYTES, bounded_batches, new_folder, shared_dir  # noqa: F401
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: Bytes of an Arrow batch at most: what a worker and the JVM beside it hold of texts at once, some times over.
-BATCH_BYTES = 8 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Spark cut Arrow batches at BATCH_BYTES from now on, unless the session has a smaller limit; its default of
-    64 MiB takes several times as much beside the heap of an executor with two tasks."""
-    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
-        spark.conf.set(_BATCH, BATCH_BYTES)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,15 +5,17 @@ Random amounts are columns, computed before; the functions here are deterministi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tensor as tn
+from ..functions.shared import BATCH_BYTES
 from ..plans.stage import ColumnStage, Context, resolve
 from .pixels import StrengthStage, amount, crop_offset
 from .tags import flag
@@ -29,6 +31,30 @@ def as_row(a: np.ndarray | None) -> dict | None:
     return None if a is None else {"shape": list(a.shape), "data": np.ascontiguousarray(a, np.float32).ravel()}
 
 
+def as_arrow(images: Iterable[np.ndarray | None]) -> Iterator[pa.Array]:
+    """Tensors as Arrow arrays of about BATCH_BYTES, None as null: the names of files in one Arrow batch can be any size
+    as images, and by way of pandas each value would become an object."""
+    for piece in pieces(images):
+        sizes = [0 if a is None else a.size for a in piece]
+        flat = np.concatenate([np.zeros(0, np.float32), *[a.ravel() for a in piece if a is not None]], dtype=np.float32)
+        data = pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), flat)
+        shapes = pa.array([None if a is None else list(a.shape) for a in piece], pa.list_(pa.int32()))
+        yield pa.StructArray.from_arrays([shapes, data], ["shape", "data"], mask=pa.array([a is None for a in piece]))
+
+
+def pieces(images: Iterable[np.ndarray | None]) -> Iterator[list[np.ndarray | None]]:
+    """Images one after the other until they have BATCH_BYTES."""
+    out, held = [], 0
+    for a in images:
+        out.append(a)
+        held += 0 if a is None else a.nbytes
+        if held >= BATCH_BYTES:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def on_tensors(fn: Callable, t: Column, *amounts: Column) -> Column:
     """fn(array, *amounts) -> array on a tensor column; null where the tensor or the first amount is."""
 

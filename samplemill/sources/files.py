@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..functions import text as tx
 from ..functions.index import blocks_of, dense_index
 from ..functions.shared import new_folder
 from ..functions.stores import list_folder, read_file
-from ..operators.geometry import as_row
+from ..operators.geometry import as_arrow, as_row
 from ..operators.tags import flag
 from ..plans.stage import ColumnStage, Context, Stage, resolve
 from .jpeg import decode_jpeg
@@ -229,18 +230,18 @@ def image_at(path: Column, low: float, high: float, supported_extensions: list[s
     """The image of a file as a tensor; null for a missing file or another extension."""
     own, extensions = {k.lower(): d for k, d in (decoders or {}).items()}, {e.lower() for e in supported_extensions}
 
-    @F.pandas_udf(tn.TENSOR)
-    def load(paths: pd.Series) -> pd.DataFrame:
-        out = []
-        for p in paths:
-            kind = os.path.splitext(p or "")[1].lower()
-            data = read_file(p) if kind in extensions else None
-            if data is None:
-                out.append({"shape": None, "data": None})
-                continue
-            a = with_channels(upright(own.get(kind, decode_image)(data), orientation(data)), channels)
-            out.append(as_row(a / 255 * (high - low) + low))
-        return pd.DataFrame(out, columns=["shape", "data"])
+    def image(p: str | None) -> np.ndarray | None:
+        kind = os.path.splitext(p or "")[1].lower()
+        data = read_file(p) if kind in extensions else None
+        if data is None:
+            return None
+        a = with_channels(upright(own.get(kind, decode_image)(data), orientation(data)), channels)
+        return np.asarray(a / 255 * (high - low) + low, np.float32)
+
+    @F.arrow_udf(tn.TENSOR)
+    def load(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for paths in batches:
+            yield from as_arrow(image(p) for p in paths.to_pylist())
 
     return tn.or_null(load.asNondeterministic()(path))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.shared import small_batches
 from ..functions.stores import write_file
 from ..operators.geometry import as_array
 from ..plans.stage import Context, Stage, resolve
@@ -99,5 +100,6 @@ class SaveImage(Stage):
                         write_file(row["path"], encoder(scaled) if encoder else encoded(scaled, row["path"]))
                 yield pd.DataFrame({"n": [len(batch)]})
 
-        rows.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+        with small_batches(df.sparkSession):
+            rows.mapInPandas(save, "n long").agg(F.sum("n")).collect()
         return df

@@ -295,3 +295,32 @@ def test_orientation_and_pages_of_a_folder(tmp_path):
         found, folders = sorted(p for a, _ in pages for p in a), sorted(p for _, b in pages for p in b)
         assert [re.sub(r".*/", "", p) for p in found] == [f"f{k}" for k in range(5)] and [re.sub(r".*/", "", p) for p in folders] == [f"d{k}" for k in range(5)]
         assert all(p.startswith(folder) for p in found)
+
+
+def test_loaded_images_go_on_in_pieces_of_bounded_size(spark, tmp_path):
+    """The names of 401 files are one Arrow batch; what a worker holds doesn't grow with their images, 400 MB."""
+    (tmp_path / "a.n").write_bytes(b"")
+
+    def large(data):
+        with open("/proc/self/statm") as f:
+            return np.full((1, 512, 512), int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20, np.float32)
+
+    df = spark.range(0, 401, 1, 1).selectExpr("0 AS variation", "id AS idx", f"concat('{tmp_path}/', if(id = 200, 'none', 'a'), '.n') AS path")
+    loaded = files.LoadImage("path", "image", 0.0, 255.0, [".n"], channels=1, decoders={".n": large}).apply(df, Context(spark))
+    rows = loaded.select("idx", F.get("image.data", F.lit(7)).alias("mb"), F.size("image.data").alias("n"), "image.shape").collect()
+    assert [r["idx"] for r in rows] == list(range(401)) and [r["idx"] for r in rows if r["shape"] is None] == [200]
+    assert all(r["n"] == 1 << 18 and r["shape"] == [1, 512, 512] for r in rows if r["idx"] != 200)
+    held = [r["mb"] for r in rows if r["idx"] != 200]
+    assert max(held) - min(held) < 150
+
+
+def test_saved_images_come_in_batches_of_bounded_size(spark, tmp_path):
+    import sys
+
+    df = spark.range(0, 40, 1, 1).selectExpr("0 AS variation", "id AS idx", "id || '.x' AS path", "struct(array(1, 512, 512) AS shape, array_repeat(float(id), 512 * 512) AS data) AS image")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    # the encoder's caller holds the batch
+    sinks.SaveImage("image", "path", str(tmp_path), 0.0, 1.0, encoder=lambda a: b"%d %d" % (a[0, 9, 9], len(sys._getframe(1).f_locals["batch"])), extension=".n").apply(df, Context(spark))
+    found = [(tmp_path / f"epoch-0/{k}-{k}-image.n").read_bytes().split() for k in range(40)]
+    assert [int(k) for k, _ in found] == list(range(40)) and max(int(n) for _, n in found) <= 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
